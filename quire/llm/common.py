@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +79,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in Python workers, once for each application.
+
+    Workers of a cluster have no copy of it, so a zip file of its source goes to them the way Spark sends files.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_quire_shipped", False):
+        top = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f"{top.name}/{f.relative_to(top)}")
+        context.addPyFile(str(path))
+        context._quire_shipped = True
+    return spark

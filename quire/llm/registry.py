@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, quality, secrets, sharding
+from quire.llm import mixing, neardup, packing, quality, secrets, sharding, tokens
 
 
 def queries() -> dict:
     return {
         "op3_mixing": mixing.op3_mixing,
         "op4_secrets": secrets.op4_secrets,
+        "op6_tokens": tokens.op6_tokens,
         "op7_sharding": sharding.op7_sharding,
         "op8_quality": quality.op8_quality,
+        "op9_neardup": neardup.op9_neardup,
+        "op10_packing": packing.op10_packing,
     }
 
 
