@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, neardup, packing, quality, secrets, sharding, tokens
+from quire.llm import mixing, neardup, packing, quality, secrets, sharding, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
         "op4_secrets": secrets.op4_secrets,
+        "op5_urls": urls.op5_urls,
         "op6_tokens": tokens.op6_tokens,
         "op7_sharding": sharding.op7_sharding,
         "op8_quality": quality.op8_quality,
