@@ -221,8 +221,8 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-def kept_documents(docs: DataFrame, link: int = 80) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id. One row stays of rows that repeat a doc_id and text."""
-    gone = staged(near_duplicates(docs, link).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+def kept_documents(docs: DataFrame, link: int = 80, collections: int = 11) -> DataFrame:
+    """docs without the documents whose group has a smaller doc_id. Rows of one doc_id stay or go together."""
+    gone = staged(near_duplicates(docs, link, collections=collections).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
     ids = F.broadcast(gone) if gone.count() * 8 <= BROADCAST_BYTES else gone
     return docs.join(ids, docs["doc_id"].cast("long") == ids["_gone"], "left_anti")

@@ -113,7 +113,7 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: Mapping[str | None, flo
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                ids = [x + tail for x in e.ids([t or "" for t in some.column(2).to_pylist()])]
+                ids = [e.ids(t.as_py() or "") + tail for t in some.column(2)]
                 counts = [len(x) // len(tail) for x in ids]
                 heads_at = []
                 for s, n in zip(some.column(1).to_pylist(), counts):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import mixing, neardup, packing, quality, secrets, sharding, tokens, toxicity, urls
+import corpus_pipeline
+from quire.llm import mixing, neardup, neighbours, packing, quality, secrets, sharding, tokens, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_neighbours": neighbours.op1_neighbours,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_mixing": mixing.op3_mixing,
         "op4_secrets": secrets.op4_secrets,
@@ -16,6 +18,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_neardup": neardup.op9_neardup,
         "op10_packing": packing.op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -6,7 +6,11 @@ import heapq
 import json
 import os
 import re
+import sys
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,9 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+WIDE = re.compile("[^%s-%s]" % (chr(0), chr(0x24F)))
+
+
 def pieces_of(text: str) -> list[str]:
     """The runs of a text between white space; no token spans two of them."""
     if any(c in text for c in CONTROLS):
@@ -37,6 +44,21 @@ def pieces_of(text: str) -> list[str]:
     return text.split()
 
 
+class Memo(dict):
+    """What a function gave for each of the words it met last; emptied when full."""
+
+    def __init__(self, make: Callable[[str], Any]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> Any:
+        value = self.make(key)
+        if len(self) >= CACHE:
+            self.clear()
+        self[key] = value
+        return value
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -76,8 +98,10 @@ class MergeCounter:
         special = [regex.escape(t["content"]) for t in spec["added_tokens"] if t["special"]]
         self.special = re.compile("|".join(special)) if special else None
         self.first = {t["content"][:2] for t in spec["added_tokens"] if t["special"]}
-        self.words: dict[str, int] = {}
-        self.runs: dict[str, int] = {}
+        self.back = {s: b for b, s in self.symbols.items()}
+        self.words = Memo(self.word)
+        self.runs = Memo(lambda run: sum(map(self.words.__getitem__, self.split.findall(run))))
+        self.odd = Memo(self.run)
 
     def merged(self, symbols: list[int]) -> int:
         """How many tokens are left of a word's symbols."""
@@ -107,36 +131,20 @@ class MergeCounter:
         return count
 
     def word(self, word: str) -> int:
-        n = self.words.get(word)
-        if n is None:
-            names = [self.symbols[b] for b in word.encode("utf-8")]
-            names[-1] += self.end
-            n = self.merged([self.number[x] for x in names])
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            self.words[word] = n
-        return n
+        """Tokens of a word in normal form."""
+        names = [self.symbols[b] for b in word.encode("utf-8")]
+        names[-1] += self.end
+        return self.merged([self.number[x] for x in names])
 
     def run(self, run: str) -> int:
-        """Tokens of a run without ASCII white space."""
-        if max(run) < PLAIN:
-            return sum(map(self.word, self.split.findall(run.lower())))
-        # other scripts: the library's own normal form and classes of characters
+        """Tokens of a run in any script, by the library's own normal form and classes of characters."""
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(run))
-        back = {s: b for b, s in self.symbols.items()}
-        return sum(self.word(bytes(back[c] for c in w).decode("utf-8")) for w, _ in found if w)
+        return sum(self.words[bytes(self.back[c] for c in w).decode("utf-8")] for w, _ in found if w)
 
     def plain(self, text: str) -> int:
-        total, runs = 0, self.runs
-        for x in pieces_of(text):
-            n = runs.get(x)
-            if n is None:
-                n = self.run(x)
-                if len(runs) >= CACHE:
-                    runs.clear()
-                runs[x] = n
-            total += n
-        return total
+        if WIDE.search(text):
+            return sum(map(self.odd.__getitem__, pieces_of(text)))
+        return sum(map(self.runs.__getitem__, pieces_of(text.lower())))
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -178,47 +186,48 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Encoder:
-    """The library's ids of whole texts, computed by runs between white space and kept for reuse."""
+    """The library's ids of whole texts, put together from those of their words, which are kept for reuse."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.wide = "<u4" if self.library.get_vocab_size() > 1 << 16 else "<u2"
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.runs: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list:
-        fast = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [x.ids for x in fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian numbers of `wide`."""
-        import numpy as np
-
-        runs, out = self.runs, []
-        for text in texts:
-            if any(x in text for x in self.special):
-                out.append(np.array(self.encode([text])[0], self.wide).tobytes())
-                continue
-            parts = pieces_of(text)
-            try:
-                out.append(b"".join([runs[x] for x in parts]))
-                continue
-            except KeyError:
-                pass
-            fresh = list({x for x in parts if x not in runs})
-            if len(runs) + len(fresh) > CACHE:
-                runs.clear()
-                fresh = list(set(parts))
-            found = dict(zip(fresh, (np.array(x, self.wide).tobytes() for x in self.encode(fresh))))
-            if len(fresh) <= CACHE:
-                runs.update(found)
-                out.append(b"".join([runs[x] for x in parts]))
-            else:
-                out.append(b"".join([found[x] for x in parts]))
-        return out
+        self.code = "I" if self.library.get_vocab_size() > 1 << 16 else "H"
+        self.wide = {"I": "<u4", "H": "<u2"}[self.code]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        self.model = self.library.model
+        self.stand_in = {b: s for b, s in byte_symbols().items() if chr(b) != s}
+        self.words = Memo(self.word)
+        self.odd = Memo(self.encoded)
+        self.runs = Memo(lambda run: b"".join(map(self.words.__getitem__, self.split.findall(run))))
+
+    def encoded(self, text: str) -> bytes:
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def word(self, word: str) -> bytes:
+        """A word in normal form goes straight to the library's model, as its bytes' stand-ins."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode("utf-8").decode("latin-1").translate(self.stand_in)
+        return self.packed([t.id for t in self.model.tokenize(word)])
+
+    def packed(self, numbers: list[int]) -> bytes:
+        ids = array(self.code, numbers)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """A text's ids as little-endian numbers of `wide`."""
+        if any(x in text for x in self.special):
+            return self.encoded(text)
+        if WIDE.search(text):
+            return b"".join(map(self.odd.__getitem__, pieces_of(text)))
+        return b"".join(map(self.runs.__getitem__, pieces_of(text.lower())))
 
 
 @lru_cache(maxsize=2)
