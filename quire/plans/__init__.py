@@ -1,11 +1,14 @@
-"""Queries over the reference's operators, each with its oracle."""
+"""Queries over the engine's operators, each with its oracle."""
 
 from __future__ import annotations
 
+from quire.plans import pages, rendering  # noqa: F401
+from quire.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracles() -> dict:
-    return {}
+def oracles() -> dict[str, str]:
+    return dict(ORACLES)
