@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import column, read, shipped, staged
@@ -147,9 +148,9 @@ def near_duplicates(docs: DataFrame, link: int = LINK, width: int = SHINGLE, col
     3. In each bucket every class is compared with the smallest, on whole sets; links are
        joined into components.
     4. Buckets that still hold several components are searched again for every pair of
-       different components, except pairs that their sizes, or their distances to the bucket's
-       smallest class (Jaccard distance obeys the triangle inequality), prove unlinked. So every
-       candidate pair is linked, verified, or proven apart; none is capped.
+       different components, except pairs that their sizes or their prefixes (see prefixes)
+       prove unlinked. So every candidate pair is linked, verified, or proven apart; none is
+       capped.
 
     Two sets of similarity s share a table with probability (1 - (1 - s^rows)^collections)^2,
     over 0.999 at the threshold. Empty and null texts have no set: they stand alone. Rows that
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, link: int = LINK, width: int = SHINGLE, col
     links = judged.filter(f"100 * inter >= {link} * total").select("a", "b")
     joined = staged(components(links), "components")
 
-    more = residual(shared, judged, joined, fits.format("u.n", "v.n", link), link)
+    more = residual(shared, sets, judged, joined, link)
     if more.limit(1).count():
         again = verified(more, sets, link).filter(f"100 * inter >= {link} * total").select("a", "b")
         joined = staged(components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(again)), "components")
@@ -194,25 +195,49 @@ def near_duplicates(docs: DataFrame, link: int = LINK, width: int = SHINGLE, col
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def residual(shared: DataFrame, judged: DataFrame, joined: DataFrame, fits: str, link: int) -> DataFrame:
-    """Candidate pairs that step 3 left open: same bucket, different components, not proven apart. Written.
+def prefixes(nodes: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """(node, n, component) -> node, n, component, shingle, left: the part of each set by which it can still be linked.
 
-    u runs over a bucket's classes outside its head's component, v over all its classes of
-    other components; so the many copies around a head are only met by the few strays.
+    Shingles are ordered by how many of these sets hold them, rarest first. Of two linked sets
+    each must hold a shingle among the other's first n - ceil(t * n) + 1 (t the threshold). A
+    shingle that one set holds alone links nothing, so only shared ones are kept, and sets
+    whose own shingles fill that prefix drop out: edited copies of one text with too many edits.
+    `left` counts the shared shingles from this one on; where two prefixes first meet, no more
+    than the lesser of both counts can be common to the two sets.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets_ = [np.frombuffer(x.as_py(), np.int64) for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets_, pa.list_(pa.int64()))], ["node", "n", "component", "found"])
+
+    held = nodes.join(sets, "node").select("node", "n", "component", "set").mapInArrow(work, "node long, n long, component long, found array<long>")
+    each = staged(held, "open-sets").select("node", "n", "component", F.explode("found").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = staged(each.join(common, "shingle"), "open-shingles")
+    by_node = W.partitionBy("node")
+    keep = F.col("n") - F.ceil(F.lit(link) * F.col("n") / 100) + 1 - (F.col("n") - F.count("*").over(by_node))
+    ranked = shared.withColumns({"_keep": keep, "_at": F.row_number().over(by_node.orderBy("df", "shingle")), "_all": F.count("*").over(by_node)})
+    return ranked.filter("_at <= _keep").select("node", "n", "component", "shingle", (F.col("_all") - F.col("_at") + 1).alias("left"))
+
+
+def residual(shared: DataFrame, sets: DataFrame, judged: DataFrame, joined: DataFrame, link: int) -> DataFrame:
+    """Candidate pairs that step 3 left open: different components, not proven apart. Written.
+
+    Classes of buckets that still hold several components are paired where their prefixes meet.
+    For each shingle, u runs over classes outside the component most seen there and v over
+    all, so the many copies of one text are never paired with each other, only with strays.
     """
-    known = judged.select(F.col("a").alias("head"), F.col("b").alias("node"), (1 - F.col("inter") / F.col("total")).alias("far"))
     labels = joined.select("node", "component")
-    heads = joined.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
-    rows = shared.join(labels, "node", "left").join(heads, "head", "left").join(known, ["head", "node"], "left")
-    rows = rows.select("key", "node", "n", "head", F.coalesce("component", "node").alias("component"), F.coalesce("head_component", "head").alias("head_component"), F.when(F.col("node") == F.col("head"), 0.0).otherwise(F.col("far")).alias("far"))
-    mixed_ = rows.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("_c")).filter("_l < _h and _c > 2").select("key")
-    open_ = staged(rows.join(mixed_, "key", "left_semi"), "open-buckets")
-    u = open_.filter("component <> head_component").alias("u")
-    v = open_.alias("v")
-    apart = (100 - link) / 100 + 1e-9
-    near = f"coalesce(abs(u.far - v.far) <= {apart}, true)"
-    once = "(v.component = v.head_component or u.node < v.node)"
-    pairs = u.join(v, F.expr(f"u.key = v.key and u.component <> v.component and v.node <> v.head and {once} and {fits} and {near}"))
+    rows = shared.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("key").agg(F.min("component").alias("_l"), F.max("component").alias("_h"), F.count("*").alias("_c")).filter("_l < _h and _c > 2").select("key")
+    nodes = staged(rows.join(several, "key", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component")), "open-nodes")
+    first = staged(prefixes(nodes, sets, link), "prefixes")
+    seen = first.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).filter("k > 1")
+    sided = first.join(seen.select("shingle", F.col("m.component").alias("main")), "shingle")
+    u, v = sided.filter("component <> main").alias("u"), sided.alias("v")
+    fits = f"100 * least(u.n, v.n) >= {link} * greatest(u.n, v.n) and {100 + link} * least(u.left, v.left) >= {link} * (u.n + v.n)"
+    pairs = u.join(v, F.expr(f"u.shingle = v.shingle and u.component <> v.component and (v.component = v.main or u.node < v.node) and {fits}"))
     pairs = pairs.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct()
     return staged(pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
 
