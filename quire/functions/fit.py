@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.script import char_ratio
-from quire.functions.text import collapse, fields
+from quire.functions.text import fields
 
 LINE_HEIGHT, SMALLEST, EXPANSION, STEP, DEFAULT_SIZE = 1.35, 0.6, 1.5, 0.5, 12.0
 
@@ -35,51 +35,64 @@ def wrap_text(text: Column, width: Column, size: Column, ratio: Column) -> Colum
     return wrap_words(fields(text), per_line(width, size, ratio))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once: an array of one element binds it to the lambda's argument."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def count_lines(lengths: Column, limit: Column) -> Column:
+    """How many lines wrap_words would give for words of these lengths."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("used"))
+
+    def step(s: Column, n: Column) -> Column:
+        used = s["used"] + 1 + n
+        fits = (s["used"] >= 0) & (used <= limit)
+        return F.struct(F.when(fits, s["n"]).otherwise(s["n"] + 1).alias("n"), F.when(fits, used).otherwise(n).alias("used"))
+
+    return F.aggregate(lengths, start, step, lambda s: F.greatest(s["n"], F.lit(1)))
+
+
 def fit_text(text: Column, width: Column, height: Column, size: Column) -> Column:
     """struct(lines, font_size, line_height, box_height, overflow) of a text in a box.
 
     The first of these that holds: the lines fit at the given size; at a size smaller by halves
     of a point, down to the first below 60 %; at 60 % in a box half as high again; else the
-    lines beyond that box are cut and the last one kept ends in an ellipsis.
+    lines beyond that box are cut and the last one kept ends in an ellipsis. Sizes are tried on
+    the words' lengths alone; the lines themselves are made once.
     """
     s0 = F.when(size > 0, size).otherwise(F.lit(DEFAULT_SIZE))
-    # values bound once by lambdas over one-element arrays: a plain reference would be computed for each use
-    base = F.array(F.struct(fields(collapse(text)).alias("words"), char_ratio(text).alias("ratio"), width.cast("double").alias("w"), height.cast("double").alias("h"), s0.alias("s0")))
-
-    def at(b: Column, s: Column) -> Column:
-        return F.struct(wrap_words(b["words"], per_line(b["w"], s, b["ratio"])).alias("lines"), s.alias("font_size"), (s * LINE_HEIGHT).alias("line_height"))
-
-    def fitted(b: Column) -> Column:
-        sizes = F.transform(F.filter(F.sequence(F.lit(0), (b["s0"] * 0.8).cast("int") + 2), lambda k: (k == 0) | (b["s0"] - STEP * (k - 1) >= b["s0"] * SMALLEST)), lambda k: b["s0"] - STEP * k)
-        none = F.lit(None).cast("struct<lines:array<string>,font_size:double,line_height:double>")
-        # once a size has fitted, the rest are passed over unwrapped
-        first = F.aggregate(sizes, none, lambda got, s: F.when(got.isNotNull(), got).otherwise(_first_fit(b, s, at)))
-        return F.coalesce(
-            F.when(first.isNotNull(), F.struct(first["lines"].alias("lines"), first["font_size"].alias("font_size"), first["line_height"].alias("line_height"), b["h"].alias("box_height"), F.lit(False).alias("overflow"))),
-            F.element_at(F.transform(F.array(at(b, b["s0"] * SMALLEST)), lambda c: _expanded(b, c)), 1),
-        )
+    words = bound(fields(text), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.length(x)).alias("lengths")))
+    box = F.struct(words.alias("t"), char_ratio(text).alias("ratio"), width.cast("double").alias("w"), height.cast("double").alias("h"), s0.alias("s0"))
 
-    return F.element_at(F.transform(base, fitted), 1)
+    def chosen(b: Column) -> Column:
+        steps = F.filter(F.sequence(F.lit(0), (b["s0"] * 0.8).cast("int") + 2), lambda k: (k == 0) | (b["s0"] - STEP * (k - 1) >= b["s0"] * SMALLEST))
+        fits = lambda s: bound(per_line(b["w"], s, b["ratio"]), lambda n: s * LINE_HEIGHT * count_lines(b["t"]["lengths"], n) <= b["h"])
+        # once a size has fitted, the rest are passed over
+        first = F.aggregate(steps, F.lit(None).cast("double"), lambda got, k: F.coalesce(got, F.when(fits(b["s0"] - STEP * k), b["s0"] - STEP * k)))
+        return F.struct(b.alias("b"), first.alias("first"))
 
+    def made(c: Column) -> Column:
+        b = c["b"]
+        s = F.coalesce(c["first"], b["s0"] * SMALLEST)
+        lines = bound(per_line(b["w"], s, b["ratio"]), lambda n: wrap_words(b["t"]["words"], n))
+        return F.struct(lines.alias("lines"), s.alias("font_size"), (s * LINE_HEIGHT).alias("line_height"), b["h"].alias("h"), c["first"].isNotNull().alias("fits"))
 
-def _first_fit(b: Column, s: Column, at) -> Column:
-    tried = F.filter(F.array(at(b, s)), lambda c: c["line_height"] * F.size(c["lines"]) <= b["h"])
-    return F.get(tried, F.lit(0))
+    return bound(bound(bound(box, chosen), made), _boxed)
 
 
-def _expanded(b: Column, c: Column) -> Column:
-    high, room = c["line_height"] * F.size(c["lines"]), b["h"] * EXPANSION
+def _boxed(c: Column) -> Column:
+    high, room = c["line_height"] * F.size(c["lines"]), c["h"] * EXPANSION
     most = F.greatest(F.lit(1), (room / c["line_height"]).cast("int"))
     last = F.element_at(c["lines"], most)
     cut = F.when(F.length(last) > 3, F.concat(F.substring(last, F.lit(1), F.length(last) - 3), F.lit("..."))).otherwise(last)
     kept = F.when(F.size(c["lines"]) > most, F.concat(F.slice(c["lines"], F.lit(1), most - 1), F.array(cut))).otherwise(c["lines"])
-    fits = high <= room
+    whole = c["fits"] | (high <= room)
     return F.struct(
-        F.when(fits, c["lines"]).otherwise(kept).alias("lines"),
+        F.when(whole, c["lines"]).otherwise(kept).alias("lines"),
         c["font_size"].alias("font_size"),
         c["line_height"].alias("line_height"),
-        F.when(fits, high).otherwise(room).alias("box_height"),
-        F.lit(True).alias("overflow"),
+        F.when(c["fits"], c["h"]).when(high <= room, high).otherwise(room).alias("box_height"),
+        (~c["fits"]).alias("overflow"),
     )
 
 
