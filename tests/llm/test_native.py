@@ -120,7 +120,7 @@ def test_shards(spark, docs):
 
 
 def test_clean_documents_stay(spark):
-    clean = "\n".join("A plain sentence about nothing in particular, number %d of many." % i for i in range(20))
+    clean = "\n".join(f"Sentence w{i} tells w{i + 1} about x{i} and y{i}, not z{i}." for i in range(20))
     noisy = "\n".join("Home | News | Sport | Login %d" % i for i in range(40))
     got = [r.kept for r in quality.quality(spark.createDataFrame([(1, clean), (2, noisy)], "doc_id int, text string")).orderBy("doc_id").collect()]
     assert got == [True, False]
