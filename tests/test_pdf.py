@@ -48,3 +48,13 @@ def test_object_streams_arrays_and_encryption():
     assert [(s["text"], s["x"], s["y"], s["line_no"]) for s in page["spans"]] == [("ab", 5.0, 40.0, 0), ("c", 20.0, 40.0, 0), ("next", 5.0, 26.0, 1), ("q", 5.0, 12.0, 2)]
     with pytest.raises(source.Encrypted):
         source.read_pages(data + b"trailer\n<< /Root 1 0 R /Encrypt 8 0 R >>\n")
+
+
+def test_dry_run(spark, tmp_path):
+    from quire.__main__ import dry_run
+
+    text = b"BT /FO0 10 Tf 1 2 Td (a page with more than twenty characters) Tj ET"
+    (tmp_path / "c.pdf").write_bytes(sink.merge([sink.page_pdf(text, 100, 100), sink.page_pdf(b"", 100, 100)]))
+    r = dry_run(spark, f"{tmp_path}/c.pdf").first()
+    assert (r.pages, r.native, r.scanned, r.input_tokens) == (2, 1, 1, 9)
+    assert dry_run(spark, f"{tmp_path}/c.pdf", "2").first().native == 0
