@@ -21,6 +21,8 @@ KINDS = (
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|redacted|xxxx|\*\*\*\*|12345678"
 #: A value under this many owners is taken for one owner's own.
 EXAMPLE_OWNERS = 3
+#: A live-looking value is an example only if this share of all owners hold it, too.
+LIVE_SHARE = 0.5
 REDACTED = "[secret]"
 SPAN = "array<struct<start:int,kind_no:int,kind:string,stop:int,value:string,base:boolean>>"
 
@@ -44,13 +46,22 @@ def candidates(text: Column) -> Column:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(hash, owner, repo) -> hash, repos, owners: how many distinct ones hold each candidate.
+    """(hash, owner, repo) -> hash, repos, owners: the repositories and owners of each candidate.
 
-    Repeats fall away in three partial aggregations, so a value held by a third of all rows
-    reaches one task only as one row per owner and map task.
+    Each repository has one vote, which the owners that hold it share, and an owner counts for
+    one at most. So a repository copied to many owners is one owner, and `owners` never
+    exceeds the number of owners that different repositories could be given to. Repeats fall
+    away in partial aggregations, so a value held by a third of all rows reaches one task only
+    as one row per repository or owner and map task.
     """
-    pairs = spans.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    return pairs.groupBy("hash").agg(F.sum("n").alias("repos"), F.count("*").alias("owners"))
+    votes = spans.select("hash", "repo", F.struct("owner").alias("owner")).distinct()
+    # a repository's owners are no more than there are sources
+    shared = votes.groupBy("hash", "repo").agg(F.collect_set("owner").alias("held")).select("hash", (F.lit(1.0) / F.size("held")).alias("vote"), F.explode("held").alias("owner"))
+    each = shared.groupBy("hash", "owner").agg(F.sum("vote").alias("votes"))
+    repos = votes.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
+    # shares such as thirds don't add up to whole numbers in binary
+    owners = each.groupBy("hash").agg(F.round(F.sum(F.least(F.col("votes"), F.lit(1.0))), 6).alias("owners"))
+    return repos.join(owners, "hash")
 
 
 def live_looking(value: Column) -> Column:
@@ -58,13 +69,14 @@ def live_looking(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike(PLACEHOLDER)
 
 
-def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS, live_share: float = LIVE_SHARE) -> DataFrame:
     """Adds `secrets`: array of (start, kind_no, kind, stop, class) by start, then kind; places in code points, stop exclusive.
 
     Base kinds (assign, access, hex) always stay. Other kinds stay where they look live and
-    belong to fewer than example_owners owners. class: `example` (held by example_owners owners
-    or more), `live` (looks live, fewer owners) or `weak`. A row's repository and owner are the
-    given columns; null counts as one of its own. Null and empty texts, and tables without
+    aren't examples. class: `example` (held by example_owners owners or more in as many
+    different texts, and by live_share of all owners if it looks live), `live` (looks live,
+    isn't an example) or `weak`. A row's repository is its text, so copies are one; its owner is
+    the given column, where null counts as one of its own. Null and empty texts, and tables without
     rows, have no secrets. Rows that repeat are each reported. An input column `secrets` is
     replaced. Only rows with a candidate are shuffled; all others stream through.
     """
@@ -74,10 +86,12 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source", example_o
     any_kind = reduce(lambda a, b: a | b, [text.rlike(k[1]) for k in KINDS])
     kept = "array<struct<start:int,kind_no:int,kind:string,stop:int,class:string>>"
     plain = docs.filter(~any_kind).withColumn("secrets", F.expr(f"cast(array() as {kept})"))
-    held = staged(docs.filter(any_kind).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), candidates(text).alias("_found"), column(docs, repo, "string").alias("_repo"), column(docs, owner, "string").alias("_owner"), F.monotonically_increasing_id().alias("_rid")), "secret-rows")
-    flat = held.select("_rid", "_repo", "_owner", F.explode("_found").alias("s")).select("_rid", F.sha2("s.value", 256).alias("hash"), F.col("_owner").alias("owner"), F.coalesce("_repo", F.lit("")).alias("repo"), live_looking(F.col("s.value")).alias("live"), F.struct("s.start", "s.kind_no", "s.kind", "s.stop").alias("place"), F.col("s.base").alias("base"))
-    common = ownership(flat).filter(F.col("owners") >= example_owners).select(F.col("hash"), F.lit(True).alias("example"))
-    kind = F.when(F.col("example"), "example").when(F.col("live"), "live").otherwise("weak")
+    held = staged(docs.filter(any_kind).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), candidates(text).alias("_found"), F.sha2(text, 256).alias("_repo"), column(docs, owner, "string").alias("_owner"), F.monotonically_increasing_id().alias("_rid")), "secret-rows")
+    flat = held.select("_rid", "_repo", "_owner", F.explode("_found").alias("s")).select("_rid", F.sha2("s.value", 256).alias("hash"), F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), live_looking(F.col("s.value")).alias("live"), F.struct("s.start", "s.kind_no", "s.kind", "s.stop").alias("place"), F.col("s.base").alias("base"))
+    broad = ownership(flat).filter((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners))
+    everyone = docs.select(F.struct(column(docs, owner, "string")).alias("o")).distinct().agg(F.count("*").alias("everyone"))
+    common = broad.crossJoin(F.broadcast(everyone)).select("hash", F.lit(True).alias("common"), (F.col("owners") >= live_share * F.col("everyone")).alias("broad"))
+    kind = F.when(F.col("common") & (~F.col("live") | F.col("broad")), "example").when(F.col("live"), "live").otherwise("weak")
     judged = flat.join(common, "hash", "left").withColumn("class", kind).filter(F.col("base") | (F.col("class") == "live"))
     by_row = judged.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("place.start", "place.kind_no", "place.kind", "place.stop", "class"))).alias("_kept"))
     judged_rows = held.select("_rid", "_row").join(by_row, "_rid", "left").select("_row.*", F.coalesce(F.col("_kept"), F.expr(f"cast(array() as {kept})")).alias("secrets"))
