@@ -25,11 +25,19 @@ def missing(catalogue: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def encoded(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """Each text's glyph numbers in hexadecimal; 0 for characters without a glyph."""
-    chars = texts.select("id", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "c")).withColumn("code_point", F.ascii("c"))
-    g = chars.join(glyphs.select("code_point", "gid"), "code_point", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("gid", F.lit(0)).alias("gid")))).alias("g"))
-    hexed = g.select("id", F.array_join(F.transform("g", lambda x: F.lpad(F.hex(x["gid"]), 4, "0")), "").alias("hex"))
-    return texts.select("id").join(hexed, "id", "left").select("id", F.coalesce("hex", F.lit("")).alias("hex"))
+    """Each text's glyph numbers in hexadecimal; 0 for characters without a glyph.
+
+    Row by row: glyph numbers are 16-bit, so the glyphs travel to the texts in one row and no
+    character becomes a row. Lookups in maps are linear, so the first 256 code points have an array.
+    """
+    hexed = F.lpad(F.hex("gid"), 4, "0").alias("hex")
+    table = glyphs.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code_point", hexed)))).alias("_all"))
+    none = lambda c: F.coalesce(c, F.lit("0000"))
+    low = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: none(F.element_at("_all", i)))
+    table = table.select(low.alias("_low"), F.map_filter("_all", lambda k, _: k > 255).alias("_high"))
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    each = F.transform(chars, lambda c: F.when(F.ascii(c) < 256, F.get("_low", F.ascii(c))).otherwise(none(F.element_at("_high", F.ascii(c)))))
+    return texts.crossJoin(F.broadcast(table)).select("id", F.coalesce(F.array_join(each, ""), F.lit("")).alias("hex"))
 
 
 def closure(used: DataFrame, parts: DataFrame) -> DataFrame:
