@@ -203,6 +203,26 @@ def parse_response(spark: SparkSession, d: str) -> DataFrame:
     return translate.parsed(v.responses(spark, d)).select("conv_id", "error", F.array_join("translations", "|").alias("translations"))
 
 
+TABLES["whole_answers"] = (
+    (),
+    """select conv_id, n + case when conv_id % 10 = 9 then 1 else 0 end as expected, items, n, case conv_id % 4 when 3 then objects else plain end as body from (
+    select conv_id, count(*) as n, list(text order by turn) as items, to_json(list(text order by turn))::varchar as plain, to_json(list({'id': k, 'text': text} order by turn))::varchar as objects from (
+    select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as k from conversations) group by conv_id)""",
+)
+
+
+@query("q_extract_json_whole", "select conv_id, body from whole_answers", "whole_answers")
+def extract_json_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As q_extract_json, whose oracle takes 40 characters of a turn, over whole turns."""
+    return v.whole_responses(spark, d).select("conv_id", translate.extract_json_array(F.col("content")).alias("body"))
+
+
+@query("q_parse_response_whole", "select conv_id, case when expected <> n then 'expected ' || expected || ' translations, got ' || n end as error, case when expected = n then array_to_string(items, '|') end as translations from whole_answers", "whole_answers")
+def parse_response_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As q_parse_response, over whole turns."""
+    return translate.parsed(v.whole_responses(spark, d)).select("conv_id", "error", F.array_join("translations", "|").alias("translations"))
+
+
 @query(
     "q_background",
     """with boxes as (select id, (id % 5)::int as x0, (id % 7)::int as y0, (id % 5 + 6)::int as x1, (id % 7 + 4 + id % 3)::int as y1 from range(200) t(id)),

@@ -119,6 +119,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", content.alias("content"), (F.size("items") + F.when(F.col("conv_id") % 10 == 9, 1).otherwise(0)).alias("expected"))
 
 
+def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As responses(), of whole turns with all their characters, escaped as JSON."""
+    c = read(spark, sf_dir, "conversations")
+    g = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("items"))
+    plain, objects = F.to_json("items"), F.to_json(F.transform("items", lambda t, i: F.struct(i.alias("id"), t.alias("text"))))
+    style = F.col("conv_id") % 4
+    content = F.when(style == 0, plain).when(style == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(style == 2, F.concat(F.lit("Here: "), plain, F.lit(" Done."))).otherwise(objects)
+    return g.select("conv_id", content.alias("content"), (F.size("items") + F.when(F.col("conv_id") % 10 == 9, 1).otherwise(0)).alias("expected"))
+
+
 #: Texts in several scripts, with ties, digits and boxes.
 SAMPLES = (
     "Hello, world", "مرحبا بالعالم", "שלום עולם", "Hello שלום and more English words", "مرحبا بالعالم ok", "", "12345", "Привет мир", "你好世界", "안녕하세요", "สวัสดีชาวโลก", "नमस्ते दुनिया",

@@ -1,5 +1,7 @@
 """Queries over whole texts, longer than any prefix, against plain Python."""
 
+import json
+
 import pytest
 
 from quire import plans
@@ -17,3 +19,14 @@ def docs(spark, tmp_path_factory):
 def test_encode_hex(spark, docs):
     got = {r.id: r.hex for r in plans.queries()["q_encode_hex_whole"](spark, docs).collect()}
     assert got == {i: "".join("%04X" % (0 if c == "." else 1 + ord(c) % 100) for c in t) for i, t in enumerate(TEXTS)}
+
+
+def test_answers(spark, tmp_path):
+    turns = ['He said "no" \\ \n[1] ] ' * 20, "tab\tand ``` fence é🎉 " * 20, "[]", "x" * 5000]
+    rows = [(c, k, f"{t} {c}") for c in range(10) for k, t in enumerate(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {c: [t for d, _, t in rows if d == c] for c in range(10)}
+    for r in plans.queries()["q_extract_json_whole"](spark, str(tmp_path)).collect():
+        assert [x["text"] if r.conv_id % 4 == 3 else x for x in json.loads(r.body)] == want[r.conv_id]
+    got = {r.conv_id: (r.error, r.translations) for r in plans.queries()["q_parse_response_whole"](spark, str(tmp_path)).collect()}
+    assert got == {c: (None, "|".join(t)) for c, t in want.items() if c != 9} | {9: ("expected 5 translations, got 4", None)}
