@@ -82,10 +82,10 @@ def win_ansi(code: Column) -> Column:
 
 def pdf_escape(s: Column) -> Column:
     """A PDF literal string's bytes in hexadecimal, in WinAnsi, with parentheses and backslashes escaped."""
-    byte = lambda c: F.lpad(F.hex(win_ansi(F.ascii(c))), 2, "0")
-    escaped = lambda c: F.when(byte(c).isin("28", "29", "5C"), F.concat(F.lit("5C"), byte(c))).otherwise(byte(c))
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    return F.array_join(F.transform(chars, escaped), "")
+    # one step after another: a lambda's argument is computed once
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    bytes_ = F.transform(codes, lambda c: win_ansi(c))
+    return F.array_join(F.transform(bytes_, lambda b: F.concat(F.when(b.isin(0x28, 0x29, 0x5C), "5C").otherwise(""), F.lpad(F.hex(b), 2, "0"))), "")
 
 
 def net_q_depth(content: Column) -> Column:

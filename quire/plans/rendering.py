@@ -305,6 +305,31 @@ def pdf_escape(spark: SparkSession, d: str) -> DataFrame:
     return v.samples(spark).select("id", text.pdf_escape(F.col("text")).alias("escaped"))
 
 
+def whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    return v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query("q_is_rtl_whole", f"select doc_id as id, {d_rtl('text')} as rtl from documents")
+def is_rtl_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As q_is_rtl, which has literals only, over documents; so are the next three."""
+    return whole_texts(spark, d).select("id", script.is_rtl(F.col("text")).alias("rtl"))
+
+
+@query("q_char_ratio_whole", f"select doc_id as id, {d_ratio('text')} as ratio from documents")
+def char_ratio_whole(spark: SparkSession, d: str) -> DataFrame:
+    return whole_texts(spark, d).select("id", script.char_ratio(F.col("text")).alias("ratio"))
+
+
+@query("q_formula_blocks_whole", f"select doc_id as id, regexp_matches(text, '{FORMULA}') as formula from documents")
+def formula_blocks_whole(spark: SparkSession, d: str) -> DataFrame:
+    return whole_texts(spark, d).select("id", text.is_formula(F.col("text")).alias("formula"))
+
+
+@query("q_pdf_escape_whole", f"select doc_id as id, array_to_string(list_transform(list_transform(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x)), lambda c: ({d_win('c')})::int), lambda b: case when b in (40, 41, 92) then '5C' else '' end || lpad(to_hex(b), 2, '0')), '') as escaped from documents")
+def pdf_escape_whole(spark: SparkSession, d: str) -> DataFrame:
+    return whole_texts(spark, d).select("id", text.pdf_escape(F.col("text")).alias("escaped"))
+
+
 @query("q_error_class", "select id, case when contains(lower(text), 'encrypted') or contains(lower(text), 'password') then 'encrypted' else 'other' end as class from samples", "samples")
 def error_class(spark: SparkSession, d: str) -> DataFrame:
     return v.samples(spark).select("id", text.error_class(F.col("text")).alias("class"))

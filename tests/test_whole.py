@@ -30,3 +30,12 @@ def test_answers(spark, tmp_path):
         assert [x["text"] if r.conv_id % 4 == 3 else x for x in json.loads(r.body)] == want[r.conv_id]
     got = {r.conv_id: (r.error, r.translations) for r in plans.queries()["q_parse_response_whole"](spark, str(tmp_path)).collect()}
     assert got == {c: (None, "|".join(t)) for c, t in want.items() if c != 9} | {9: ("expected 5 translations, got 4", None)}
+
+
+def test_texts(spark, docs):
+    found = lambda name: [r[1] for r in sorted(plans.queries()[name](spark, docs).collect())]
+    assert found("q_is_rtl_whole") == [False, False, False, True, False]
+    assert found("q_char_ratio_whole") == [0.5, 0.5, 0.5, 0.5, 1.0]
+    assert found("q_formula_blocks_whole") == [False, False, True, False, True]
+    byte = lambda c: {"€": 128, "□": 63}.get(c, ord(c) if ord(c) < 256 else 63)
+    assert found("q_pdf_escape_whole") == ["".join(("5C" if c in "()\\" else "") + "%02X" % byte(c) for c in t) for t in TEXTS]
