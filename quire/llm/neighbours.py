@@ -118,7 +118,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         return spark.createDataFrame([], schema)
     width = widths["w"]
     rows = rows.filter(valid(F.col("v"), width)).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), F.col("v"))})
-    firsts = rows.withColumn("_n", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("_n") <= k + 1)
+    firsts = rows.withColumn("_n", F.dense_rank().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("_n") <= k + 1)  # ids, however often they repeat
     index = staged(firsts.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.first("v").alias("v")), "index")
     queries = staged(rows.filter("q").select("id", "h1", "h2").distinct(), "queries")
     asked = staged(index.join(queries.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v"), "query-vectors")

@@ -201,3 +201,10 @@ def test_urls(spark):
     assert got[2].verdict == "allow" and got[0].verdict == "block"
     assert got[11].verdict == "block" and got[12].verdict == "allow" and got[8].host == ""
     assert urls.judge(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in [*[7] * 25, 8, 9, 10]] + [(20, [2.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in neighbours.search(table, F.col("vec_id") == 7).orderBy("rank").collect()]
+    assert got == [8, 9, 10, 20]
