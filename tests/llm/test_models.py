@@ -208,3 +208,45 @@ def test_repeated_rows_leave_room_for_other_ids(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [r.vec_id for r in neighbours.search(table, F.col("vec_id") == 7).orderBy("rank").collect()]
     assert got == [8, 9, 10, 20]
+
+
+def test_neighbours_of_extreme_lengths(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((200, 8))
+    v[20] *= 1e-170
+    v[40] *= 1e170
+    v[60] *= 1e-300
+    rows = [(i, [float(x) for x in a]) for i, a in enumerate(v)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(table, F.col("vec_id") % 20 == 0, k=5).toPandas()
+    for q, g in got.groupby("query_id"):
+        s = (v * v[q]).sum(axis=1)
+        s[q] = -np.inf
+        order = np.lexsort((np.arange(200), -s))[:5]
+        g = g.sort_values("rank")
+        assert list(g.vec_id)[:1] == list(order)[:1] and np.array_equal(g.score, s[g.vec_id])
+        if q in (20, 40, 60):
+            assert list(g.vec_id) == list(order)
+
+
+def test_few_rows_are_verified():
+    """On directions with near neighbours, a small part of the rows meets the threshold, and recall holds."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((400, 48))
+    v = centres[np.arange(8000) % 400] + 0.5 * rng.standard_normal((8000, 48))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    block, hits, radius = neighbours.Block(np.arange(8000), v, 1.0, 1.0), 0, 0.5
+    for q in range(0, 8000, 200):
+        rows, scores, radius = block.search(v[q], 11, radius)
+        hits += len(set(rows[np.argsort(-scores)][:11]) & set(np.argsort(-(v @ v[q]))[:11]))
+    assert hits / (40 * 11) >= 0.95 and block.verified / block.asked < 0.05 * 8000
+
+
+def test_op1_query(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((400, 16)).astype("float32")
+    spark.createDataFrame([(i, [float(x) for x in a]) for i, a in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = neighbours.op1_neighbours(spark, str(tmp_path)).toPandas()
+    assert len(got) == 20 * 20 and set(got.query_id) == set(range(0, 400, 20))
+    truth = {q: set(np.argsort(-(v.astype(float) @ v[q].astype(float)))[:21]) - {q} for q in range(0, 400, 20)}
+    assert sum(len(truth[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) >= 0.9 * len(got)
