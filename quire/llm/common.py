@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import shipped  # noqa: F401
+
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,24 +44,30 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    Where the session names none (tests, one machine) a temporary folder is used and
-    remembered in the session.
+    Only a session on one machine (a local master) may have neither; it gets a temporary folder,
+    remembered in the session. Elsewhere that would lose tables, so it is an error.
     """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quire.shared.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("quire.shared.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("quire.shared.dir", place)
     return place.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/quire/{uuid.uuid4().hex}-{name}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _hadoop_path(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
@@ -74,25 +80,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def dropped(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more; frames that aren't staged themselves are left alone."""
+    for t in tables:
+        if path := getattr(t, "_staged_at", None):
+            target, files = _hadoop_path(t.sparkSession, path)
+            files.delete(target, True)
 
 
-def shipped(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in Python workers, once for each application.
-
-    Workers of a cluster have no copy of it, so a zip file of its source goes to them the way Spark sends files.
-    """
-    context = spark.sparkContext
-    if not getattr(context, "_quire_shipped", False):
-        top = Path(__file__).resolve().parents[1]
-        path = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f"{top.name}/{f.relative_to(top)}")
-        context.addPyFile(str(path))
-        context._quire_shipped = True
-    return spark
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -250,3 +250,28 @@ def test_op1_query(spark, tmp_path):
     assert len(got) == 20 * 20 and set(got.query_id) == set(range(0, 400, 20))
     truth = {q: set(np.argsort(-(v.astype(float) @ v[q].astype(float)))[:21]) - {q} for q in range(0, 400, 20)}
     assert sum(len(truth[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) >= 0.9 * len(got)
+
+
+def test_repeated_ids_are_one_document(spark):
+    """Rows (3, B), (5, B), (5, A), (9, A), a chain by another id, and ids with an empty text."""
+    rnd = random.Random(2)
+    texts = {k: " ".join("w%d" % rnd.randint(0, 9000) for _ in range(40)) for k in "ABCDE"}
+    rows = [(3, "B"), (5, "B"), (5, "A"), (9, "A"), (9, "C"), (20, "C"), (30, "D"), (30, "D"), (31, "D"), (40, "E"), (40, None), (41, None), (None, "E")]
+    docs = spark.createDataFrame([(d, texts.get(t)) for d, t in rows] * 2, "doc_id long, text string")
+    got = {}
+    for r in neardup.near_duplicates(docs).collect():
+        got.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
+    assert got == {3: {(3, True)}, **{i: {(3, False)} for i in (5, 9, 20)}, 30: {(30, True)}, 31: {(30, False)}, 40: {(40, True)}, 41: {(41, True)}, None: {(None, True)}}
+
+
+def test_kept_documents_lose_no_text(spark):
+    rnd = random.Random(3)
+    texts = {k: " ".join("w%d" % rnd.randint(0, 9000) for _ in range(40)) for k in "ABCDEF"}
+    rows = [(3, "B"), (5, "B"), (5, "A"), (9, "A"), (30, "D"), (30, "D"), (None, "D"), (None, "E"), (None, "E"), (None, "F"), (40, "F"), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(d, texts.get(t, t), i, "x", 1, "p") for i, (d, t) in enumerate(rows)], "doc_id long, text string, kept int, h1 string, node int, print string")
+    out = neardup.kept_documents(docs)
+    assert out.columns == docs.columns
+    shown = {v: k for k, v in texts.items()} | {None: None, "": ""}
+    got = sorted((str(r.doc_id), str(shown[r.text])) for r in out.collect())
+    assert got == sorted((str(d), str(t)) for d, t in [(3, "B"), (5, "A"), (30, "D"), (None, "E"), (40, "F"), (7, None), (7, None), (8, "")])
+    assert neardup.kept_documents(docs.limit(0)).count() == 0
