@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +19,11 @@ KINDS = (
     ("url", r"[a-z][a-z0-9+]*://[A-Za-z0-9._-]+:([^\s:/@]{6,})@", 1, 6, False),
 )
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|redacted|xxxx|\*\*\*\*|12345678"
-#: A value under this many owners is taken for one owner's own.
-EXAMPLE_OWNERS = 3
-#: A live-looking value is an example only if this share of all owners hold it, too.
-LIVE_SHARE = 0.5
+#: A value that doesn't look live is an example from this many owners or, whoever holds it, this many repositories on.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 100
+#: A live-looking value is one only with this share of all owners (and EXAMPLE_OWNERS), or with
+#: this many repositories of several owners: a single owner's own key stays live wherever it lies.
+LIVE_SHARE, LIVE_REPOS = 0.5, 1000
 REDACTED = "[secret]"
 SPAN = "array<struct<start:int,kind_no:int,kind:string,stop:int,value:string,base:boolean>>"
 
@@ -69,33 +70,47 @@ def live_looking(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike(PLACEHOLDER)
 
 
-def scan(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS, live_share: float = LIVE_SHARE) -> DataFrame:
+def is_example(live: Column, owners: Column, repos: Column, everyone: Column, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, live_share: float = LIVE_SHARE, live_repos: int = LIVE_REPOS) -> Column:
+    """Whether a value with that many owners and repositories is a widely copied example."""
+    shared = (owners >= example_owners) & (owners >= F.lit(float(live_share)) * everyone)
+    copied = (repos >= live_repos) & (owners >= 2)
+    return F.when(live, shared | copied).otherwise((owners >= example_owners) | (repos >= example_repos))
+
+
+def scan(docs: DataFrame, owner: str = "source", carry: Sequence[str] | None = None) -> DataFrame:
     """Adds `secrets`: array of (start, kind_no, kind, stop, class) by start, then kind; places in code points, stop exclusive.
 
     Base kinds (assign, access, hex) always stay. Other kinds stay where they look live and
-    aren't examples. class: `example` (held by example_owners owners or more in as many
-    different texts, and by live_share of all owners if it looks live), `live` (looks live,
-    isn't an example) or `weak`. A row's repository is its text, so copies are one; its owner is
-    the given column, where null counts as one of its own. Null and empty texts, and tables without
-    rows, have no secrets. Rows that repeat are each reported. An input column `secrets` is
-    replaced. Only rows with a candidate are shuffled; all others stream through.
+    aren't examples. class: `example` (see is_example: by the value's numbers of owners and of
+    repositories), `live` (looks live, isn't an example) or `weak`. A row's repository is its
+    text, so copies are one; its owner is the given column, where null counts as one of its own.
+    Null and empty texts, and tables without rows, have no secrets. Rows that repeat are each
+    reported. An input column `secrets` is replaced. `carry` names the columns to return (all).
+
+    Every text is searched once: the rows are written with their candidates, and only
+    candidates' hashes, places and row numbers are shuffled.
     """
     docs = replaced(docs, "secrets")
-    names = docs.columns
+    names = [c for c in docs.columns if carry is None or c in carry]
     text = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    any_kind = reduce(lambda a, b: a | b, [text.rlike(k[1]) for k in KINDS])
     kept = "array<struct<start:int,kind_no:int,kind:string,stop:int,class:string>>"
-    plain = docs.filter(~any_kind).withColumn("secrets", F.expr(f"cast(array() as {kept})"))
-    held = staged(docs.filter(any_kind).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), candidates(text).alias("_found"), F.sha2(text, 256).alias("_repo"), column(docs, owner, "string").alias("_owner"), F.monotonically_increasing_id().alias("_rid")), "secret-rows")
-    flat = held.select("_rid", "_repo", "_owner", F.explode("_found").alias("s")).select("_rid", F.sha2("s.value", 256).alias("hash"), F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), live_looking(F.col("s.value")).alias("live"), F.struct("s.start", "s.kind_no", "s.kind", "s.stop").alias("place"), F.col("s.base").alias("base"))
-    broad = ownership(flat).filter((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners))
-    everyone = docs.select(F.struct(column(docs, owner, "string")).alias("o")).distinct().agg(F.count("*").alias("everyone"))
-    common = broad.crossJoin(F.broadcast(everyone)).select("hash", F.lit(True).alias("common"), (F.col("owners") >= live_share * F.col("everyone")).alias("broad"))
-    kind = F.when(F.col("common") & (~F.col("live") | F.col("broad")), "example").when(F.col("live"), "live").otherwise("weak")
-    judged = flat.join(common, "hash", "left").withColumn("class", kind).filter(F.col("base") | (F.col("class") == "live"))
+    none = F.expr(f"cast(array() as {kept})")
+    row = F.struct(*[F.col(f"`{c}`") for c in names], F.lit(True).alias("_read"))
+    found = docs.select(row.alias("_row"), candidates(text).alias("_found"), column(docs, owner, "string").alias("_owner"), text.alias("_text"), F.monotonically_increasing_id().alias("_rid"))
+    held = staged(found.select("_row", "_found", "_owner", F.when(F.size("_found") > 0, F.sha2("_text", 256)).alias("_repo"), "_rid"), "secret-rows")
+    some = F.size("_found") > 0
+    flat = held.filter(some).select("_rid", "_repo", "_owner", F.explode("_found").alias("s")).select("_rid", F.sha2("s.value", 256).alias("hash"), F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), live_looking(F.col("s.value")).alias("live"), F.struct("s.start", "s.kind_no", "s.kind", "s.stop").alias("place"), F.col("s.base").alias("base"))
+    flat = staged(flat, "secret-candidates")
+    everyone = held.select(F.struct("_owner").alias("o")).distinct().agg(F.count("*").alias("n")).first()["n"]
+    counts = ownership(flat).filter((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)).select("hash", "owners", "repos")
+    example = F.col("owners").isNotNull() & is_example(F.col("live"), F.col("owners"), F.col("repos"), F.lit(everyone))
+    kind = F.when(example, "example").when(F.col("live"), "live").otherwise("weak")
+    judged = flat.join(counts, "hash", "left").withColumn("class", kind).filter(F.col("base") | (F.col("class") == "live"))
     by_row = judged.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("place.start", "place.kind_no", "place.kind", "place.stop", "class"))).alias("_kept"))
-    judged_rows = held.select("_rid", "_row").join(by_row, "_rid", "left").select("_row.*", F.coalesce(F.col("_kept"), F.expr(f"cast(array() as {kept})")).alias("secrets"))
-    return plain.unionByName(judged_rows)
+    fields = [F.col(f"_row.`{c}`").alias(c) for c in names]
+    plain = held.filter(~some).select(*fields, none.alias("secrets"))
+    hit = held.filter(some).select("_rid", "_row").join(by_row, "_rid", "left").select(*fields, F.coalesce(F.col("_kept"), none).alias("secrets"))
+    return plain.unionByName(hit)
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -116,7 +131,8 @@ def listed(spans: Column) -> Column:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read(spark, sf_dir, "documents"))
+    """The secrets of each whole text of `documents`; null and empty texts have none, repeated rows are each listed."""
+    found = scan(read(spark, sf_dir, "documents"), carry=["doc_id"])
     s = F.col("secrets")
     count = lambda field, value: F.size(F.filter(s, lambda x: x[field] == value)).cast("long")
     return found.select(
@@ -133,28 +149,33 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-#: DuckDB's common table expressions over a table d (rid, doc_id, source, text), up to `kept`: a row per secret kept.
+#: DuckDB's common table expressions over a table d (rid, doc_id, source, text, repo), up to `kept`: a row per secret kept.
 CTES_SQL = (
     "hits as ("
     + " union all ".join(
-        f"select rid, doc_id, source, {no} as kind_no, '{k}' as kind, {str(base).lower()} as base, {least} as least, string_split_regex(text, p) as gaps, regexp_extract_all(text, p) as m, regexp_extract_all(text, p, {group}) as v from d, (select {_quoted(pattern.replace('((?i)', '((?i:').replace('api_?key)', 'api_?key))'))} as p) where regexp_matches(text, p)"
+        f"select rid, doc_id, source, repo, {no} as kind_no, '{k}' as kind, {str(base).lower()} as base, {least} as least, string_split_regex(text, p) as gaps, regexp_extract_all(text, p) as m, regexp_extract_all(text, p, {group}) as v from d, (select {_quoted(pattern.replace('((?i)', '((?i:').replace('api_?key)', 'api_?key))'))} as p) where regexp_matches(text, p)"
         for no, (k, pattern, group, least, base) in enumerate(KINDS)
     )
     + r"""),
 nth as (select *, generate_subscripts(m, 1) as i from hits),
-piece as (select rid, doc_id, source, kind_no, kind, base, least, i, length(gaps[i]) as gap, length(m[i]) as hit, v[i] as value from nth),
+piece as (select rid, doc_id, source, repo, kind_no, kind, base, least, i, length(gaps[i]) as gap, length(m[i]) as hit, v[i] as value from nth),
 placed as (select *, (sum(gap + hit) over (partition by rid, kind_no order by i))::bigint as stop from piece),
 flat as (select *, stop - hit as start, sha256(value) as hash,
     length(value) >= 16 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= 8
     and not regexp_matches(value, """
     + _quoted(PLACEHOLDER)
     + r""") as live from placed where length(value) >= least),
-owned as (select hash, count(distinct coalesce(source, chr(0))) >= 3 as example from flat group by hash),
-kept as (select flat.*, case when example then 'example' when live then 'live' else 'weak' end as class from flat join owned using (hash) where base or (live and not example))
-"""
+votes as (select distinct hash, repo, coalesce(source, chr(0)) as owner from flat),
+each as (select hash, owner, sum(vote) as votes from (select *, 1.0::double / count(*) over (partition by hash, repo) as vote from votes) group by all),
+spread as (select hash, round(sum(least(votes, 1.0::double)), 6) as owners from each group by hash),
+owned as (select hash, owners, repos from spread join (select hash, count(distinct repo) as repos from votes group by hash) using (hash)),
+everyone as (select count(distinct coalesce(source, chr(0))) as n from d),
+classed as (select flat.*, case when live then (owners >= {own} and owners >= {share}::double * n) or (repos >= {many} and owners >= 2) else owners >= {own} or repos >= {some} end as example from flat join owned using (hash), everyone),
+kept as (select *, case when example then 'example' when live then 'live' else 'weak' end as class from classed where base or (live and not example))
+""".replace("{own}", str(EXAMPLE_OWNERS)).replace("{some}", str(EXAMPLE_REPOS)).replace("{share}", str(LIVE_SHARE)).replace("{many}", str(LIVE_REPOS))
 )
 SQL = (
-    "with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents), "
+    "with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text, sha256(coalesce(text, '')) as repo from documents), "
     + CTES_SQL
     + """, g as (select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
     string_agg(kind || ':' || start || ':' || stop, ',' order by start, kind_no) filter (base) as b,

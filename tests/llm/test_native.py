@@ -70,16 +70,17 @@ def test_redaction(spark):
 def test_examples_need_different_texts_and_owners(spark):
     import corpus_pipeline
 
-    keys = [f"ghp_0a1B2c3D4e5F6g7H8i{c}" for c in "JKLM"]
+    keys = [f"ghp_0a1B2c3D4e5F6g7H8i{c}" for c in "JKLMN"]
     rows = [(i, f"copied key {keys[0]}", f"s{i}") for i in range(10)]
     rows += [(10 + i, f"text {i} of few owners {keys[1]}", f"s{i}") for i in range(3)]
     rows += [(20 + i, f"text {i} of half the owners {keys[2]}", f"s{i}") for i in range(5)]
     # one text at five owners, the others at one
     rows += [(30 + i, f"text {max(0, i - 4)} {keys[3]}", f"s{i if i < 5 else 0}") for i in range(10)]
+    rows += [(100 + i, f"text {i} of one owner {keys[4]} api_key: weakly", "s0") for i in range(120)]
     rows += [(50 + i, f"text {i} password = hunter", f"s{i}") for i in range(3)] + [(60 + i, "password = copied", f"s{i}") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: [s["class"] for s in r.secrets] for r in secrets.scan(docs).collect()}
-    want = {0: ["live"], 10: ["live"], 20: [], 30: ["live"], 50: ["example"], 60: ["weak"]}
+    want = {0: ["live"], 10: ["live"], 20: [], 30: ["live"], 50: ["example"], 60: ["weak"], 100: ["live", "example"]}
     assert {i: got[i] for i in want} == want
     clean = {r.doc_id: r.text for r in corpus_pipeline.redact(spark, docs, "").collect()}
     assert all(keys[0] not in clean[i] for i in range(10)) and keys[1] not in clean[10] and keys[2] in clean[20] and keys[3] not in clean[39]
