@@ -138,6 +138,32 @@ def test_shards(spark, docs):
     assert sharding.shard(rows.limit(0)).count() == 0
 
 
+def test_splitters_against_plain_counts(spark):
+    """Bytes below each splitter, recounted in plain Python from the written order."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, f"text {rnd.random()} " * rnd.randint(1, 30), "s") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    keys = df.select(*[c.alias(n[1:]) for n, c in sharding._keys(df).items()])
+    keys.cache()
+    total = sum(len(t) + 8 for _, t, _ in rows)
+    found = sharding.splitters(keys, [(total * i / 7, total * 0.01) for i in range(1, 7)])
+    plain = sorted((r.k1, r.k2, r.k3, r.size) for r in keys.collect())
+    for i, b in enumerate(found, 1):
+        assert abs(sum(n for *k, n in plain if tuple(k) < b) - total * i / 7) <= total * 0.01
+    numbers = keys.select("k1", "k2", "k3", sharding._number(found, keys["k1"], keys["k2"], keys["k3"]).alias("n")).collect()
+    assert all(r.n == sum(b <= (r.k1, r.k2, r.k3) for b in found) for r in numbers)
+
+
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    rows = spark.createDataFrame([(1, "one text", "s", None)] * 2400 + [(None, None, None, "x")] * 3, "doc_id long, text string, source string, shard string")
+    out = sharding.shard(rows.repartition(3), 24).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    assert len(sums) == 24 and sums.max() - sums.min() <= 0.15 * sums.mean() and len(out) == 2403
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
 def test_clean_documents_stay(spark):
     clean = "\n".join(f"Sentence w{i} tells w{i + 1} about x{i} and y{i}, not z{i}." for i in range(20))
     noisy = "\n".join("Home | News | Sport | Login %d" % i for i in range(40))
