@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -17,26 +18,56 @@ from quire.llm.common import column, read, replaced, shipped
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Words of which the labelled table is made; hosts join two of a row, paths take one.
-BAD_HOSTS = ("casino-win", "cheap-pills", "free-bets", "adult-x", "spam-farm", "ads-track", "poker-bonus", "payday-loans", "porn-tube", "click-bait", "viagra-shop", "lottery-prize", "hot-singles", "warez-crack", "fake-rolex", "slots-jackpot")
-BAD_PATHS = ("bonus", "xxx", "win-now", "cheap-meds", "free-money", "ads/click", "popup", "affiliate")
-GOOD_HOSTS = ("library", "museum", "gardenclub", "weather", "cityhall", "mathworld", "recipes", "history", "bookshop", "research", "cyclists", "physics", "archives", "teachers", "music-school", "river-walks", "thhe", "tionsh", "anther", "ering", "ounted", "edthan", "stion", "handle")
-GOOD_PATHS = ("article", "en/12", "de/204.html", "news/today", "fr/88/", "docs/guide", "es/7", "blog/entry")
-TOPS = ("example.com", "example.org", "example.net", "site.com")
+#: Common words of sites by topic, written down from general knowledge, of which the labelled table is made.
+BLOCKED = {
+    "gambling": ("casino", "poker", "roulette", "betting", "jackpot", "slots", "bingo", "lottery", "gambler", "blackjack"),
+    "pills": ("viagra", "pills", "pharma", "steroids", "cialis", "weightloss", "tablets", "nopresc", "dietpill", "bodyhack"),
+    "adult": ("porn", "sexcam", "xxx", "escorts", "nude", "hotgirls", "hookup", "adults", "webcams", "playmate"),
+    "scams": ("payday", "getrich", "winner", "prizes", "giveaway", "fastcash", "cheap", "loans", "replica", "freebie"),
+    "piracy": ("warez", "torrents", "cracked", "keygen", "serialz", "nulled", "pirated", "streamz", "modapk", "hacked"),
+    "adverts": ("spammer", "adserver", "popunder", "clickbait", "banners", "affiliate", "tracking", "traffic", "leadgen", "adclicks"),
+}
+WELCOME = {
+    "study": ("library", "museum", "school", "college", "archive", "history", "science", "physics", "lecture", "biology"),
+    "home": ("garden", "kitchen", "recipes", "baking", "knitting", "family", "pottery", "flowers", "carpentry", "birdwatch"),
+    "news": ("gazette", "journal", "weather", "herald", "tribune", "review", "magazine", "reporter", "bulletin", "chronicle"),
+    "town": ("cityhall", "council", "railway", "hospital", "parish", "harbour", "theatre", "orchestra", "firebrigade", "village"),
+    "craft": ("software", "compiler", "database", "manual", "opensource", "robotics", "networks", "mathematics", "hardware", "graphics"),
+    "sport": ("cycling", "rowing", "football", "climbing", "athletics", "hiking", "sailing", "swimming", "marathon", "chess"),
+}
+TOPS = ("com", "org", "net", "example.com", "example.org", "info", "site.com", "eu")
+PLAIN_PATHS = ("", "/", "/index.html", "/en/12", "/de/204.html", "/2021/05/article", "/about", "/p?id=3", "/fr/88/", "/es/7", "/news/today", "/docs/guide")
+#: Hosts of each label, and as many invented names as fill the welcome ones up; one row each.
+PER_TOPIC, INVENTED = 60, 240
+
 
 BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table, 1 for blocked: each host with four top domains and a path in turn."""
-    rows = []
-    for hosts, paths, label in ((BAD_HOSTS, BAD_PATHS, 1), (GOOD_HOSTS, GOOD_PATHS, 0)):
-        for i, host in enumerate(hosts):
-            for j, top in enumerate(TOPS):
-                front = ("", "www.", "blog.", "m.")[(i + j) % 4]
-                path = (GOOD_PATHS if j % 2 else paths)[(i + j) % len(paths)]
-                rows.append((f"https://{front}{host}.{top}/{path}", label))
+def invented(rnd: random.Random) -> str:
+    """A pronounceable name without meaning."""
+    return "".join(rnd.choice("bcdfghjklmnprstvwz") + rnd.choice(("a", "e", "i", "o", "u", "ai", "on", "er", "an", "is")) for _ in range(rnd.randint(2, 4)))
+
+
+def labelled_urls(keep: Callable[[str], bool] = lambda word: True, seed: int = 3) -> list[tuple[str, int]]:
+    """The small labelled table, 1 for blocked, made by rule from the word lists, without regard to any table of urls.
+
+    A host joins two words of a topic, or a word and an invented name; half of the blocked
+    topics' urls have a word in their path, too. Invented hosts are allowed: a name says nothing
+    by itself. `keep` leaves out words (to hold some out).
+    """
+    rnd, rows = random.Random(seed), []
+    front = lambda: rnd.choice(("", "", "www.", "blog.", "m.", "shop."))
+    for topics, label in ((BLOCKED, 1), (WELCOME, 0)):
+        for words in topics.values():
+            words = [w for w in words if keep(w)]
+            for _ in range(PER_TOPIC if len(words) > 1 else 0):
+                a, b = rnd.sample(words, 2)
+                name = a + rnd.choice(("-", "", "-")) + (b if rnd.random() < 0.5 else invented(rnd))
+                path = f"/{rnd.choice(words)}/{rnd.randint(1, 99)}" if label and rnd.random() < 0.5 else rnd.choice(PLAIN_PATHS)
+                rows.append((f"https://{front()}{name}.{rnd.choice(TOPS)}{path}", label))
+    rows += [(f"https://{front()}{invented(rnd)}{rnd.choice(('', '-' + invented(rnd)))}.{rnd.choice(TOPS)}{rnd.choice(PLAIN_PATHS)}", 0) for _ in range(INVENTED)]
     return rows
 
 
@@ -112,7 +143,7 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return best, verdict
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] | None = None, threshold: float = 0.75) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] | None = None, threshold: float = 0.6) -> DataFrame:
     """Adds host, path, rule, block_score and verdict to rows with a `url`.
 
     A rule (host, then path prefix) fits its host and every subdomain where the url's path starts
@@ -137,4 +168,5 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each url of `pages`; null urls and those without :// are scored as empty ones, repeats alike."""
     return judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "block_score")
