@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import column, read, replaced, shipped
 
-#: At most this many labelled documents of each class are learned from.
-MAX_TRAIN = 2_000
+#: At most this many labelled documents of each class are learned from, none longer than this many
+#: bytes: so what the driver gathers is bounded by 2 * MAX_TRAIN * MAX_TRAIN_BYTES.
+MAX_TRAIN, MAX_TRAIN_BYTES = 2_000, 32 << 10
 #: Features in fewer training documents than this are left out, as are those not at least LIFT times
 #: as frequent in toxic documents as in clean ones: a sentence offends by what it holds.
 MIN_DOCS = 4
@@ -118,15 +119,18 @@ def held_out(doc_id: F.Column) -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> list[tuple[str, int]]:
     """Up to `most` labelled documents of each class outside the held-out third, first by a hash of doc_id.
 
-    The choice is made on the labels alone, so only the chosen texts leave their partitions.
+    The choice is made on the labels alone, so only the chosen texts leave their partitions;
+    those over MAX_TRAIN_BYTES are left out. Null texts count as empty. Of rows that repeat a
+    doc_id one text is taken, of an id with both labels a row each.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_id is not null and _toxic in (0, 1)").filter(~held_out(F.col("_id"))).distinct()
     spread = F.xxhash64(F.lit(11), "_id")
     picked = [usable.filter(F.col("_toxic") == y).orderBy(spread, "_id").limit(most) for y in (1, 0)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most ids
-    rows = docs.select(column(docs, "doc_id", "long").alias("_id"), column(docs, "text", "string").alias("_text")).join(chosen, "_id")
+    rows = docs.select(column(docs, "doc_id", "long").alias("_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("_text"))
+    rows = rows.filter(F.octet_length("_text") <= MAX_TRAIN_BYTES).join(chosen, "_id")
     found = rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).collect()
-    return [(r["_text"] or "", r["_toxic"]) for r in sorted(found, key=lambda r: (r["_id"], r["_toxic"]))]
+    return [(r["_text"], r["_toxic"]) for r in sorted(found, key=lambda r: (r["_id"], r["_toxic"]))]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -154,6 +158,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of whole `documents`, learned from `labels`; null and empty texts score 0, repeated rows alike, null ids aren't held out."""
     docs = read(spark, sf_dir, "documents")
     rows = training_rows(docs, read(spark, sf_dir, "labels"))
     model = fit([t for t, _ in rows], [y for _, y in rows])
