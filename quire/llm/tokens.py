@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import column, read, replaced, shipped
 
 VOCABULARY = "word_bpe_49k.json"
-#: A worker forgets what it has counted when it holds this many words; the counts don't depend on it.
-CACHE = 500_000
+#: A worker forgets what it has counted when it holds this many words, and never keeps longer ones than
+#: this many characters, so its memory is bounded; the counts don't depend on it.
+CACHE, LONGEST = 500_000, 40
 #: Unicode's white space, which Python's split() takes together with four control characters.
 BLANK = re.compile("[%s]+" % "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])))
 CONTROLS = [chr(c) for c in range(28, 32)]
@@ -45,7 +46,7 @@ def pieces_of(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """What a function gave for each of the words it met last; emptied when full."""
+    """What a function gave for each of the short words it met last; emptied when full. Longer words are computed each time."""
 
     def __init__(self, make: Callable[[str], Any]):
         super().__init__()
@@ -53,9 +54,10 @@ class Memo(dict):
 
     def __missing__(self, key: str) -> Any:
         value = self.make(key)
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = value
+        if len(key) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -165,7 +167,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Null and empty texts have 0 of both. Special strings inside a text count as one token each,
     as is the library's default. Each row is counted alone, without a shuffle; a worker keeps
-    the counts of at most CACHE words. Input columns named like an added one are replaced.
+    the counts of at most CACHE words of LONGEST characters. Input columns named like an added one are replaced.
     """
     path = path or vocabulary_path()
     shipped(docs.sparkSession)
@@ -181,6 +183,7 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of whole `documents`: null and empty texts have none, repeated rows are each counted."""
     rows = count_tokens(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
