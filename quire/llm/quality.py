@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import ALL, column, n_words, read, replaced, word_chars, words
 
 SYMBOLS = "#*$%&|<>"
-#: Sentences of page furniture; they fail a line of at most BOILERPLATE_WORDS words.
-BOILERPLATE = r"(?i)cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|sign up for our|subscribe to our|click here|skip to content|lorem ipsum|back to top"
+#: Sentences of page furniture in the four languages of the corpus; they fail a line of at most
+#: BOILERPLATE_WORDS words. Dots stand for accented letters.
+BOILERPLATE = (
+    r"(?i)cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|sign up for our|subscribe to our|click here|skip to content|lorem ipsum|back to top"
+    r"|cookie-richtlinie|datenschutzerkl.rung|nutzungsbedingungen|alle rechte vorbehalten|newsletter abonnieren|hier klicken|zum inhalt springen|nach oben scrollen"
+    r"|politique de confidentialit.|conditions d.utilisation|tous droits r.serv.s|abonnez-vous|cliquez ici|aller au contenu|haut de page"
+    r"|pol.tica de (?:cookies|privacidad)|t.rminos y condiciones|todos los derechos reservados|suscr.bete|haga? clic aqu.|saltar al contenido|volver arriba"
+)
 BOILERPLATE_WORDS = 15
 
 
@@ -93,6 +99,7 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat: float = 0.5, max_r
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of whole `documents`; null and empty texts fail as too short, repeated rows are judged alike."""
     return quality(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", "kept")
 
 
