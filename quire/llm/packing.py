@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import bisect
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from quire.llm.common import column, read, shipped, staged
 from quire.llm.tokens import encoder, vocabulary_path
 
 WINDOW = 4096
+#: Target proportions of op10 and of the pipeline: weights of the sources by code point, null last, repeating.
+WEIGHTS = (3.0, 1.0, 2.0)
+#: Rows of queue heads up to this many bytes are broadcast; beyond, token ids are shuffled to them.
+BROADCAST_BYTES, HEAD_BYTES = 32 << 20, 64
 #: A source's deficit is paid out in multiples of this many tokens, which keeps pieces long.
 QUANTUM = 64
 END = 2
@@ -55,6 +60,8 @@ class Schedule:
             queue = [q + n for q, n in zip(queue, took)]
             left = [n - t for n, t in zip(left, took)]
         self.rounds: dict[tuple[int, int], tuple[list[int], list[int], list[int]]] = {}
+        #: Of each source: where its part of each phase starts in its queue.
+        self.firsts = [[first[i] for _, _, first in self.phases] for i in range(len(sizes))]
 
     def _round(self, k: int, r: int) -> tuple[list[int], list[int], list[int]]:
         """Of a phase's round: what each source gave before it and up to its end, and where its part starts in the stream."""
@@ -77,7 +84,10 @@ class Schedule:
     def pieces(self, source: int, queue: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the document, length, window, offset) for n tokens at a place of a source's queue."""
         done = 0
-        for k, (_, sizes, first) in enumerate(self.phases):
+        for k in range(bisect.bisect_right(self.firsts[source], queue) - 1, len(self.phases)):
+            if done == n:
+                return
+            _, sizes, first = self.phases[k]
             size, total = sizes[source], sum(sizes)
             while done < n and first[source] <= queue + done < first[source] + size:
                 p = queue + done - first[source]
@@ -93,12 +103,13 @@ class Schedule:
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, window: int = WINDOW, targets: Mapping[str | None, float] | None = None, quantum: int = QUANTUM, path: str | None = None, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, targets: Mapping[str | None, float] | Sequence[float] | None = None, quantum: int = QUANTUM, path: str | None = None, end: int = END) -> DataFrame:
     """Packs documents into windows of `window` tokens; returns a row per piece (PIECES), ids as little-endian 32-bit numbers.
 
     A document's tokens are the library's ids of its whole text, then `end`; null or empty text
     has only `end`. A source's queue holds its documents in the order of input partitions and
-    rows (null is a source of its own). See Schedule for the places. Every token lies in exactly
+    rows (null is a source of its own). `targets` are proportions by source, or weights that the
+    sources, by code point and null last, take in turn. See Schedule for the places. Every token lies in exactly
     one piece and every window but the last is full. Texts are encoded once, into a table in the
     shared folder; only counts per partition and source are summed. The driver holds one number
     per source. Empty tables give no pieces; repeated rows are packed each. Columns other than
@@ -127,12 +138,17 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: Mapping[str | None, flo
     sizes = {r["source"]: r["tokens"] for r in heads.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(order)}
-    shares = [float(targets.get(s, 0.0)) for s in order] if targets else None
+    if isinstance(targets, Mapping):
+        shares = [float(targets.get(s, 0.0)) for s in order]
+    else:
+        shares = [float(targets[i % len(targets)]) for i in range(len(order))] if targets else None
     amounts = [sizes[s] for s in order]
     wide = "<u4" if encoder(path).wide == "<u4" else "<u2"
 
     before = F.coalesce(F.sum("tokens").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    few = heads.count() * HEAD_BYTES <= BROADCAST_BYTES
     queues = heads.select(F.col("source").alias("_s"), F.col("part").alias("_p"), before.alias("_before"))
+    queues = F.broadcast(queues) if few else queues
     placed = encoded.join(queues, encoded["source"].eqNullSafe(queues["_s"]) & (encoded["part"] == queues["_p"])).select("doc_id", "source", (F.col("head") + F.col("_before")).alias("queue"), "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +169,7 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: Mapping[str | None, flo
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(read(spark, sf_dir, "documents"))
+    """Pieces of whole `documents` in windows of the proportions WEIGHTS; null and empty texts have only the end, repeated rows are packed each."""
+    pieces = pack(read(spark, sf_dir, "documents"), targets=WEIGHTS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
