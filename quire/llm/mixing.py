@@ -85,6 +85,7 @@ def repeated(mixed: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of whole `documents`; null and empty texts have size 0, a null source is one of its own, repeated rows are alike."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

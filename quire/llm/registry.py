@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
+
 from quire.llm import mixing, neardup, neighbours, packing, quality, secrets, sharding, tokens, toxicity, urls
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_pipeline.run; imported when it is called, as the operators don't need that file."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_neighbours": neighbours.op1_neighbours,
@@ -18,7 +26,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_neardup": neardup.op9_neardup,
         "op10_packing": packing.op10_packing,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 

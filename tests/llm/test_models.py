@@ -275,3 +275,132 @@ def test_kept_documents_lose_no_text(spark):
     got = sorted((str(r.doc_id), str(shown[r.text])) for r in out.collect())
     assert got == sorted((str(d), str(t)) for d, t in [(3, "B"), (5, "A"), (30, "D"), (None, "E"), (40, "F"), (7, None), (7, None), (8, "")])
     assert neardup.kept_documents(docs.limit(0)).count() == 0
+
+
+def test_schedule_against_simulated_rounds():
+    """Deficit round-robin played token by token: every round adds to the deficits and pays out whole quanta."""
+    rnd = random.Random(6)
+    for case in range(40):
+        n, window, quantum = rnd.randint(1, 5), rnd.choice((16, 32, 50)), rnd.choice((1, 4, 8))
+        sizes = [rnd.randint(0, 400) for _ in range(n)]
+        targets = [float(rnd.randint(0, 3)) for _ in range(n)] if case % 4 else None
+        plan = packing.Schedule(sizes, targets, window, quantum)
+        want: list[list[tuple[int, int]]] = [[] for _ in sizes]
+        at = 0
+        for _, parts, _ in plan.phases:
+            total, given, rounds = sum(parts), [0] * n, -(-sum(parts) // window)
+            for r in range(1, rounds + 1):
+                for i, p in enumerate(parts):
+                    due = p if r == rounds else min(p, r * window * p // (total * quantum) * quantum)
+                    for _ in range(due - given[i]):
+                        want[i].append((at // window, at % window))
+                        at += 1
+                    given[i] = due
+        assert [len(w) for w in want] == sizes
+        for i, size in enumerate(sizes):
+            queue = 0
+            while queue < size:
+                doc = min(size - queue, rnd.randint(1, 60))
+                got = [(seq, off + j) for _, length, seq, off in plan.pieces(i, queue, doc) for j in range(length)]
+                assert got == want[i][queue : queue + doc]
+                queue += doc
+        if targets and all(t > 0 for t, s in zip(targets, sizes) if s) and sum(s > 0 for s in sizes) > 1:
+            first = plan.phases[0][1]
+            live = [i for i in range(n) if sizes[i]]
+            shares = [first[i] / sum(first) - targets[i] / sum(targets[j] for j in live) for i in live]
+            assert max(map(abs, shares)) <= n / sum(first)
+
+
+def test_op10_query(spark, tmp_path):
+    t, rnd = library(), random.Random(1)
+    rows = [(i, " ".join(rnd.choice(("alpha", "beta", "gamma", "don't", "é🎉")) for _ in range(rnd.randint(0, 3000))), "abcd"[i % 4] if i % 9 else None, "x") for i in range(40)] + [(None, "no id", "a", "y"), (41, None, "b", "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, length string").write.parquet(f"{tmp_path}/documents.parquet")
+    p = packing.op10_packing(spark, str(tmp_path)).toPandas()
+    whole = {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for d, x, *_ in rows}
+    for d, g in p.groupby("doc_id", dropna=False):
+        ids = whole[None if pd.isna(d) else int(d)]
+        g = g.sort_values("start")
+        assert list(g.start) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids) == g.doc_tokens.iloc[0]
+        assert all(c == zlib.crc32(ids[s : s + n].tobytes()) for s, n, c in zip(g.start, g.length, g.ids_crc32))
+    used = p.groupby("sequence_id").length.sum()
+    assert (used.iloc[:-1] == 4096).all() and used.iloc[-1] <= 4096
+    first = p[p.sequence_id < 3].groupby("source", dropna=False).length.sum()
+    assert abs(first["a"] / first["b"] - 3) < 0.3 and abs(first["c"] / first["b"] - 2) < 0.3
+
+
+def plain_toxicity(model, text):
+    """Noisy-or written out: 1 - prod(1 - sigmoid(bias + weights of the sentence's distinct words))."""
+    import math
+    import re
+
+    left = 1.0
+    for s in re.split(r"[.!?\n]+", text or ""):
+        words = set(re.findall(r"[^\W_]+", s.lower()))
+        if words:
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+            left *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - left
+
+
+def test_op2_query_against_plain_noisy_or(spark, tmp_path):
+    rnd = random.Random(12)
+    docs, labels = [], []
+    for i in range(300):
+        s = [" ".join("n%d" % rnd.randint(0, 60) for _ in range(8)) for _ in range(6)]
+        if i % 3 == 0:
+            s[i % 6] += " vile_word grubbish"
+        docs.append((i, "! ".join(s), "en", "clash"))
+        labels.append((i, int(i % 3 == 0), 1))
+    docs += [(400, None, "en", None), (401, "", "en", None), (402, "grubbish. " + "n1 n2 n3. " * 20_000, "en", None), (0, docs[0][1], "en", None), (None, "grubbish", "en", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (402, 1, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = toxicity.training_rows(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert max(len(t) for t, _ in rows) <= toxicity.MAX_TRAIN_BYTES
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    got = toxicity.op2_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs)
+    text = {d: t for d, t, *_ in docs}
+    for r in got:
+        assert r.score == pytest.approx(plain_toxicity(model, text[r.doc_id]), abs=1e-9) and r.predicted == (r.score >= 0.7)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert {r.doc_id for r in got if r.predicted and r.doc_id is not None} == {i for i in range(300) if i % 3 == 0} | {402}
+
+
+def test_op5_query_against_plain_python(spark, tmp_path):
+    made = [u for u, _ in urls.labelled_urls(seed=77)][:300]
+    odd = [None, "", "no scheme", "x://", "https://", "http://A.B.NET:80/x?y", "http://example.net/en", "http://fr.example.net/en/a", "http://xexample.net/en/", "https://org/fr/1", "https://a.org/FR/", "http://user@casino.com/#f", "a://b?c/d://e"]
+    rows = [(i, u, "clash", "clash") for i, u in enumerate(odd + made)]
+    spark.createDataFrame(rows, "page_id long, url string, verdict string, path string").write.parquet(f"{tmp_path}/pages.parquet")
+    w = urls.default_weights()
+    got = {r.page_id: r for r in urls.op5_urls(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, u, *_ in rows:
+        host, path = "", ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest.replace("?", "/").replace("#", "/").split("/")[0])
+            path = rest[len(host) :].split("?")[0].split("#")[0]
+        best = max((r for r, _ in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])), key=len, default=None)
+        verdict = dict(urls.RULES)[best] if best else "block" if urls.probability(w, host, path) >= 0.6 else "allow"
+        r = got[i]
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best, verdict), u
+
+
+def test_urls_held_out():
+    """Accuracy on hosts that weren't trained on, and on words that weren't (where little can be known)."""
+    third = lambda x: zlib.crc32(x.encode()) % 3 == 1
+    rows = urls.labelled_urls()
+    w = urls.train([r for r in rows if not third(urls.parts(r[0])[0])])
+    held = [(urls.probability(w, *urls.parts(u)) >= 0.6, y) for u, y in rows if third(urls.parts(u)[0])]
+    assert sum(p for p, y in held if y) >= 0.8 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.02 * len(held)
+    w = urls.train(urls.labelled_urls(lambda x: not third(x)))
+    scores = [(urls.probability(w, *urls.parts(u)), y) for u, y in urls.labelled_urls(third, seed=8)]
+    good, bad = [p for p, y in scores if not y], [p for p, y in scores if y]
+    assert sum(a > b for a in bad for b in good) >= 0.65 * len(good) * len(bad)
+
+
+def test_long_words_are_not_kept():
+    c = tokens.counter(tokens.vocabulary_path())
+    long = "k" * 5000 + "é" * 100
+    assert c.count(long) == len(library().encode(long, add_special_tokens=False).ids)
+    assert all(len(k) <= tokens.LONGEST for memo in (c.words, c.runs, c.odd) for k in memo)
