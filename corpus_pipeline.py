@@ -28,8 +28,9 @@ def _apart(docs: DataFrame) -> DataFrame:
 
 def _together(rows: DataFrame, names: list[str], text: Column) -> DataFrame:
     """The columns of the stage's input, with a new text and, where there is one, its n_chars."""
-    n_chars = F.length(text).cast("long")
-    return rows.select(*[(text if c == "text" else n_chars if c == "n_chars" else F.col(f"_doc.`{c}`")).alias(c) for c in names])
+    rows = rows.select(text.alias("_new"), "_doc")  # first, lest `text` below mean the new one
+    n_chars = F.length("_new").cast("long")
+    return rows.select(*[(F.col("_new") if c == "text" else n_chars if c == "n_chars" else F.col(f"_doc.`{c}`")).alias(c) for c in names])
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
