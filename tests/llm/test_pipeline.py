@@ -59,3 +59,28 @@ def test_stages(spark, rows, tmp_path):
 def test_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_odd_rows(spark, rows):
+    """Columns named like an operator's, repeated and null ids, null texts: every stage passes the columns on as they were."""
+    from pyspark.sql import functions as F
+
+    odd = [(5, None, "en", "a", 0, "x"), (None, rows[3][1] + " other end of it", None, None, None, None), (7, rows[7][1], "en", "b", 0, "x"), (7, rows[20][1][:200] * 2, "en", "b", 0, "x"), (None, "", "en", "a", 0, "x")]
+    clash = ("n_words", "kept", "size", "target", "secrets", "taken", "cleaned", "print", "h1", "_text", "_doc2", "a.b")
+    docs = spark.createDataFrame(rows + odd, SCHEMA).withColumns({c: F.lit(f"mine {c}") for c in clash})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[c] == f"mine {c}" for r in found for c in clash), name
+        assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in found) or name == "near_duplicates"
+    near = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    ids = [r.doc_id for r in near]
+    assert ids.count(7) == 2 and set(range(60)) <= set(ids) and not set(range(60, 70)) & set(ids)
+    assert sum(r.text is None for r in near) == 2 and sum(r.text == "" for r in near) == 1
+
+
+def test_quality_is_computed_once(spark, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = corpus_pipeline.clean(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") <= 1 + plan.count("cleaned AS cleaned")
