@@ -201,10 +201,12 @@ def grouped(docs: DataFrame, link: int, width: int, collections: int, rows: int,
 
     m = collections
     keys = F.expr(f"transform(sequence(0, {m * m - 1}), t -> xxhash64(t, sig[cast(t div {m} as int)], sig[cast({m} + t % {m} as int)]))")
-    rows_ = classes.select("node", "n", F.explode(keys).alias("key"))
+    # heads are the classes of the smallest doc_id: of a text and its edited copies mostly the text, from which none is far
+    doc = F.coalesce("first.doc_id", F.lit((1 << 63) - 1))
+    rows_ = classes.select("node", "n", doc.alias("doc"), F.explode(keys).alias("key"))
     # written, so that the join below has plain inputs and hot keys can be dealt anew
-    heads = staged(rows_.groupBy("key").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"), F.count("*").alias("c")).filter("c > 1").drop("c"), "heads")
-    shared = staged(rows_.join(heads, "key"), "buckets")
+    heads = staged(rows_.groupBy("key").agg(F.min(F.struct("doc", "node", "n")).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("h.node").alias("head"), F.col("h.n").alias("head_n")), "heads")
+    shared = staged(rows_.drop("doc").join(heads, "key"), "buckets")
     fits = "100 * least({0}, {1}) >= {2} * greatest({0}, {1})"
     stars = staged(shared.filter("node <> head").filter(fits.format("n", "head_n", link)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
