@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.session import staged
+
 #: Font file of each script.
 FONTS = {
     "latin": "NotoSans-Regular.ttf", "cyrillic": "NotoSans-Regular.ttf", "arabic": "NotoSansArabic-Regular.ttf", "hebrew": "NotoSansHebrew-Regular.ttf",
@@ -41,13 +43,16 @@ def encoded(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
 
 
 def closure(used: DataFrame, parts: DataFrame) -> DataFrame:
-    """Glyphs used, with all that composite glyphs are made of, to any depth."""
-    found = used.select("gid").distinct()
+    """Glyphs used, with all that composite glyphs are made of, to any depth.
+
+    Each level is written and only the newest is joined, so the plan is one scan a level.
+    """
+    newest = found = staged(used.select("gid").distinct(), "glyphs")
     while True:
-        more = found.join(parts, "gid").select(F.col("part").alias("gid")).distinct().join(found, "gid", "left_anti")
-        if more.isEmpty():
+        newest = staged(newest.join(parts, "gid").select(F.col("part").alias("gid")).distinct().join(found, "gid", "left_anti"), "glyph-parts")
+        if newest.isEmpty():
             return found
-        found = found.unionByName(more)
+        found = found.unionByName(newest)
 
 
 def width_runs(glyphs: DataFrame) -> DataFrame:

@@ -57,12 +57,19 @@ def assembly(jobs: DataFrame, pages: DataFrame) -> DataFrame:
     return ready.select("document_id", "output_path", F.array_join(F.transform("_p", page_file), ",").alias("files"))
 
 
+def normal_path(path: Column) -> Column:
+    """An absolute path without empty and `.` segments, each `..` taking the one before it."""
+    none = F.expr("cast(array() as array<string>)")
+    step = lambda a, s: F.when(s.isin("", "."), a).when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), none, step), "/"))
+
+
 def safe_path(path: Column, *roots: str) -> Column:
-    """Whether a path is a strict descendant of a root."""
+    """Whether an absolute path, its `.` and `..` resolved, is a strict descendant of a root; a root itself never is."""
     found = F.lit(False)
     for root in roots:
-        found = found | path.startswith(root.rstrip("/") + "/")
-    return found & ~path.contains("/../")
+        found = found | normal_path(path).startswith(root.rstrip("/") + "/")
+    return F.coalesce(path.startswith("/") & found, F.lit(False))
 
 
 def stale(jobs: DataFrame, now: str, roots: tuple[str, ...], hours: int = 24) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import centre_in
 from quire.functions.text import is_blank
+from quire.session import staged
 
 PAGE = ("doc_id", "page")
 #: Lines no further apart than this in y are on one level.
@@ -87,9 +88,11 @@ def layout_blocks(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Merged, unmatched and image blocks of each page, numbered from 1: by region, then by line, then by image region.
 
     Lines of pages without regions pass through. One outer join against the leaf regions feeds
-    both the merged and the unmatched blocks.
+    both the merged and the unmatched blocks; it and the regions are written once, as each is
+    read several times.
     """
-    joined = matched_lines(lines, leaf_regions(regions), "left")
+    regions = staged(regions, "regions")
+    joined = staged(matched_lines(lines, leaf_regions(regions), "left"), "matched")
     columns = [*PAGE, "x", "y", "w", "h", "text", "font_size", "font_name", "block_type"]
     part = lambda df, origin, rank, order: df.select(*columns, F.lit(origin).alias("origin"), F.lit(rank).alias("_o"), F.col(order).cast("int").alias("_k"))
     merged = part(merged_blocks(joined.filter("rid is not null")), "region", 0, "rid")

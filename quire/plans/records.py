@@ -27,7 +27,7 @@ TABLES["jobs"] = (
     (),
     """select o_orderkey as id, '/in/' || o_orderkey || '.pdf' as input_path, '/in/' || o_orderkey || '_translated.pdf' as output_path, ['de', 'fr', 'es'][(o_orderkey % 3 + 1)::int] as target_lang, (1 + o_orderkey % 7)::int as total_pages,
     case o_orderstatus when 'F' then 'completed' when 'O' then 'pending' else case when o_orderkey % 2 = 0 then 'failed' else 'running' end end as status, o_orderdate::timestamp as updated_at,
-    case o_orderkey % 4 when 0 then '/tmp/pt-' || o_orderkey when 1 then '/tmp_evil/' || o_orderkey when 2 then '/data/app/' || o_orderkey else '' end as temp_dir from orders""",
+    case o_orderkey % 8 when 0 then '/tmp/pt-' || o_orderkey when 1 then '/tmp_evil/' || o_orderkey when 2 then '/data/app/' || o_orderkey when 4 then '/tmp/..' when 5 then '/tmp/a/../b' || o_orderkey when 6 then '/data/app/../x' || o_orderkey when 7 then '/tmp//' else '' end as temp_dir from orders""",
 )
 TABLES["pages_"] = (
     ("jobs",),
@@ -35,7 +35,7 @@ TABLES["pages_"] = (
     select id as document_id, p as page_num, case when (id + p) % 3 = 0 then 'scanned' else 'native' end as page_type, case (id * 3 + p) % 5 when 0 then 'pending' when 1 then 'running' when 2 then 'failed' else 'completed' end as status
     from (select id, unnest(range(1, total_pages + 1))::int as p from jobs))""",
 )
-TABLES["stale"] = (("jobs",), "select *, temp_dir like '/tmp/%' or temp_dir like '/data/app/%' as safe from jobs where status <> 'completed' and updated_at < timestamp '2001-01-01' - interval 24 hours")
+TABLES["stale"] = (("jobs",), "select *, id % 8 in (0, 2, 5) as safe from jobs where status <> 'completed' and updated_at < timestamp '2001-01-01' - interval 24 hours")
 TABLES["glyphs"] = ((), "select code_point, 1 + code_point % 100 as gid, 400 + (1 + code_point % 100) % 300 as advance, (1 + code_point % 100) * 13 % 90 as glyph_len from (select distinct unicode(c)::int as code_point from (select unnest(string_split(text, '')) as c from documents) where c <> '')")
 TABLES["parts"] = (("glyphs",), "select distinct gid, gid // 2 as part from (select unnest(range(1, 101))::int as gid) where gid % 10 = 0")
 TABLES["reached"] = (("glyphs", "parts"), "select distinct gid from glyphs where gid > 60 union select p.part from reached r join parts p on p.gid = r.gid")
@@ -94,7 +94,7 @@ def stale_jobs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.stale(v.document_jobs(spark, d), v.NOW, ROOTS).select("id", "status", "temp_dir", "safe")
 
 
-@query("q_safe_paths", "select id, temp_dir like '/tmp/%' or temp_dir like '/data/app/%' as safe from jobs", "jobs")
+@query("q_safe_paths", "select id, id % 8 in (0, 2, 5) as safe from jobs", "jobs")
 def safe_paths(spark: SparkSession, d: str) -> DataFrame:
     return v.document_jobs(spark, d).select("id", jobs.safe_path(F.col("temp_dir"), *ROOTS).alias("safe"))
 
@@ -134,15 +134,8 @@ def resume_state(spark: SparkSession, d: str) -> DataFrame:
     return jobs.resumed(v.page_jobs(spark, d)).select("document_id", "page_num", "status", "error_message", "retries")
 
 
-@query("q_encode_hex", "select doc_id as id, coalesce(string_agg(lpad(upper(to_hex(case when c = '.' then 0 else 1 + unicode(c) % 100 end)), 4, '0'), '' order by i), '') as hex from (select doc_id, generate_subscripts(cs, 1) as i, unnest(cs) as c from (select doc_id, list_filter(string_split(left(text, 500), ''), lambda x: x <> '') as cs from documents)) group by doc_id")
+@query("q_encode_hex", "select doc_id as id, coalesce(array_to_string(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda c: lpad(upper(to_hex(case when c = '.' then 0 else 1 + unicode(c) % 100 end)), 4, '0')), ''), '') as hex from documents")
 def encode_hex(spark: SparkSession, d: str) -> DataFrame:
-    texts = v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 500).alias("text"))
-    return fonts.encoded(texts, v.glyphs(spark, d).filter(F.col("code_point") != ord(".")))
-
-
-@query("q_encode_hex_whole", "select doc_id as id, coalesce(array_to_string(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda c: lpad(upper(to_hex(case when c = '.' then 0 else 1 + unicode(c) % 100 end)), 4, '0')), ''), '') as hex from documents")
-def encode_hex_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As q_encode_hex, whose oracle takes 500 characters, over whole texts."""
     texts = v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return fonts.encoded(texts, v.glyphs(spark, d).filter(F.col("code_point") != ord(".")))
 
@@ -187,9 +180,9 @@ def fonts_missing(spark: SparkSession, d: str) -> DataFrame:
 
 TABLES["answers"] = (
     (),
-    """select conv_id, n + case when conv_id % 10 = 9 then 1 else 0 end as expected, plain, items, n, case conv_id % 4 when 0 then plain when 1 then '```json' || chr(10) || plain || chr(10) || '```' when 2 then 'Here: ' || plain || ' Done.' else objects end as content, case conv_id % 4 when 3 then objects else plain end as body from (
-    select conv_id, count(*) as n, list(t order by turn) as items, '["' || string_agg(t, '","' order by turn) || '"]' as plain, '[' || string_agg('{"id":' || k || ',"text":"' || t || '"}', ',' order by turn) || ']' as objects from (
-    select conv_id, turn, translate(left(text, 40), '"\\' || chr(10), '') as t, row_number() over (partition by conv_id order by turn) - 1 as k from conversations) group by conv_id)""",
+    """select conv_id, n + case when conv_id % 10 = 9 then 1 else 0 end as expected, items, n, case conv_id % 4 when 3 then objects else plain end as body from (
+    select conv_id, count(*) as n, list(text order by turn) as items, to_json(list(text order by turn))::varchar as plain, to_json(list({'id': k, 'text': text} order by turn))::varchar as objects from (
+    select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as k from conversations) group by conv_id)""",
 )
 
 
@@ -203,26 +196,6 @@ def parse_response(spark: SparkSession, d: str) -> DataFrame:
     return translate.parsed(v.responses(spark, d)).select("conv_id", "error", F.array_join("translations", "|").alias("translations"))
 
 
-TABLES["whole_answers"] = (
-    (),
-    """select conv_id, n + case when conv_id % 10 = 9 then 1 else 0 end as expected, items, n, case conv_id % 4 when 3 then objects else plain end as body from (
-    select conv_id, count(*) as n, list(text order by turn) as items, to_json(list(text order by turn))::varchar as plain, to_json(list({'id': k, 'text': text} order by turn))::varchar as objects from (
-    select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as k from conversations) group by conv_id)""",
-)
-
-
-@query("q_extract_json_whole", "select conv_id, body from whole_answers", "whole_answers")
-def extract_json_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As q_extract_json, whose oracle takes 40 characters of a turn, over whole turns."""
-    return v.whole_responses(spark, d).select("conv_id", translate.extract_json_array(F.col("content")).alias("body"))
-
-
-@query("q_parse_response_whole", "select conv_id, case when expected <> n then 'expected ' || expected || ' translations, got ' || n end as error, case when expected = n then array_to_string(items, '|') end as translations from whole_answers", "whole_answers")
-def parse_response_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As q_parse_response, over whole turns."""
-    return translate.parsed(v.whole_responses(spark, d)).select("conv_id", "error", F.array_join("translations", "|").alias("translations"))
-
-
 @query(
     "q_background",
     """with boxes as (select id, (id % 5)::int as x0, (id % 7)::int as y0, (id % 5 + 6)::int as x1, (id % 7 + 4 + id % 3)::int as y1 from range(200) t(id)),

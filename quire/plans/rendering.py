@@ -10,6 +10,7 @@ from quire.operators import overlay, segments, translate
 from quire.operators.layout import PAGE
 from quire.plans.base import BLANK, TABLES, d_collapse, d_fields, d_trim, query
 from quire.plans.pages import blocks
+from quire.session import staged
 from quire.sources import virtual as v
 
 D_SCRIPTS = (("arabic", "Arabic"), ("hebrew", "Hebrew"), ("devanagari", "Devanagari"), ("cjk", "Han"), ("thai", "Thai"), ("korean", "Hangul"), ("cyrillic", "Cyrillic"))
@@ -133,9 +134,9 @@ def translated(spark: SparkSession, d: str) -> DataFrame:
 
 def placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(blocks with their strips, refined and laid-out strips)."""
-    b = translated(spark, d)
-    strips = segments.segments(b)
-    p = segments.assigned(b, strips)
+    b = staged(translated(spark, d), "blocks")
+    strips = staged(segments.segments(b), "strips")
+    p = staged(segments.assigned(b, strips), "placed")
     return p, segments.laid_out(segments.refined(strips, p))
 
 
@@ -158,25 +159,25 @@ def diagram_regions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_segments", "select doc_id, page, seg_no, is_diagram, y_low, y_high from strips", "strips")
 def segments_(spark: SparkSession, d: str) -> DataFrame:
-    return segments.segments(blocks(spark, d)).select(*PAGE, "seg_no", "is_diagram", "y_low", "y_high")
+    return segments.segments(staged(blocks(spark, d), "blocks")).select(*PAGE, "seg_no", "is_diagram", "y_low", "y_high")
 
 
 @query("q_nearest_segment", "select doc_id, page, block_no, seg_no from placed", "placed")
 def nearest_segment(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d)
+    b = staged(blocks(spark, d), "blocks")
     return segments.assigned(b, segments.segments(b)).select(*PAGE, "block_no", "seg_no")
 
 
 @query("q_diagram_padding", "select doc_id, page, seg_no, pad from pads", "pads")
 def diagram_padding(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d)
+    b = staged(blocks(spark, d), "blocks")
     return segments.paddings(segments.assigned(b, segments.segments(b)))
 
 
 @query("q_refined_bounds", "select * from refined", "refined")
 def refined_bounds(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d)
-    s = segments.segments(b)
+    b = staged(blocks(spark, d), "blocks")
+    s = staged(segments.segments(b), "strips")
     return segments.refined(s, segments.assigned(b, s))
 
 
@@ -264,27 +265,33 @@ def d_samples() -> str:
 
 
 TABLES["samples"] = ((), d_samples())
+TABLES["texts"] = (("samples",), "select id::bigint as id, text from samples union all select 1000 + doc_id, text from documents")
 
 
-@query("q_is_rtl", f"select id, {d_rtl('text')} as rtl from samples", "samples")
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The literals and all documents, whole."""
+    docs = v.read(spark, d, "documents").select((F.col("doc_id") + 1000).alias("id"), "text")
+    return v.samples(spark).select(F.col("id").cast("long").alias("id"), "text").unionByName(docs)
+
+
+@query("q_is_rtl", f"select id, {d_rtl('text')} as rtl from texts", "texts")
 def is_rtl(spark: SparkSession, d: str) -> DataFrame:
-    return v.samples(spark).select("id", script.is_rtl(F.col("text")).alias("rtl"))
+    return texts(spark, d).select("id", script.is_rtl(F.col("text")).alias("rtl"))
 
 
-@query("q_detect_script", f"select id, {d_script('text')} as script from samples union all select 1000 + doc_id, {d_script('text')} from documents", "samples")
+@query("q_detect_script", f"select id, {d_script('text')} as script from texts", "texts")
 def detect_script(spark: SparkSession, d: str) -> DataFrame:
-    docs = v.read(spark, d, "documents").select((F.col("doc_id") + 1000).alias("id"), "text")
-    return v.samples(spark).select(F.col("id").cast("long"), "text").unionByName(docs).select("id", script.detect_script(F.col("text")).alias("script"))
+    return texts(spark, d).select("id", script.detect_script(F.col("text")).alias("script"))
 
 
-@query("q_char_ratio", f"select id, {d_ratio('text')} as ratio from samples", "samples")
+@query("q_char_ratio", f"select id, {d_ratio('text')} as ratio from texts", "texts")
 def char_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return v.samples(spark).select("id", script.char_ratio(F.col("text")).alias("ratio"))
+    return texts(spark, d).select("id", script.char_ratio(F.col("text")).alias("ratio"))
 
 
-@query("q_formula_blocks", f"select id, regexp_matches(text, '{FORMULA}') as formula from samples", "samples")
+@query("q_formula_blocks", f"select id, regexp_matches(text, '{FORMULA}') as formula from texts", "texts")
 def formula_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return v.samples(spark).select("id", text.is_formula(F.col("text")).alias("formula"))
+    return texts(spark, d).select("id", text.is_formula(F.col("text")).alias("formula"))
 
 
 def d_win(c: str) -> str:
@@ -300,34 +307,12 @@ def winansi(spark: SparkSession, d: str) -> DataFrame:
     return codes.select("code_point", text.win_ansi(F.col("code_point")).alias("byte"))
 
 
-@query("q_pdf_escape", f"select id, coalesce(string_agg(case when b in (40, 41, 92) then '5C' else '' end || lpad(to_hex(b), 2, '0'), '' order by i), '') as escaped from (select id, i, ({d_win('c')})::int as b from (select id, generate_subscripts(cs, 1) as i, unicode(unnest(cs)) as c from (select id, list_filter(string_split(text, ''), lambda x: x <> '') as cs from samples))) right join (select id from samples) using (id) group by id", "samples")
-def pdf_escape(spark: SparkSession, d: str) -> DataFrame:
-    return v.samples(spark).select("id", text.pdf_escape(F.col("text")).alias("escaped"))
-
-
-def whole_texts(spark: SparkSession, d: str) -> DataFrame:
-    return v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+ESCAPED = f"array_to_string(list_transform(list_transform(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x)), lambda c: ({d_win('c')})::int), lambda b: case when b in (40, 41, 92) then '5C' else '' end || lpad(to_hex(b), 2, '0')), '')"
 
 
-@query("q_is_rtl_whole", f"select doc_id as id, {d_rtl('text')} as rtl from documents")
-def is_rtl_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As q_is_rtl, which has literals only, over documents; so are the next three."""
-    return whole_texts(spark, d).select("id", script.is_rtl(F.col("text")).alias("rtl"))
-
-
-@query("q_char_ratio_whole", f"select doc_id as id, {d_ratio('text')} as ratio from documents")
-def char_ratio_whole(spark: SparkSession, d: str) -> DataFrame:
-    return whole_texts(spark, d).select("id", script.char_ratio(F.col("text")).alias("ratio"))
-
-
-@query("q_formula_blocks_whole", f"select doc_id as id, regexp_matches(text, '{FORMULA}') as formula from documents")
-def formula_blocks_whole(spark: SparkSession, d: str) -> DataFrame:
-    return whole_texts(spark, d).select("id", text.is_formula(F.col("text")).alias("formula"))
-
-
-@query("q_pdf_escape_whole", f"select doc_id as id, array_to_string(list_transform(list_transform(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda x: unicode(x)), lambda c: ({d_win('c')})::int), lambda b: case when b in (40, 41, 92) then '5C' else '' end || lpad(to_hex(b), 2, '0')), '') as escaped from documents")
-def pdf_escape_whole(spark: SparkSession, d: str) -> DataFrame:
-    return whole_texts(spark, d).select("id", text.pdf_escape(F.col("text")).alias("escaped"))
+@query("q_pdf_escape", f"select id, {ESCAPED} as escaped from texts", "texts")
+def pdf_escape(spark: SparkSession, d: str) -> DataFrame:
+    return texts(spark, d).select("id", text.pdf_escape(F.col("text")).alias("escaped"))
 
 
 @query("q_error_class", "select id, case when contains(lower(text), 'encrypted') or contains(lower(text), 'password') then 'encrypted' else 'other' end as class from samples", "samples")

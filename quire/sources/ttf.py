@@ -93,6 +93,12 @@ class Font:
         """A glyph's width; glyphs beyond the table have the last one's."""
         return self.advances[min(gid, len(self.advances) - 1)] if self.advances else 0
 
+    def bearing(self, gid: int) -> int:
+        """A glyph's left side bearing; 0 where the table ends before it."""
+        n, t = len(self.advances), self.parts["hmtx"]
+        at = 4 * gid + 2 if gid < n else 4 * n + 2 * (gid - n)
+        return struct.unpack_from(">h", t, at)[0] if at + 2 <= len(t) else 0
+
     def name(self) -> str:
         """The PostScript name, without spaces."""
         t = self.parts.get("name", b"")
@@ -155,11 +161,19 @@ class Font:
         struct.pack_into(">H", hhea, 34, last + 1)
         maxp = bytearray(self.parts["maxp"])
         struct.pack_into(">H", maxp, 4, last + 1)
-        hmtx = b"".join(struct.pack(">Hh", self.advance(g) if g in keep else 0, 0) for g in range(last + 1))
+        hmtx = b"".join(struct.pack(">Hh", self.advance(g), self.bearing(g)) for g in range(last + 1))
         own = {"glyf": bytes(glyf), "loca": struct.pack(f">{len(loca)}I", *loca), "head": bytes(head), "hhea": bytes(hhea), "maxp": bytes(maxp), "hmtx": hmtx}
         return assembled({**{t: self.parts[t] for t in ("cmap", "OS/2", "name", "post", "cvt ", "fpgm", "prep") if t in self.parts}, **own})
 
 
+def subset_or_whole(data: bytes, text: str) -> bytes:
+    """A subset for a text, or the file as it is where it can't be parsed."""
+    try:
+        return Font.of(data).subset(text)
+    except (ValueError, KeyError, IndexError, struct.error):
+        return data
+
+
 def checksum(data: bytes) -> int:
     """The sum of big-endian 32-bit words, the last padded with zeros, modulo 2**32."""
     padded = data + b"\0" * (-len(data) % 4)

@@ -87,7 +87,7 @@ NOW = "2001-01-01"
 def document_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     status = F.expr("case o_orderstatus when 'F' then 'completed' when 'O' then 'pending' else case when o_orderkey % 2 = 0 then 'failed' else 'running' end end")
-    temp = F.expr("case o_orderkey % 4 when 0 then concat('/tmp/pt-', o_orderkey) when 1 then concat('/tmp_evil/', o_orderkey) when 2 then concat('/data/app/', o_orderkey) else '' end")
+    temp = F.expr("case o_orderkey % 8 when 0 then concat('/tmp/pt-', o_orderkey) when 1 then concat('/tmp_evil/', o_orderkey) when 2 then concat('/data/app/', o_orderkey) when 4 then '/tmp/..' when 5 then concat('/tmp/a/../b', o_orderkey) when 6 then concat('/data/app/../x', o_orderkey) when 7 then '/tmp//' else '' end")
     name = lambda s: F.expr(f"concat('/in/', o_orderkey, '{s}.pdf')")
     return o.select(F.col("o_orderkey").alias("id"), name("").alias("input_path"), name("_translated").alias("output_path"), F.expr("element_at(array('de', 'fr', 'es'), cast(o_orderkey % 3 + 1 as int))").alias("target_lang"), F.expr("cast(1 + o_orderkey % 7 as int)").alias("total_pages"), status.alias("status"), F.col("o_orderdate").cast("timestamp").alias("updated_at"), temp.alias("temp_dir"))
 
@@ -108,19 +108,7 @@ def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's answers by conversation, in four styles, some of another length than was asked for."""
-    c = read(spark, sf_dir, "conversations")
-    item = F.translate(F.substring("text", 1, 40), '"\\\n', "")
-    g = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", item.alias("t")))), lambda x: x["t"]).alias("items"))
-    plain = F.concat(F.lit('["'), F.array_join("items", '","'), F.lit('"]'))
-    objects = F.concat(F.lit("["), F.array_join(F.transform("items", lambda t, i: F.concat(F.lit('{"id":'), i.cast("string"), F.lit(',"text":"'), t, F.lit('"}'))), ","), F.lit("]"))
-    style = F.col("conv_id") % 4
-    content = F.when(style == 0, plain).when(style == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(style == 2, F.concat(F.lit("Here: "), plain, F.lit(" Done."))).otherwise(objects)
-    return g.select("conv_id", content.alias("content"), (F.size("items") + F.when(F.col("conv_id") % 10 == 9, 1).otherwise(0)).alias("expected"))
-
-
-def whole_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As responses(), of whole turns with all their characters, escaped as JSON."""
+    """A model's answers by conversation, whole turns escaped as JSON, in four styles, some of another length than was asked for."""
     c = read(spark, sf_dir, "conversations")
     g = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("items"))
     plain, objects = F.to_json("items"), F.to_json(F.transform("items", lambda t, i: F.struct(i.alias("id"), t.alias("text"))))
