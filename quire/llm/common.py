@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import shipped  # noqa: F401
+from quire.session import dropped, shared_dir, shared_path, shipped, staged  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -43,55 +40,5 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    Only a session on one machine (a local master) may have neither; it gets a temporary folder,
-    remembered in the session. Elsewhere that would lose tables, so it is an error.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("quire.shared.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        place = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("quire.shared.dir", place)
-    return place.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/quire/{uuid.uuid4().hex}-{name}"
-    target, files = _hadoop_path(spark, path)
-    files.deleteOnExit(target)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder.
-
-    This cuts the lineage: lost executors cost at most the reading of the table, and
-    generated row ids stay what they were.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Removes staged tables that nothing reads any more; frames that aren't staged themselves are left alone."""
-    for t in tables:
-        if path := getattr(t, "_staged_at", None):
-            target, files = _hadoop_path(t.sparkSession, path)
-            files.delete(target, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
