@@ -126,3 +126,12 @@ def config_violations() -> Column:
         F.when(~F.col("dpi").between(72, 600), "dpi"),
     ]
     return F.array_join(F.array(*bad), ",")
+
+
+#: Stream filters whose data are images as they stand.
+IMAGE_FILTERS = ("DCTDecode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode")
+
+
+def is_image_stream(filters: Column) -> Column:
+    """Whether any of a stream's filters leaves image data, which are passed on undecoded; no filters (null or empty) mean no."""
+    return F.coalesce(F.arrays_overlap(filters, F.array(*map(F.lit, IMAGE_FILTERS))), F.lit(False))

@@ -75,6 +75,40 @@ def to_unicode(glyphs: DataFrame, chunk: int = 100) -> DataFrame:
     return g.withColumn("chunk", F.expr(f"(row_number() over (order by gid) - 1) div {chunk}"))
 
 
+#: What surrounds the entries of a ToUnicode map.
+CMAP_HEAD = """/CIDInit /ProcSet findresource begin
+12 dict begin
+begincmap
+/CIDSystemInfo << /Registry (Adobe) /Ordering (UCS) /Supplement 0 >> def
+/CMapName /{name}-UCS def
+/CMapType 2 def
+1 begincodespacerange
+<0000> <FFFF>
+endcodespacerange
+"""
+CMAP_TAIL = """endcmap
+CMapName currentdict /CMap defineresource pop
+end
+end
+"""
+
+
+def unicode_map(glyphs: DataFrame, name: str, chunk: int = 100) -> DataFrame:
+    """The ToUnicode map of a font as one text, `cmap`, its entries in order of glyph numbers, at most `chunk` a section.
+
+    Code points above U+FFFF are surrogate pairs. A font has 65,536 glyphs at most, so the text is bounded.
+    """
+    four = lambda n: F.lpad(F.hex(n.cast("long")), 4, "0")
+    point = F.col("code_point")
+    over = point - 0x10000
+    utf16 = F.when(point < 0x10000, four(point)).otherwise(F.concat(four(0xD800 + F.shiftright(over, 10)), four(0xDC00 + over.bitwiseAND(0x3FF))))
+    entry = F.concat(F.lit("<"), four(F.col("gid")), F.lit("> <"), utf16, F.lit(">\n"))
+    parts = to_unicode(glyphs, chunk).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("gid", entry.alias("entry")))).alias("e"))
+    section = F.concat(F.size("e").cast("string"), F.lit(" beginbfchar\n"), F.array_join(F.transform("e", lambda e: e["entry"]), ""), F.lit("endbfchar\n"))
+    whole = parts.agg(F.sort_array(F.collect_list(F.struct("chunk", section.alias("section")))).alias("s"))
+    return whole.select(F.concat(F.lit(CMAP_HEAD.format(name=name)), F.array_join(F.transform("s", lambda s: s["section"]), ""), F.lit(CMAP_TAIL)).alias("cmap"))
+
+
 def background(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Mean colour of the border of each box (id, x0, y0, x1, y1) over 16-bit pixels (x, y, r, g, b); corners count twice; white where there is none."""
     sides = F.flatten(F.array(F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"))), F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y1").alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x0").alias("x"), y.alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x1").alias("x"), y.alias("y")))))

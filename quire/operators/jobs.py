@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_file
+from quire.session import dropped, staged
 
 UNFINISHED = ("failed", "pending", "running")
 
@@ -42,6 +46,44 @@ def finished(pages: DataFrame, outcomes: DataFrame, most: int = 3) -> DataFrame:
     return rows.withColumns({"status": status, "error_message": F.coalesce("error", "error_message"), "retries": F.col("retries") + failed.cast("int")}).drop("_done", "error")
 
 
+def claimed(pages: DataFrame) -> DataFrame:
+    """The table after each document's lowest pending page has been taken up: it is running."""
+    lowest = F.min(F.when(F.col("status") == "pending", F.col("page_num"))).over(W.partitionBy("document_id"))
+    taken = (F.col("status") == "pending") & (F.col("page_num") == F.col("_lowest"))
+    return pages.withColumn("_lowest", lowest).withColumn("status", F.when(taken, "running").otherwise(F.col("status"))).drop("_lowest")
+
+
+def run_rounds(pages: DataFrame, work: Callable[[DataFrame], DataFrame], retries: int = 3) -> DataFrame:
+    """All pending pages worked on, and those that fail again in up to `retries` more rounds.
+
+    `work` turns pages into outcomes (document_id, page_num, error), one for each page; an error of
+    one page doesn't stop others. Each round's table is written, so a lost executor repeats at most
+    that round, and the loop ends as soon as nothing is left to retry.
+    """
+    pages = staged(pages, "pages")
+    for n in range(retries + 1):
+        if n:
+            again = F.col("status") == "failed"
+            pending = pages.withColumns({"error_message": F.when(again, "").otherwise(F.col("error_message")), "status": F.when(again, "pending").otherwise(F.col("status"))})
+        else:
+            pending = pages
+        after = staged(finished(pending, work(pending.filter("status = 'pending'"))), "pages")
+        dropped(pages)
+        pages = after
+        if pages.filter("status = 'failed'").isEmpty():
+            break
+    return pages
+
+
+def settled(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each job's status and error after its rounds: failed pages fail it, and so does a page short of the total."""
+    n = pages.groupBy("document_id").agg(F.count_if(F.col("status") == "failed").alias("_failed"), F.count_if(F.col("status") == "completed").alias("_done"))
+    failed, done = F.coalesce("_failed", F.lit(0)), F.coalesce("_done", F.lit(0))
+    error = F.when(failed > 0, F.concat(failed.cast("string"), F.lit(" pages failed"))).when(done != F.col("total_pages"), F.concat(done.cast("string"), F.lit(" of "), F.col("total_pages").cast("string"), F.lit(" pages are complete"))).otherwise("")
+    rows = jobs.join(n, jobs["id"] == n["document_id"], "left").withColumn("error_message", error)
+    return rows.withColumn("status", F.when(F.col("error_message") == "", "completed").otherwise("failed")).drop("_failed", "_done", "document_id")
+
+
 def count_by_status(pages: DataFrame) -> DataFrame:
     return pages.groupBy("document_id", "status").agg(F.count("*").alias("n"))
 

@@ -36,6 +36,23 @@ def batch_prompts(blocks: DataFrame) -> DataFrame:
     return g.select(*PAGE, F.size("b").alias("n_blocks"), body.alias("items"))
 
 
+#: What a model is told before a request; the last argument is the target language.
+BATCH_PROMPT = """You translate the text blocks of a document page from {source} into {target}.
+The request is a JSON array of blocks. Answer with nothing but a JSON array of strings: one translation for each block, as many as there are, in their order.
+Each translation is one paragraph without line breaks, but the rows of a table block stay on lines of their own.
+Keep numbers and marks of lists. Leave names, code, links and mail addresses as they are, and add no comments or markup."""
+BLOCK_PROMPT = """You translate one text block of a document page from {source} into {target}.
+Answer with nothing but the translation, as one paragraph without line breaks.
+Keep numbers and marks of lists. Leave names, code, links and mail addresses as they are."""
+UNKNOWN = "whatever language it is in"
+
+
+def system_prompt(source: Column, target: Column, single: bool = False) -> Column:
+    """The instructions for a batch of blocks or a single one; the source `auto` leaves the language to the model."""
+    text = F.lit(BLOCK_PROMPT if single else BATCH_PROMPT)
+    return F.replace(F.replace(text, F.lit("{source}"), F.when(source == "auto", UNKNOWN).otherwise(source)), F.lit("{target}"), target)
+
+
 def parsed(responses: DataFrame) -> DataFrame:
     """Adds translations, or an error where the answer isn't an array of strings or of objects with a text, or has another length."""
     body = F.try_parse_json(extract_json_array(F.col("content")))

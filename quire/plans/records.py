@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import geometry
+from quire.functions import geometry, text
 from quire.operators import fonts, jobs, ocr, translate
 from quire.plans.base import TABLES, d_trim, query
 from quire.sources import virtual as v
+from quire.sources.virtual import read
 
 PX = "* 300 / 72.0::double"
 TABLES["details"] = (
@@ -134,6 +135,38 @@ def resume_state(spark: SparkSession, d: str) -> DataFrame:
     return jobs.resumed(v.page_jobs(spark, d)).select("document_id", "page_num", "status", "error_message", "retries")
 
 
+@query("q_claim_pages", "select document_id, page_num, case when status = 'pending' and page_num = min(page_num) filter (status = 'pending') over (partition by document_id) then 'running' else status end as status from pages_", "pages_")
+def claim_pages(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.claimed(v.page_jobs(spark, d)).select("document_id", "page_num", "status")
+
+
+def attempts(pages: DataFrame) -> DataFrame:
+    """Outcomes of the fixture's pages: each needs up to five retries."""
+    late = F.col("retries") < (F.col("document_id") + F.col("page_num")) % 6
+    return pages.select("document_id", "page_num", F.when(late, "timeout").alias("error"))
+
+
+TABLES["rounds"] = (
+    ("pages_",),
+    """select document_id, page_num, case when open and k > r + 3 then 'failed' else 'completed' end as status, case when open and k > r + 3 then 'timeout' else '' end as error_message, (case when not open then r when k > r + 3 then r + 4 else greatest(k, r) end)::int as retries
+    from (select *, status <> 'completed' as open, retries as r, (document_id + page_num) % 6 as k from pages_)""",
+)
+
+
+@query("q_run_rounds", "select * from rounds", "rounds")
+def run_rounds(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.run_rounds(jobs.resumed(v.page_jobs(spark, d)), attempts).select("document_id", "page_num", "status", "error_message", "retries")
+
+
+@query(
+    "q_settle_jobs",
+    "select id, case when failed > 0 or done <> total_pages then 'failed' else 'completed' end as status, case when failed > 0 then failed || ' pages failed' when done <> total_pages then done || ' of ' || total_pages || ' pages are complete' else '' end as error_message from jobs join (select document_id, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'completed') as done from pages_ group by all) on id = document_id",
+    "jobs", "pages_",
+)
+def settle_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.settled(v.document_jobs(spark, d), v.page_jobs(spark, d)).select("id", "status", "error_message")
+
+
 @query("q_encode_hex", "select doc_id as id, coalesce(array_to_string(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda c: lpad(upper(to_hex(case when c = '.' then 0 else 1 + unicode(c) % 100 end)), 4, '0')), ''), '') as hex from documents")
 def encode_hex(spark: SparkSession, d: str) -> DataFrame:
     texts = v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -162,6 +195,19 @@ def to_unicode(spark: SparkSession, d: str) -> DataFrame:
     return fonts.to_unicode(v.glyphs(spark, d))
 
 
+def d_hex(n: str) -> str:
+    return f"lpad(to_hex({n}), 4, '0')"
+
+
+@query(
+    "q_unicode_map",
+    f"""select '{fonts.CMAP_HEAD.format(name="Page")}' || coalesce(string_agg(t, '' order by chunk), '') || '{fonts.CMAP_TAIL}' as cmap from (select chunk, count(*) || ' beginbfchar' || chr(10) || string_agg('<' || {d_hex("gid")} || '> <' || case when p < 65536 then {d_hex("p")} else {d_hex("55296 + ((p - 65536) >> 10)")} || {d_hex("56320 + ((p - 65536) & 1023)")} end || '>' || chr(10), '' order by gid) || 'endbfchar' || chr(10) as t from (select gid, min(code_point) as p, (row_number() over (order by gid) - 1) // 100 as chunk from glyphs group by gid) group by chunk)""",
+    "glyphs",
+)
+def unicode_map(spark: SparkSession, d: str) -> DataFrame:
+    return fonts.unicode_map(v.glyphs(spark, d), "Page")
+
+
 SCRIPTS = [*fonts.FONTS, "klingon"]
 FONT_SQL = "case " + " ".join(f"when script = '{k}' then '{f}'" for k, f in fonts.FONTS.items()) + " else 'NotoSans-Regular.ttf' end"
 
@@ -196,6 +242,28 @@ def parse_response(spark: SparkSession, d: str) -> DataFrame:
     return translate.parsed(v.responses(spark, d)).select("conv_id", "error", F.array_join("translations", "|").alias("translations"))
 
 
+def d_prompt(prompt: str) -> str:
+    return f"replace(replace('{prompt}', '{{source}}', case when source = 'auto' then '{translate.UNKNOWN}' else source end), '{{target}}', 'de')"
+
+
+@query("q_system_prompts", f"select source, {d_prompt(translate.BATCH_PROMPT)} as batch, {d_prompt(translate.BLOCK_PROMPT)} as block from (select distinct coalesce(lang, 'auto') as source from documents union select 'auto')")
+def system_prompts(spark: SparkSession, d: str) -> DataFrame:
+    langs = read(spark, d, "documents").select(F.coalesce("lang", F.lit("auto")).alias("source")).union(spark.sql("select 'auto'")).distinct()
+    source, target = F.col("source"), F.lit("de")
+    return langs.select("source", translate.system_prompt(source, target).alias("batch"), translate.system_prompt(source, target, single=True).alias("block"))
+
+
+FILTERS = ["FlateDecode", "DCTDecode", "ASCII85Decode", "JPXDecode", "CCITTFaxDecode", "JBIG2Decode", "LZWDecode"]
+
+
+@query("q_image_streams", f"select p_partkey as id, case when p_partkey % 9 < 7 then list_has_any([{FILTERS}[p_partkey % 7 + 1], {FILTERS}[p_partkey // 7 % 7 + 1]], ['DCTDecode', 'JPXDecode', 'CCITTFaxDecode', 'JBIG2Decode']) else false end as image from part")
+def image_streams(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, FILTERS))
+    pair = F.array(F.get(names, F.col("p_partkey") % 7), F.get(names, F.expr("p_partkey div 7 % 7")))
+    filters = F.when(F.col("p_partkey") % 9 == 7, F.expr("cast(array() as array<string>)")).when(F.col("p_partkey") % 9 < 7, pair)
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.is_image_stream(filters).alias("image"))
+
+
 @query(
     "q_background",
     """with boxes as (select id, (id % 5)::int as x0, (id % 7)::int as y0, (id % 5 + 6)::int as x1, (id % 7 + 4 + id % 3)::int as y1 from range(200) t(id)),
