@@ -1,4 +1,4 @@
-"""PDF files as DataFrames of pages and spans: a subset (plain or Flate streams, classic or compressed objects, simple fonts)."""
+"""PDF files as DataFrames of pages and spans: a subset (plain or Flate streams, classic or compressed objects, simple fonts and composite ones with a ToUnicode map)."""
 
 from __future__ import annotations
 
@@ -151,17 +151,104 @@ class Pdf:
         return b"\n".join(p.data() for p in parts if isinstance(p, Stream))
 
 
-def spans(content: bytes) -> list[dict]:
-    """Shown strings with places and sizes; a new line begins where y changes. Widths are taken as half an em a character."""
-    out, stack, at = [], [], 0
-    font, size, line, place, leading = "", 0.0, [0.0, 0.0], [0.0, 0.0], 0.0
+Matrix = tuple[float, float, float, float, float, float]
+UNIT: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def times(m: Matrix, n: Matrix) -> Matrix:
+    """The transformation that applies `m`, then `n`."""
+    return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
+
+
+def unicode_entries(cmap: bytes) -> dict[int, str]:
+    """The entries of a ToUnicode map: single characters and ranges."""
+    out: dict[int, str] = {}
+    for kind, body in re.findall(rb"begin(bfchar|bfrange)(.*?)endbf", cmap, re.S):
+        items, at = [], 0
+        while TOKEN.match(body, at):
+            item, at = parse(body, at)
+            items.append(item)
+        if kind == b"bfchar":
+            out.update((int.from_bytes(c, "big"), t.decode("utf-16-be", "replace")) for c, t in zip(items[::2], items[1::2]))
+            continue
+        for first, last, t in zip(items[::3], items[1::3], items[2::3]):
+            a, b = int.from_bytes(first, "big"), min(int.from_bytes(last, "big"), 0xFFFF)
+            for i in range(b - a + 1):
+                if isinstance(t, bytes):
+                    out[a + i] = (t[:-2] + ((int.from_bytes(t[-2:], "big") + i) & 0xFFFF).to_bytes(2, "big")).decode("utf-16-be", "replace")
+                elif i < len(t):
+                    out[a + i] = t[i].decode("utf-16-be", "replace")
+    return out
+
+
+@dataclass
+class Face:
+    """What reading text needs of a font: its codes' characters, and their widths in thousandths of an em."""
+
+    wide: bool = False
+    chars: dict[int, str] = field(default_factory=dict)
+    widths: dict[int, float] = field(default_factory=dict)
+    width: float = 500.0
+
+    @classmethod
+    def of(cls, pdf: Pdf, font: Any) -> Face:
+        """Fonts without widths get half an em a character; a map that can't be read counts as none."""
+        font = pdf.get(font)
+        if not isinstance(font, dict):
+            return cls()
+        try:
+            cmap = pdf.get(font.get("ToUnicode"))
+            chars = unicode_entries(cmap.data()) if isinstance(cmap, Stream) else {}
+        except (ValueError, TypeError, AttributeError, zlib.error):
+            chars = {}
+        if font.get("Subtype") != "/Type0":
+            first, given = pdf.get(font.get("FirstChar")) or 0, pdf.get(font.get("Widths")) or []
+            return cls(False, chars, {first + i: float(w) for i, x in enumerate(given) if isinstance(w := pdf.get(x), int | float)})
+        inner = pdf.get((pdf.get(font.get("DescendantFonts")) or [None])[0]) or {}
+        todo, widths = [pdf.get(x) for x in pdf.get(inner.get("W")) or []], {}
+        while len(todo) > 1:
+            if isinstance(todo[1], list):
+                widths.update((todo[0] + i, float(pdf.get(w))) for i, w in enumerate(todo[1]))
+                todo = todo[2:]
+            else:
+                widths.update((c, float(todo[2])) for c in range(todo[0], min(todo[1], 0xFFFF) + 1))
+                todo = todo[3:]
+        return cls(True, chars, widths, float(pdf.get(inner.get("DW", 1000))))
+
+    def read(self, raw: bytes) -> tuple[str, float]:
+        """The text of a shown string, and its width in ems."""
+        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if self.wide else list(raw)
+        other = (lambda c: "\ufffd") if self.wide else (lambda c: bytes([c]).decode("cp1252", "replace"))
+        return "".join(self.chars[c] if c in self.chars else other(c) for c in codes), sum(self.widths.get(c, self.width) for c in codes) / 1000
+
+
+def faces(pdf: Pdf, page: dict) -> dict[str, Face]:
+    """The fonts of a page by their resource names."""
+    resources = pdf.get(page.get("Resources"))
+    fonts = pdf.get(resources.get("Font")) if isinstance(resources, dict) else None
+    return {name: Face.of(pdf, font) for name, font in fonts.items()} if isinstance(fonts, dict) else {}
+
+
+def spans(content: bytes, fonts: dict[str, Face] | None = None) -> list[dict]:
+    """Shown strings with their places on the page, and the sizes that `Tf` names; a new line begins where y changes.
+
+    Text and page transformations move and scale the places. Spacing, clipping and forms drawn by `Do` are left out of account.
+    """
+    fonts, out, stack, at, saved = fonts or {}, [], [], 0, []
+    ctm = line = place = UNIT
+    font, size, leading = "", 0.0, 0.0
 
     def show(raw: bytes) -> None:
-        text = raw.decode("cp1252", "replace")
-        width = len(text) * size * 0.5
+        nonlocal place
+        text, ems = fonts.get(font, Face()).read(raw)
+        start = times(place, ctm)
+        place = times((1, 0, 0, 1, ems * size, 0), place)
         if text:
-            out.append({"text": text, "x": place[0], "y": place[1], "end_x": place[0] + width, "font": font, "font_size": size})
-        place[0] += width
+            out.append({"text": text, "x": start[4], "y": start[5], "end_x": times(place, ctm)[4], "font": font, "font_size": size})
+
+    def down(x: float, y: float) -> None:
+        nonlocal line, place
+        line = place = times((1, 0, 0, 1, x, y), line)
 
     while m := TOKEN.match(content, at):
         value, at = parse(content, at)
@@ -172,34 +259,36 @@ def spans(content: bytes) -> list[dict]:
         stack = []
         try:
             if op == "BT":
-                line, place = [0.0, 0.0], [0.0, 0.0]
+                line = place = UNIT
+            elif op == "q":
+                saved.append((ctm, font, size, leading))
+            elif op == "Q":
+                ctm, font, size, leading = saved.pop()
+            elif op == "cm":
+                ctm = times(tuple(map(float, args[-6:])), ctm)
             elif op == "Tf":
                 font, size = args[-2][1:], float(args[-1])
             elif op == "TL":
                 leading = float(args[-1])
             elif op in ("Td", "TD"):
-                line = [line[0] + args[-2], line[1] + args[-1]]
                 leading = -args[-1] if op == "TD" else leading
-                place = list(line)
+                down(args[-2], args[-1])
             elif op == "Tm":
-                line = [float(args[-2]), float(args[-1])]
-                place = list(line)
+                line = place = times(tuple(map(float, args[-6:])), UNIT)
             elif op == "T*":
-                line = [line[0], line[1] - leading]
-                place = list(line)
+                down(0, -leading)
             elif op == "Tj":
                 show(args[-1])
-            elif op == "'":
-                line = [line[0], line[1] - leading]
-                place = list(line)
+            elif op in ("'", '"'):
+                down(0, -leading)
                 show(args[-1])
             elif op == "TJ":
                 for x in args[-1]:
                     if isinstance(x, bytes):
                         show(x)
                     else:
-                        place[0] -= x / 1000 * size
-        except (IndexError, TypeError):
+                        place = times((1, 0, 0, 1, -x / 1000 * size, 0), place)
+        except (IndexError, TypeError, ValueError):
             continue
     return out
 
@@ -215,7 +304,7 @@ def read_pages(data: bytes) -> list[dict]:
         box = [pdf.get(v) for v in (pdf.get(page.get("MediaBox")) or [])]
         w, h = (float(box[2] - box[0]), float(box[3] - box[1])) if len(box) >= 4 else (612.0, 792.0)
         try:
-            found, error = spans(pdf.content(page)), None
+            found, error = spans(pdf.content(page), faces(pdf, page)), None
         except (ValueError, zlib.error) as e:
             found, error = [], str(e)
         line = n = 0
