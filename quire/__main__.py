@@ -1,14 +1,17 @@
-"""Command line: `python -m quire version`, and `python -m quire dry-run FILE...` for page counts and an estimated cost."""
+"""Command line: `python -m quire version`; `dry-run PATH` for page counts and an estimated cost; `download-fonts URL` for the fonts that are missing."""
 
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import pages, translate
 from quire.operators.pages import in_ranges
+from quire.sources.config import load
+from quire.sources.fetch import fetch_missing
 from quire.sources.pdf import read_pdf
 
 VERSION = "0.1"
@@ -31,9 +34,18 @@ def main(args: list[str] | None = None) -> None:
     dry = commands.add_parser("dry-run")
     dry.add_argument("path")
     dry.add_argument("--pages")
+    fonts = commands.add_parser("download-fonts")
+    fonts.add_argument("url", help="where the catalogue's files lie")
+    fonts.add_argument("--folder", help="by default `fonts` in the data folder")
     chosen = parser.parse_args(args)
     if chosen.command == "version":
         print(VERSION)
+    elif chosen.command == "download-fonts":
+        done = fetch_missing(chosen.url, chosen.folder or Path(load().data_dir) / "fonts")
+        for name, error in done.items():
+            print(name, error or "fetched")
+        if any(done.values()):
+            raise SystemExit(1)
     else:
         dry_run(SparkSession.builder.getOrCreate(), chosen.path, chosen.pages).show(truncate=False)
 
