@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, neardup, neighbours, packing, quality, secrets, sharding, tokens, toxicity, urls
+from quire.llm import annulus, lexical, mixing, neardup, neighbours, packing, quality, secrets, sharding, tokens, toxicity, urls, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,12 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_neardup": neardup.op9_neardup,
         "op10_packing": packing.op10_packing,
+        "op11_lexical": lexical.op11_lexical,
+        "op12_warc": warc.op12_warc,
+        "op13_annulus": annulus.op13_annulus,
         "pipeline": pipeline,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL, "op4_secrets": secrets.SQL, "op8_quality": quality.SQL}
+    return {"op3_mixing": mixing.SQL, "op4_secrets": secrets.SQL, "op8_quality": quality.SQL, "op11_lexical": lexical.SQL, "op12_warc": warc.SQL, "op13_annulus": annulus.SQL}
