@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import ALL, column, n_words, read, replaced, staged, words
+from quire.llm.common import ALL, column, dropped, n_words, read, replaced, staged, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2
-BUCKETS = 4096
+SEED = 7
+#: Bits of a row's key, and bits by which its boundary is narrowed at once.
+KEY_BITS, LEVEL = 60, 12
+#: Plans (a row a source, counted as PLAN_BYTES) up to this many bytes are broadcast; beyond, rows are shuffled to them.
+BROADCAST_BYTES, PLAN_BYTES = 32 << 20, 256
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -45,31 +49,89 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return swept.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
+def boundaries(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, key, size) rows and their targets -> targets with whole, at, rest and same, a row per source.
+
+    Every text of a source is used `whole` times; the rest of the target is met in the order of
+    the keys: texts with keys below `at` are used once more, those at it share `rest` words, and
+    `same` counts them. The boundary is narrowed by sums over ranges of keys, LEVEL bits at a
+    time, then over the keys of one range, so no window sees more than 2**LEVEL ranges of a
+    source or the keys of one last range. Equal keys only meet in partial sums.
+    """
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    plan = targets.withColumn("whole", whole).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")).withColumn("at", F.lit(0).cast("long"))
+    plan = staged(plan, "mix-plan")
+    for shift in (KEY_BITS - LEVEL, KEY_BITS - 2 * LEVEL, 0):
+        inside = plan.filter("rest > 0").select(F.col("source").alias("_s"), F.col("at").alias("_a"), F.col("rest").alias("_rest"))
+        up = LEVEL if shift else KEY_BITS - 2 * LEVEL
+        cell = F.shiftright("key", shift)
+        some = rows.join(inside, rows["source"].eqNullSafe(inside["_s"]) & (F.shiftright("key", shift + up) == F.col("_a") if shift + up < KEY_BITS else F.lit(True)))
+        sums = some.groupBy("source", "_rest", cell.alias("_cell")).agg(F.sum("size").alias("_n"), F.count("*").alias("_same")).filter("_n > 0")
+        before = F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        found = sums.withColumn("_before", before).filter("_before < _rest and _before + _n >= _rest")
+        found = found.select(F.col("source").alias("_s"), F.col("_cell"), F.col("_before"), F.col("_same"))
+        joined = plan.join(found, plan["source"].eqNullSafe(found["_s"]), "left")
+        narrowed = joined.select("source", "source_size", "target", "whole", F.coalesce("_cell", F.lit(0)).alias("at"), (F.col("rest") - F.coalesce("_before", F.lit(0))).alias("rest"), F.coalesce("_same", F.lit(0)).alias("same"))
+        after = staged(narrowed, "mix-plan")
+        dropped(plan)
+        plan = after
+    return plan
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with `_id`, their place among all that share `_source` and `_key` as `_nth`, from 0.
+
+    Partitions count theirs, and only those counts are summed in order, so equal rows, however
+    many, are numbered where they lie.
+    """
+    part = F.shiftrightunsigned("_id", 33)
+    counts = rows.withColumn("_part", part).groupBy("_source", "_key", "_part").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy("_source", "_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("_source").alias("_s2"), F.col("_key").alias("_k2"), F.col("_part").alias("_p2"), before.alias("_before"))
+    own = rows.withColumn("_part", part).withColumn("_own", F.row_number().over(W.partitionBy("_source", "_key", "_part").orderBy("_id")) - 1)
+    joined = own.join(starts, own["_source"].eqNullSafe(starts["_s2"]) & (own["_key"] == starts["_k2"]) & (own["_part"] == starts["_p2"]))
+    return joined.withColumn("_nth", F.col("_own") + F.col("_before")).drop("_part", "_own", "_s2", "_k2", "_p2", "_before")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, carry: Sequence[str] | None = None) -> DataFrame:
     """Adds size, source_size, target and taken (words to use, repeats counted) to documents.
 
     A source at e = target / source_size epochs uses each text floor(e) times. The rest of the
-    target is met by texts in the order of a seeded hash of doc_id: a histogram of word counts
-    over `buckets` hash ranges finds the range in which the rest is reached; ranges before it
-    are used once more in full and texts in it by the same fraction, rounded down. No global
-    sort is needed, and a hot source only meets in sums. Rows that repeat a doc_id are treated
-    alike. Null or empty text: size 0, taken 0. Null source: a source of its own, last. Input
-    columns named like an added one are replaced.
+    target is met by texts in the order of a seeded hash of doc_id and text, once more each, the
+    last one cut; so a source's taken words are its target, rounded down, whatever its ids. No
+    global sort is needed, and a hot source only meets in sums (see boundaries). Rows equal in
+    doc_id and text are told apart by their numbers and so share a rest among them; which of
+    them gets it makes no difference. Null or empty text: size 0, taken 0. Null source: a source
+    of its own, last; a null doc_id is hashed as empty. Empty tables give no rows. Input columns
+    named like an added one are replaced. `carry` names the columns to return (all).
     """
     docs = replaced(docs, "size", "source_size", "target", "taken")
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(docs, "doc_id", "string"), F.lit("")))), 1, 8), 16, 10).cast("long")
-    sized = docs.withColumns({"_source": column(docs, "source", "string"), "_bucket": h % buckets, "size": n_words(column(docs, "text", "string"))})
-    cells = staged(sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_size")), "mix-cells")
-    targets = source_targets(cells.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), weights, share, max_epochs)
-    spent = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - F.col("_whole") * F.col("source_size") - F.coalesce(F.sum("_size").over(spent), F.lit(0))
-    part = F.when(rest >= F.col("_size"), F.lit(1.0)).when(rest <= 0, F.lit(0.0)).otherwise(rest / F.col("_size"))
-    t = targets.withColumn("_whole", whole).withColumnRenamed("source", "_s")
-    plan = cells.join(t, cells["_source"].eqNullSafe(t["_s"])).withColumn("_part", part).select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "source_size", "target", "_whole", "_part")
-    out = sized.join(plan, sized["_source"].eqNullSafe(plan["_s"]) & (sized["_bucket"] == plan["_b"]))
-    taken = F.col("_whole") * F.col("size") + F.floor(F.col("size") * F.col("_part")).cast("long")
-    return out.withColumn("taken", taken).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "taken")
+    names = [c for c in docs.columns if carry is None or c in carry]
+    text = column(docs, "text", "string")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(docs, "doc_id", "string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+    row = F.struct(*[F.col(f"`{c}`") for c in names], F.lit(True).alias("_read"))
+    key = F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
+    sized = docs.select(row.alias("_row"), column(docs, "source", "string").alias("_source"), key.alias("_key"), n_words(text).alias("_size"))
+    rows = staged(sized.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_size").alias("size")), "mix-sizes")
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
+    plan = boundaries(rows, targets)
+    dropped(rows)
+    plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "at", "rest", "same")
+    # a row a source
+    plan = F.broadcast(plan) if plan.count() * PLAN_BYTES <= BROADCAST_BYTES else plan
+    key, size, rest = F.col("_key"), F.col("_size"), F.col("rest")
+    shared = (rest > 0) & (key == F.col("at")) & (F.col("same") > 1)
+    if plan.filter("rest > 0 and same > 1").limit(1).count():
+        held = staged(sized.withColumn("_id", F.monotonically_increasing_id()), "mix-rows")
+        out = held.join(plan, held["_source"].eqNullSafe(plan["_s"]))
+        alike = _numbered(out.filter(shared))
+        out = out.filter(~shared).withColumn("_nth", F.lit(0).cast("long")).unionByName(alike)
+    else:
+        out = sized.join(plan, sized["_source"].eqNullSafe(plan["_s"])).withColumn("_nth", F.lit(0).cast("long"))
+    part = F.greatest(F.lit(0), F.least(size, rest - F.col("_nth") * size))
+    more = F.when((rest <= 0) | (key > F.col("at")), F.lit(0)).when(key < F.col("at"), size).otherwise(part).cast("long")
+    fields = [F.col(f"_row.`{c}`").alias(c) for c in names]
+    return out.select(*fields, size.alias("size"), "source_size", "target", (F.col("whole") * size + more).alias("taken"))
 
 
 def repeated(mixed: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -86,13 +148,13 @@ def repeated(mixed: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of whole `documents`; null and empty texts have size 0, a null source is one of its own, repeated rows are alike."""
-    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    (('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint % 4096) as bucket
+    ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as key, row_number() over () as rid
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, row_number() over (order by source nulls last) - 1 as i from s),
@@ -106,12 +168,8 @@ k as (select fill as k_fill, i as k_i, level as k_level from l where level <= fi
 t as (select source, source_size,
     case when k_i is null or fill < k_fill or (fill = k_fill and i < k_i) then cap else least(cap, k_level * weight) end as target
   from l left join k on true),
-c as (select source, bucket, sum(size)::bigint as csize from d group by all),
-p as (select c.*, source_size, target, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole,
-    coalesce(sum(csize) over (partition by c.source order by bucket rows between unbounded preceding and 1 preceding), 0)::bigint as spent
-  from c join t on c.source is not distinct from t.source),
-q as (select *, target - whole * source_size - spent as rest from p)
-select doc_id, size, source_size, target,
-  (whole * size + floor(size * (case when rest >= csize then 1.0::double when rest <= 0 then 0.0::double else rest / csize end)))::bigint as taken
-from d join q on d.source is not distinct from q.source and d.bucket = q.bucket
+e as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole from t),
+q as (select d.*, source_size, target, whole, floor(target - whole * source_size)::bigint - coalesce(sum(size) over (partition by d.source order by key, rid rows between unbounded preceding and 1 preceding), 0)::bigint as rest
+  from d join e on d.source is not distinct from e.source)
+select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest)))::bigint as taken from q
 """

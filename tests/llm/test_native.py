@@ -98,6 +98,20 @@ def test_mixture(spark, docs):
     assert words == got.taken.sum()
 
 
+def test_targets_are_met_with_null_and_repeated_ids(spark):
+    rows = [(None, "word", "a")] * 100 + [(None, f"w{i % 7} x", "b") for i in range(300)] + [(5, "one two three", "c")] * 200 + [(i % 3, f"text {i}", "d") for i in range(90)] + [(None, None, "a")] * 5 + [(i, "alone in it", None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shown = []
+    for df in (docs.coalesce(1), docs.repartition(7)):
+        got = mixing.mix(df).toPandas()
+        assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all()
+        for _, g in got.groupby(got.source.fillna("-")):
+            assert g.target.iloc[0] - 1 < g.taken.sum() <= g.target.iloc[0]
+        shown.append(sorted(map(str, got.astype(object).where(got.notna(), None).itertuples(index=False))))
+    assert shown[0] == shown[1]
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
 def test_water_filling(spark):
     import random
 
