@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import column, read, replaced, staged
@@ -19,31 +20,36 @@ KINDS = (
     ("url", r"[a-z][a-z0-9+]*://[A-Za-z0-9._-]+:([^\s:/@]{6,})@", 1, 6, False),
 )
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|your|redacted|xxxx|\*\*\*\*|12345678"
-#: A value that doesn't look live is an example from this many owners or, whoever holds it, this many repositories on.
-EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 100
-#: A live-looking value is one only with this share of all owners (and EXAMPLE_OWNERS), or with
-#: this many repositories of several owners: a single owner's own key stays live wherever it lies.
-LIVE_SHARE, LIVE_REPOS = 0.5, 1000
+#: A value of several owners is a widely copied example if this share of all owners holds it (the
+#: first for values that don't look live, the second for those that do) or, where it doesn't
+#: look live, this share of all texts. Shares, so that a corpus of any size is judged alike.
+OWNER_SHARE, LIVE_SHARE, TEXT_SHARE = 0.25, 0.5, 0.01
 REDACTED = "[secret]"
-SPAN = "array<struct<start:int,kind_no:int,kind:string,stop:int,value:string,base:boolean>>"
+#: Code points of the blocks by which a text is cut.
+BLOCK = 1024
+HIT = "array<struct<kind_no:int,i:int,gap:int,hit:int,value:string>>"
 
 
-def _matches(text: Column, no: int, kind: str, pattern: str, group: int, least: int, base: bool) -> Column:
-    """The leftmost non-overlapping matches of one kind whose value is long enough, as SPAN.
+def _hits(text: Column, no: int, pattern: str, group: int) -> Column:
+    """All matches of one kind in order, as HIT: lengths of the text since the last one and of the match itself, and its value.
 
-    Places come from the lengths of the pieces between matches, so no character is reserved.
+    Places are sums of these lengths, so no character is reserved.
     """
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + p["gap"] + p["hit"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + p["hit"]).alias("stop")))).alias("out"))
-    placed = F.aggregate(F.filter(pieces, lambda p: p["hit"].isNotNull()), start, step)["out"]
-    spans = F.zip_with(placed, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda p, v: F.struct(p["start"].alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), p["stop"].alias("stop"), v.alias("value"), F.lit(base).alias("base")))
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: F.length(s["value"]) >= least)).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    values = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    shaped = F.transform(values, lambda p, i: F.struct(F.lit(no).alias("kind_no"), i.alias("i"), F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("hit"), p["value"].alias("value")))
+    # split gives one piece more than there are matches
+    return F.when(text.rlike(pattern), F.filter(shaped, lambda p: p["hit"].isNotNull())).otherwise(F.expr(f"cast(array() as {HIT})"))
 
 
-def candidates(text: Column) -> Column:
-    """All candidates of a text by start, then kind."""
-    return F.sort_array(F.concat(*[_matches(text, no, *k) for no, k in enumerate(KINDS)]))
+def placed(hits: DataFrame) -> DataFrame:
+    """(_rid, kind_no, i, gap, hit, value, ...) with start and stop, of the hits whose value is long enough.
+
+    One running sum over a text's hits of a kind: linear in their number.
+    """
+    up_to = W.partitionBy("_rid", "kind_no").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = hits.withColumn("stop", F.sum(F.col("gap") + F.col("hit")).over(up_to).cast("int"))
+    least = F.element_at(F.array(*[F.lit(k[3]) for k in KINDS]), F.col("kind_no") + 1)
+    return out.withColumn("start", F.col("stop") - F.col("hit")).filter(F.length("value") >= least).drop("i", "gap", "hit")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -70,43 +76,53 @@ def live_looking(value: Column) -> Column:
     return (F.length(value) >= 16) & value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~value.rlike(PLACEHOLDER)
 
 
-def is_example(live: Column, owners: Column, repos: Column, everyone: Column, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS, live_share: float = LIVE_SHARE, live_repos: int = LIVE_REPOS) -> Column:
-    """Whether a value with that many owners and repositories is a widely copied example."""
-    shared = (owners >= example_owners) & (owners >= F.lit(float(live_share)) * everyone)
-    copied = (repos >= live_repos) & (owners >= 2)
-    return F.when(live, shared | copied).otherwise((owners >= example_owners) | (repos >= example_repos))
+def is_example(live: Column, owners: Column, repos: Column, everyone: Column, texts: Column) -> Column:
+    """Whether a value with that many owners and repositories, of all owners and texts, is a widely copied example.
+
+    Several owners must hold it: what one owner has in all its texts may be that owner's own.
+    """
+    held = owners >= F.when(live, LIVE_SHARE).otherwise(OWNER_SHARE) * everyone
+    return (owners >= 2) & (held | (~live & (repos >= F.lit(TEXT_SHARE) * texts)))
 
 
 def scan(docs: DataFrame, owner: str = "source", carry: Sequence[str] | None = None) -> DataFrame:
-    """Adds `secrets`: array of (start, kind_no, kind, stop, class) by start, then kind; places in code points, stop exclusive.
+    """Adds `secrets`: array of (start, kind_no, kind, stop, class, hidden, after) by start, then kind; places in code points, stop exclusive.
 
     Base kinds (assign, access, hex) always stay. Other kinds stay where they look live and
-    aren't examples. class: `example` (see is_example: by the value's numbers of owners and of
-    repositories), `live` (looks live, isn't an example) or `weak`. A row's repository is its
-    text, so copies are one; its owner is the given column, where null counts as one of its own.
-    Null and empty texts, and tables without rows, have no secrets. Rows that repeat are each
-    reported. An input column `secrets` is replaced. `carry` names the columns to return (all).
-
-    Every text is searched once: the rows are written with their candidates, and only
-    candidates' hashes, places and row numbers are shuffled.
+    aren't examples. class: `example` (see is_example: by the value's shares of owners and
+    texts), `live` (looks live, isn't an example) or `weak`. `hidden` marks what a redaction must
+    hide: all but examples that read like a placeholder; `after` is where earlier hidden spans
+    end. A row's repository is its text, so copies are one; its owner is the given column,
+    where null counts as one of its own. Null and empty texts, and tables without rows, have no
+    secrets. Rows that repeat are each reported. An input column `secrets` is replaced. `carry`
+    names the columns to return (all).
+
+    Every text is searched once: the rows are written with their hits, and only hits' lengths,
+    values and row numbers are shuffled, by row. Work is linear in a text and its hits.
     """
     docs = replaced(docs, "secrets")
     names = [c for c in docs.columns if carry is None or c in carry]
     text = F.coalesce(column(docs, "text", "string"), F.lit(""))
-    kept = "array<struct<start:int,kind_no:int,kind:string,stop:int,class:string>>"
-    none = F.expr(f"cast(array() as {kept})")
+    fields_ = "start:int,kind_no:int,kind:string,stop:int,class:string,hidden:boolean,after:int"
+    none = F.expr(f"cast(array() as array<struct<{fields_}>>)")
     row = F.struct(*[F.col(f"`{c}`") for c in names], F.lit(True).alias("_read"))
-    found = docs.select(row.alias("_row"), candidates(text).alias("_found"), column(docs, owner, "string").alias("_owner"), text.alias("_text"), F.monotonically_increasing_id().alias("_rid"))
-    held = staged(found.select("_row", "_found", "_owner", F.when(F.size("_found") > 0, F.sha2("_text", 256)).alias("_repo"), "_rid"), "secret-rows")
-    some = F.size("_found") > 0
-    flat = held.filter(some).select("_rid", "_repo", "_owner", F.explode("_found").alias("s")).select("_rid", F.sha2("s.value", 256).alias("hash"), F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), live_looking(F.col("s.value")).alias("live"), F.struct("s.start", "s.kind_no", "s.kind", "s.stop").alias("place"), F.col("s.base").alias("base"))
-    flat = staged(flat, "secret-candidates")
-    everyone = held.select(F.struct("_owner").alias("o")).distinct().agg(F.count("*").alias("n")).first()["n"]
-    counts = ownership(flat).filter((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)).select("hash", "owners", "repos")
-    example = F.col("owners").isNotNull() & is_example(F.col("live"), F.col("owners"), F.col("repos"), F.lit(everyone))
+    hits = F.concat(*[_hits(text, no, pattern, group) for no, (_, pattern, group, _, _) in enumerate(KINDS)])
+    # written before the hashes are taken, so that hits are looked for once
+    held = staged(docs.select(row.alias("_row"), hits.alias("_hits"), column(docs, owner, "string").alias("_owner"), F.xxhash64(text).alias("_text"), F.xxhash64(F.lit(1), text).alias("_again"), F.monotonically_increasing_id().alias("_rid")), "secret-rows")
+    some = F.size("_hits") > 0
+    kind_of = lambda i: F.element_at(F.array(*[F.lit(k[i]) for k in KINDS]), F.col("kind_no") + 1)
+    flat = placed(held.filter(some).select("_rid", F.struct("_text", "_again").alias("repo"), F.col("_owner").alias("owner"), F.inline("_hits")))
+    flat = staged(flat.select("_rid", F.sha2("value", 256).alias("hash"), "owner", "repo", live_looking(F.col("value")).alias("live"), F.col("value").rlike(PLACEHOLDER).alias("says"), "start", "kind_no", kind_of(0).alias("kind"), "stop", kind_of(4).alias("base")), "secret-candidates")
+    everyone = held.select(F.struct("_owner").alias("o")).distinct().count()
+    texts = held.select("_text", "_again").distinct().count()
+    counts = ownership(flat).filter(F.col("owners") >= 2).select("hash", "owners", "repos")
+    example = F.col("owners").isNotNull() & is_example(F.col("live"), F.col("owners"), F.col("repos"), F.lit(everyone), F.lit(texts))
     kind = F.when(example, "example").when(F.col("live"), "live").otherwise("weak")
     judged = flat.join(counts, "hash", "left").withColumn("class", kind).filter(F.col("base") | (F.col("class") == "live"))
-    by_row = judged.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("place.start", "place.kind_no", "place.kind", "place.stop", "class"))).alias("_kept"))
+    judged = judged.withColumn("hidden", ~((F.col("class") == "example") & F.col("says")))
+    before = W.partitionBy("_rid").orderBy("start", "kind_no").rowsBetween(W.unboundedPreceding, -1)
+    judged = judged.withColumn("after", F.coalesce(F.max(F.when(F.col("hidden"), F.col("stop"))).over(before), F.lit(0)))
+    by_row = judged.groupBy("_rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "stop", "class", "hidden", "after"))).alias("_kept"))
     fields = [F.col(f"_row.`{c}`").alias(c) for c in names]
     plain = held.filter(~some).select(*fields, none.alias("secrets"))
     hit = held.filter(some).select("_rid", "_row").join(by_row, "_rid", "left").select(*fields, F.coalesce(F.col("_kept"), none).alias("secrets"))
@@ -114,16 +130,36 @@ def scan(docs: DataFrame, owner: str = "source", carry: Sequence[str] | None = N
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by a marker. Spans must be by start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each run of overlapping hidden spans (of scan's `secrets`) replaced by a marker.
+
+    The text is parted into blocks once, and every cut reads its block alone, so work is linear
+    in the text and its spans.
+    """
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def result(x: Column) -> Column:
+        blocks, shown = x["blocks"], x["hidden"]
+
+        def head(at: Column) -> Column:
+            return F.coalesce(F.substring(F.get(blocks, F.floor(at / BLOCK).cast("int")), F.lit(1), (at % BLOCK).cast("int")), F.lit(""))
+
+        def tail(at: Column) -> Column:
+            return F.coalesce(F.substring(F.get(blocks, F.floor(at / BLOCK).cast("int")), (at % BLOCK + 1).cast("int"), F.lit(BLOCK)), F.lit(""))
+
+        def between(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / BLOCK).cast("int"), F.floor(b / BLOCK).cast("int")
+            inside = F.substring(F.get(blocks, first), (a % BLOCK + 1).cast("int"), (b - a).cast("int"))
+            return F.when(first == last, F.coalesce(inside, F.lit(""))).otherwise(F.concat(tail(a), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), head(b)))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        out = F.when(fresh, F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(REDACTED))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), out.alias("out"))
+        runs = F.filter(shown, lambda s: s["start"] >= s["after"])
+        end = F.get(shown, F.size(shown) - 1)
+        last = F.greatest(end["stop"], end["after"])
+        pieces = F.transform(runs, lambda s: F.concat(between(s["after"], s["start"]), F.lit(REDACTED)))
+        return F.concat(F.array_join(pieces, ""), between(last, F.length(text)))
 
-    end = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"]))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+    # transform over a one-element array binds blocks and spans once
+    bound = F.struct(whole.alias("blocks"), F.filter(spans, lambda s: s["hidden"]).alias("hidden"))
+    return F.when(F.exists(spans, lambda s: s["hidden"]), F.element_at(F.transform(F.array(bound), result), 1)).otherwise(text)
 
 
 def listed(spans: Column) -> Column:
@@ -166,13 +202,14 @@ flat as (select *, stop - hit as start, sha256(value) as hash,
     + _quoted(PLACEHOLDER)
     + r""") as live from placed where length(value) >= least),
 votes as (select distinct hash, repo, coalesce(source, chr(0)) as owner from flat),
+texts as (select count(distinct repo) as t from d),
 each as (select hash, owner, sum(vote) as votes from (select *, 1.0::double / count(*) over (partition by hash, repo) as vote from votes) group by all),
 spread as (select hash, round(sum(least(votes, 1.0::double)), 6) as owners from each group by hash),
 owned as (select hash, owners, repos from spread join (select hash, count(distinct repo) as repos from votes group by hash) using (hash)),
 everyone as (select count(distinct coalesce(source, chr(0))) as n from d),
-classed as (select flat.*, case when live then (owners >= {own} and owners >= {share}::double * n) or (repos >= {many} and owners >= 2) else owners >= {own} or repos >= {some} end as example from flat join owned using (hash), everyone),
-kept as (select *, case when example then 'example' when live then 'live' else 'weak' end as class from classed where base or (live and not example))
-""".replace("{own}", str(EXAMPLE_OWNERS)).replace("{some}", str(EXAMPLE_REPOS)).replace("{share}", str(LIVE_SHARE)).replace("{many}", str(LIVE_REPOS))
+classed as (select flat.*, owners >= 2 and (owners >= (case when live then {live} else {owner} end)::double * n or (not live and repos >= {text}::double * t)) as example from flat join owned using (hash), everyone, texts),
+kept as (select *, case when example then 'example' when live then 'live' else 'weak' end as class, not (example and regexp_matches(value, {says})) as hidden from classed where base or (live and not example))
+""".replace("{live}", str(LIVE_SHARE)).replace("{owner}", str(OWNER_SHARE)).replace("{text}", str(TEXT_SHARE)).replace("{says}", _quoted(PLACEHOLDER))
 )
 SQL = (
     "with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text, sha256(coalesce(text, '')) as repo from documents), "

@@ -78,12 +78,66 @@ def test_examples_need_different_texts_and_owners(spark):
     rows += [(30 + i, f"text {max(0, i - 4)} {keys[3]}", f"s{i if i < 5 else 0}") for i in range(10)]
     rows += [(100 + i, f"text {i} of one owner {keys[4]} api_key: weakly", "s0") for i in range(120)]
     rows += [(50 + i, f"text {i} password = hunter", f"s{i}") for i in range(3)] + [(60 + i, "password = copied", f"s{i}") for i in range(3)]
+    rows += [(70 + i, f"text {i} password = changeme1", f"s{i}") for i in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: [s["class"] for s in r.secrets] for r in secrets.scan(docs).collect()}
-    want = {0: ["live"], 10: ["live"], 20: [], 30: ["live"], 50: ["example"], 60: ["weak"], 100: ["live", "example"]}
+    want = {0: ["live"], 10: ["live"], 20: [], 30: ["live"], 50: ["example"], 60: ["weak"], 70: ["example"], 100: ["live", "weak"]}
     assert {i: got[i] for i in want} == want
     clean = {r.doc_id: r.text for r in corpus_pipeline.redact(spark, docs, "").collect()}
     assert all(keys[0] not in clean[i] for i in range(10)) and keys[1] not in clean[10] and keys[2] in clean[20] and keys[3] not in clean[39]
+    assert "hunter" not in clean[50] and "weakly" not in clean[100] and "changeme1" in clean[70]
+
+
+def test_classes_do_not_depend_on_size(spark):
+    """The same shares of owners and texts give the same classes at ten times the size."""
+    for n in (1, 10):
+        rows = [(i, f"text {i} token=hunter2x" if i % 10 == 0 else f"text {i} token=mine{i % 10}xyz" if i % 10 == 1 else f"plain {i}", f"s{i // 10 % (4 * n)}") for i in range(400 * n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = {r.doc_id: [s["class"] for s in r.secrets] for r in secrets.scan(docs).collect()}
+        assert got[0] == ["example"] and got[1] == ["example"] and got[2] == []
+
+
+def test_secret_shared_by_all_sources_is_hidden(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"note {i} password: hunter2x end", f"s{i}") for i in range(3)], "doc_id long, text string, source string")
+    assert all("hunter2x" not in r.text and r.text.endswith("end") for r in corpus_pipeline.redact(spark, docs, "").collect())
+
+
+def test_redaction_against_plain_python(spark):
+    """Overlaps, long spans over block bounds, wide characters, hits at both ends."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    rows = []
+    for i in range(40):
+        parts = [rnd.choice(["é🎉 word ", "x" * rnd.randint(1, 900) + " ", f"token={'ab' * rnd.randint(1, 1500)}z ", f"secret: {'0123456789abcdef' * rnd.randint(1, 90)} ", "\n", f"AKIA{'Q' * rnd.randint(10, 40)} "]) for _ in range(rnd.randint(0, 25))]
+        rows.append((i, "".join(parts), f"s{i % 4}"))
+    df = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).withColumn("clean", secrets.redacted(F.col("text"), F.col("secrets")))
+    for r in df.collect():
+        want, at = "", 0
+        for s in sorted(x for x in r.secrets if x.hidden):
+            if s.start >= at:
+                want += r.text[at : s.start] + secrets.REDACTED
+            at = max(at, s.stop)
+        assert r.clean == want + r.text[at:]
+
+
+def test_many_secrets_in_one_text(spark):
+    """100,000 hits in one text: places and the clean text in time linear in them."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    text = " ".join(f"{i:024x}" for i in range(n))
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    began = time.time()
+    row = secrets.scan(docs).select(F.size("secrets").alias("n"), secrets.redacted(F.col("text"), F.col("secrets")).alias("clean"), F.try_element_at("secrets", F.lit(-1)).alias("last")).first()
+    assert row.n == n and row.clean == " ".join([secrets.REDACTED] * n) and row.last.stop == len(text)
+    assert time.time() - began < 60
 
 
 def test_mixture(spark, docs):
