@@ -53,9 +53,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets: every place found that isn't a widely held example becomes a marker. All rows stay; null texts stay null."""
-    hidden = F.filter("secrets", lambda s: s["class"] != "example")
-    return _together(scan(_apart(docs)), docs.columns, redacted(F.col("text"), hidden))
+    """Secrets: every place found becomes a marker, but for widely copied values that read like placeholders. All rows stay; null texts stay null."""
+    return _together(scan(_apart(docs)), docs.columns, redacted(F.col("text"), F.col("secrets")))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
