@@ -60,7 +60,7 @@ def encoded(kind: str, record_id: str, uri: str, date: str, payload: bytes, sha1
 
 
 def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows as they will be written, the table behind them): id, url, payload, sha1, response (the id that a revisit refers to, with found true).
+    """(rows as they will be written, the table behind them): id, row, url, payload, sha1, again (whether a row is a revisit), response and head (id and row of the one that it refers to).
 
     Payloads are equal if their SHA-1, length and another hash are. Rows are written once with
     their digests and a number, so the largest id's row is the same one wherever it is asked
@@ -75,7 +75,7 @@ def marked(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payl
     heads = staged(held.filter(F.col("bytes") >= least).groupBy("sha1", "other", "bytes").agg(first, F.count("*").alias("c")).filter("c > 1").select("sha1", "other", "bytes", F.col("h.id").alias("response"), F.col("h.row").alias("head")), "heads")
     small = F.broadcast(heads) if heads.count() * KEY_BYTES <= BROADCAST_BYTES else heads
     again = F.col("head").isNotNull() & (F.col("head") != F.col("row"))
-    return held.join(small, ["sha1", "other", "bytes"], "left").select("id", "url", "payload", "sha1", again.alias("again"), "response"), held
+    return held.join(small, ["sha1", "other", "bytes"], "left").select("id", "row", "url", "payload", "sha1", again.alias("again"), "response", "head"), held
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -94,18 +94,16 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done, path, n, size = None, [], "", 0, 0
         for b in batches:
-            for id_, url, payload, sha1, again, response in zip(*(c.to_pylist() for c in b.columns)):
+            for id_, row, url, payload, sha1, again, response, head in zip(*(c.to_pylist() for c in b.columns)):
                 if out is None:
                     files, top = opened(folder)
                     files.create_dir(top, recursive=True)
-                    name = f"{uuid.uuid4().hex}.warc.gz"
-                    path, n, size = f"{folder}/{name}", 0, 0
-                    out = files.open_output_stream(f"{top}/{name}", compression=None)
-                own = "none" if id_ is None else id_
-                if again:
-                    member = encoded("revisit", f"urn:page:{own}:revisit:{path[-40:-8]}-{n}", url, date, payload, sha1, f"urn:page:{'none' if response is None else response}:{sha1}")
-                else:
-                    member = encoded("response", f"urn:page:{own}:{sha1}", url, date, payload, sha1)
+                    file = f"{uuid.uuid4().hex}.warc.gz"
+                    path, n, size = f"{folder}/{file}", 0, 0
+                    out = files.open_output_stream(f"{top}/{file}", compression=None)
+                name = lambda i, r: f"urn:page:{'none' if i is None else i}:{r}"
+                kind, refers_to = ("revisit", name(response, head)) if again else ("response", None)
+                member = encoded(kind, name(id_, row), url, date, payload, sha1, refers_to)
                 out.write(member)
                 n, size = n + 1, size + len(member)
                 if size >= archive_bytes:
