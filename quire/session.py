@@ -10,9 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch that goes to a Python worker; Spark's own default is eight times that, which JVM and worker both hold.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def shipped(spark: SparkSession) -> SparkSession:
-    """Makes the package importable in Python workers, once for each application."""
+    """Makes the package importable in Python workers, once for each application.
+
+    Batches for workers are made smaller unless the application has set their size itself.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     if not getattr(context, "_quire_shipped", False):
         top = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="quire-")) / "quire.zip"
