@@ -27,32 +27,31 @@ def line_fails(line: Column) -> Column:
     navigation: two or more separators (|, », ›, •) and at least one for every six words.
     boilerplate: a short line holding a furniture phrase.
     """
+    # cheap tests stand first: the others are only made where those hold
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     visible = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
-    noisy = (symbols * 10 >= visible) & (symbols > 0)
+    noisy = (symbols > 0) & (symbols * 10 >= visible)
     shouted = line.contains("!!") & (F.regexp_count(line, F.lit(r"!!+(?=[\x20\x09-\x0D]|$)")) * 3 >= n)
-    wordless = (n >= 8) & ~line.rlike(r"\p{L}")
+    wordless = ~line.rlike(r"\p{L}") & (n >= 8)
     menu = (bars >= 2) & (bars * 6 >= n)
-    furniture = line.rlike(BOILERPLATE) & (n <= BOILERPLATE_WORDS)
-    return (visible > 0) & (noisy | shouted | wordless | menu | furniture)
+    furniture = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
+    return line.rlike(r"[^\x20\x09-\x0D]") & (noisy | shouted | wordless | menu | furniture)
 
 
-def repeat_words(w: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the array, first places included.
-
-    Windows are compared by a 64-bit hash, sorted with their places; neighbours that agree give
-    their places, and each place covers itself and the next two.
-    """
+def windows(w: Column) -> Column:
+    """A 64-bit hash of each 3-word window of an array of words, in order."""
     n = F.greatest(F.size(w) - 2, F.lit(0))
-    pair = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b))
-    windows = F.zip_with(pair, F.slice(w, 3, n), lambda h, c: F.xxhash64(h, c))
-    return windows
+    return F.transform(F.slice(w, 1, n), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
 
 
 def _covered(windows: Column) -> Column:
-    """From the windows' hashes the number of words covered by those that repeat."""
+    """From the windows' hashes the number of words that lie in windows found twice or more, first places included.
+
+    The hashes are sorted with their places; neighbours that agree give their places, and each
+    place covers itself and the next two.
+    """
 
     def neighbours(s: Column) -> Column:
         return F.filter(F.zip_with(s, F.slice(s, 2, ALL), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda p: p.isNotNull())
@@ -81,7 +80,7 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat: float = 0.5, max_r
     text = F.coalesce(column(docs, "text", "string"), F.lit(""))
     worded = F.filter(F.split(text, "\n", -1), lambda l: l.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumns({"_w": words(text), "_lines": worded})
-    out = out.withColumns({"_win": repeat_words(F.col("_w")), "n_words": F.size("_w").cast("long")})
+    out = out.withColumns({"_win": windows(F.col("_w")), "n_words": F.size("_w").cast("long")})
     out = out.withColumns(
         {
             "word_chars": word_chars(text),
@@ -91,7 +90,9 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat: float = 0.5, max_r
             "cleaned": F.array_join(F.filter(F.split(text, "\n", -1), lambda l: ~line_fails(l)), "\n"),
         }
     )
-    out = out.withColumn("removed_chars", F.col("word_chars") - word_chars(F.col("cleaned")))
+    # most texts lose nothing
+    left = F.when(F.length("cleaned") == F.length(text), F.col("word_chars")).otherwise(word_chars(F.col("cleaned")))
+    out = out.withColumn("removed_chars", F.col("word_chars") - left)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_chars") <= F.lit(float(max_removed)) * F.col("word_chars")))
