@@ -94,6 +94,30 @@ def net_q_depth(content: Column) -> Column:
     return F.size(F.filter(lines, lambda x: x == "q")) - F.size(F.filter(lines, lambda x: x == "Q"))
 
 
+def balance(content: Column) -> Column:
+    """struct(depth, lowest, opened, closed) of a content stream's lines that only save or only restore the graphics state.
+
+    depth: saves less restores; lowest: the least running sum, 0 at most; opened: saves that must
+    go in front so that none is restored before; closed: restores that must follow. One fold
+    over the lines.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("lowest"))
+
+    def step(s: Column, line: Column) -> Column:
+        sign = trim(line)
+        depth = s["depth"] + F.when(sign == "q", 1).when(sign == "Q", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.least(s["lowest"], depth).alias("lowest"))
+
+    end = lambda s: F.struct(s["depth"].alias("depth"), s["lowest"].alias("lowest"), (-s["lowest"]).alias("opened"), (s["depth"] - s["lowest"]).alias("closed"))
+    return F.aggregate(F.coalesce(F.split(content, "\n"), F.expr("cast(array() as array<string>)")), start, step, end)
+
+
+def balanced(content: Column) -> Column:
+    """A content stream with the saves and restores that it lacks, a line each."""
+    b = F.transform(F.array(balance(content)), lambda x: F.concat(F.repeat(F.lit("q\n"), x["opened"]), content, F.repeat(F.lit("\nQ"), x["closed"])))
+    return F.get(b, F.lit(0))
+
+
 def translated_name(path: Column, suffix: str = "_translated") -> Column:
     """base.ext -> base_translated.ext."""
     return F.regexp_replace(path, r"^(.*?)(\.[^./]*)?$", f"$1{suffix}$2")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import collapse, extract_json_array, fields, is_blank
+from quire.functions.text import collapse, extract_json_array, fields, is_blank, trim
 from quire.operators.layout import PAGE
+from quire.session import staged
 
 #: Fixed values of the cost model: tokens per word, output per input, dollars per million tokens in and out.
 TOKENS_PER_WORD, OUTPUT_SHARE, INPUT_PRICE, OUTPUT_PRICE = 1.33, 1.2, 0.15, 0.60
@@ -66,6 +67,36 @@ def parsed(responses: DataFrame) -> DataFrame:
     return rows.withColumns({"error": error, "translations": F.when(error.isNull(), F.col("_t"))}).drop("_v", "_k", "_t")
 
 
+TABLE_HINT = "This is a cell of a table: keep its rows on lines of their own.\n\n"
+
+
+def single_requests(items: DataFrame) -> DataFrame:
+    """Adds `request`: what a model is asked for one block. Cells of tables come with a hint."""
+    return items.withColumn("request", F.when(F.col("block_type") == "table", F.concat(F.lit(TABLE_HINT), F.col("text"))).otherwise(F.col("text")))
+
+
+def with_fallback(batches: DataFrame, items: DataFrame, ask: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+    """Each item (key, n from 0, text, block_type) with translated, via (`batch` or `single`) and error.
+
+    `batches` holds a batch's answer (key, content, expected). An answer that doesn't validate, or
+    is missing, sends its items out one by one: `ask` turns single requests into (key, n, content,
+    error). An item fails by itself, with its own error, and others of its batch stand.
+
+    Valid answers are exploded and joined by place, failed ones decide by their key which items
+    are asked, so the second level costs in proportion to the failures. Both joins are on the
+    key, and answers of hot keys may be split by adaptive execution.
+    """
+    judged = staged(parsed(batches).select(key, "error", "translations"), "judged-batches")
+    fine = judged.filter("error is null").select(key, F.posexplode("translations").alias("n", "translated"))
+    whole = items.join(fine, [key, "n"]).select(*items.columns, "translated", F.lit("batch").alias("via"), F.lit(None).cast("string").alias("error"))
+    open_ = items.join(judged.filter("error is null").select(key), key, "left_anti")
+    said = ask(single_requests(open_)).select(key, "n", F.col("content").alias("_c"), F.col("error").alias("_e"))
+    text = F.when(F.col("_e").isNull(), trim(F.col("_c")))
+    alone = open_.join(said, [key, "n"], "left").withColumn("error", F.coalesce("_e", F.when(F.col("_c").isNull(), "no answer")))
+    alone = alone.select(*items.columns, text.alias("translated"), F.lit("single").alias("via"), "error")
+    return whole.unionByName(alone)
+
+
 def cost(blocks: DataFrame, *keys: str) -> DataFrame:
     """Estimated tokens and dollars over blocks."""
     g = blocks.groupBy(*keys).agg(F.coalesce(F.sum(F.size(fields(F.col("text")))), F.lit(0)).alias("_w"))

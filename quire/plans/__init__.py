@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import pages, records, rendering  # noqa: F401
+from quire.plans import pages, records, rendering, structures  # noqa: F401
 from quire.plans.base import ORACLES, QUERIES
 
 
