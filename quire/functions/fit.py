@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import bound, chunks
 from quire.functions.script import char_ratio
 from quire.functions.text import fields
 
@@ -18,8 +19,13 @@ def per_line(width: Column, size: Column, ratio: Column) -> Column:
 
 
 def wrap_words(words: Column, limit: Column) -> Column:
-    """Greedy lines of at most `limit` characters; longer words stand alone; no words give one empty line."""
-    start = F.struct(F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("string").alias("line"))
+    """Greedy lines of at most `limit` characters; longer words stand alone; no words give one empty line.
+
+    Words are folded a chunk at a time; only the line begun is carried on, and a chunk's lines
+    are set aside as one element. So finished lines aren't copied for each word.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    start = F.struct(F.expr("cast(array() as array<array<string>>)").alias("done"), F.lit(None).cast("string").alias("line"))
 
     def step(s: Column, w: Column) -> Column:
         fits = F.length(s["line"]) + 1 + F.length(w) <= limit
@@ -27,7 +33,12 @@ def wrap_words(words: Column, limit: Column) -> Column:
         line = F.when(s["line"].isNull(), w).when(fits, F.concat_ws(" ", s["line"], w)).otherwise(w)
         return F.struct(done.alias("done"), line.alias("line"))
 
-    return F.aggregate(words, start, step, lambda s: F.concat(s["done"], F.array(F.coalesce(s["line"], F.lit("")))))
+    def some(s: Column, chunk: Column) -> Column:
+        folded = F.aggregate(chunk, F.struct(none.alias("done"), s["line"].alias("line")), step)
+        return bound(folded, lambda f: F.struct(F.concat(s["done"], F.array(f["done"])).alias("done"), f["line"].alias("line")))
+
+    whole = lambda s: F.concat(F.flatten(s["done"]), F.array(F.coalesce(s["line"], F.lit(""))))
+    return F.aggregate(bound(words, chunks), start, some, whole)
 
 
 def wrap_text(text: Column, width: Column, size: Column, ratio: Column) -> Column:
@@ -35,11 +46,6 @@ def wrap_text(text: Column, width: Column, size: Column, ratio: Column) -> Colum
     return wrap_words(fields(text), per_line(width, size, ratio))
 
 
-def bound(value: Column, f) -> Column:
-    """f(value) with the value computed once: an array of one element binds it to the lambda's argument."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def count_lines(lengths: Column, limit: Column) -> Column:
     """How many lines wrap_words would give for words of these lengths."""
     start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("used"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,11 +17,12 @@ FONTS = {
 }
 
 
-def resolved(scripts: DataFrame, overrides: Column, cached: Column) -> DataFrame:
-    """Adds the font path: an override, else the cached file, else one to fetch; unknown scripts take latin's."""
+def resolved(scripts: DataFrame, overrides: Mapping[str, str], cached: Column) -> DataFrame:
+    """Adds the font file and path: the settings' own file for a script, else the cached one, else one to fetch; unknown scripts take latin's."""
     table = F.create_map(*[F.lit(x) for pair in FONTS.items() for x in pair])
+    own = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair]) if overrides else F.expr("cast(map() as map<string,string>)")
     file = F.coalesce(table[F.col("script")], F.lit(FONTS["latin"]))
-    return scripts.withColumns({"file": file, "path": F.coalesce(F.nullif(overrides, F.lit("")), F.when(cached, F.concat(F.lit("/cache/"), file)), F.concat(F.lit("fetch:"), file))})
+    return scripts.withColumns({"file": file, "path": F.coalesce(F.nullif(own[F.col("script")], F.lit("")), F.when(cached, F.concat(F.lit("/cache/"), file)), F.concat(F.lit("fetch:"), file))})
 
 
 def missing(catalogue: DataFrame, cached: DataFrame) -> DataFrame:
@@ -27,74 +30,70 @@ def missing(catalogue: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def encoded(texts: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """Each text's glyph numbers in hexadecimal; 0 for characters without a glyph.
+    """(font, id, text) -> font, id, hex: each text's glyph numbers in its font in hexadecimal; 0 for characters without a glyph.
 
-    Row by row: glyph numbers are 16-bit, so the glyphs travel to the texts in one row and no
-    character becomes a row. Lookups in maps are linear, so the first 256 code points have an array.
+    Row by row: a font's glyphs travel to its texts in one row, as an array of blocks of 256 code
+    points each, so a character costs two array lookups, whatever the font's size. A row holds
+    at most 65,536 glyphs; the table of fonts is written, so Spark sees its size before it
+    broadcasts it.
     """
     hexed = F.lpad(F.hex("gid"), 4, "0").alias("hex")
-    table = glyphs.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("code_point", hexed)))).alias("_all"))
-    none = lambda c: F.coalesce(c, F.lit("0000"))
-    low = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: none(F.element_at("_all", i)))
-    table = table.select(low.alias("_low"), F.map_filter("_all", lambda k, _: k > 255).alias("_high"))
+    cells = glyphs.select("font", F.floor(F.col("code_point") / 256).cast("int").alias("block"), F.struct((F.col("code_point") % 256).alias("at"), hexed).alias("e"))
+    blocks = cells.groupBy("font", "block").agg(F.map_from_entries(F.sort_array(F.collect_set("e"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.element_at("m", i))
+    fonts = blocks.select("font", F.struct("block", dense.alias("d")).alias("b")).groupBy("font").agg(F.map_from_entries(F.sort_array(F.collect_list("b"))).alias("m"))
+    fonts = fonts.select("font", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda i: F.element_at("m", i)).alias("_table"))
+    table = staged(fonts, "font-glyphs")
     chars = F.filter(F.split("text", ""), lambda c: c != "")
-    each = F.transform(chars, lambda c: F.when(F.ascii(c) < 256, F.get("_low", F.ascii(c))).otherwise(none(F.element_at("_high", F.ascii(c)))))
-    return texts.crossJoin(F.broadcast(table)).select("id", F.coalesce(F.array_join(each, ""), F.lit("")).alias("hex"))
+    code = lambda c: F.ascii(c)
+    each = F.transform(chars, lambda c: F.coalesce(F.get(F.get("_table", F.floor(code(c) / 256).cast("int")), code(c) % 256), F.lit("0000")))
+    return texts.join(table, "font", "left").select("font", "id", F.coalesce(F.array_join(each, ""), F.lit("")).alias("hex"))
 
 
 def closure(used: DataFrame, parts: DataFrame) -> DataFrame:
-    """Glyphs used, with all that composite glyphs are made of, to any depth.
+    """(font, gid) of the glyphs used, with all that composite glyphs (font, gid, part) are made of, to any depth.
 
     Each level is written and only the newest is joined, so the plan is one scan a level.
     """
-    newest = found = staged(used.select("gid").distinct(), "glyphs")
+    newest = found = staged(used.select("font", "gid").distinct(), "glyphs")
     while True:
-        newest = staged(newest.join(parts, "gid").select(F.col("part").alias("gid")).distinct().join(found, "gid", "left_anti"), "glyph-parts")
+        newest = staged(newest.join(parts, ["font", "gid"]).select("font", F.col("part").alias("gid")).distinct().join(found, ["font", "gid"], "left_anti"), "glyph-parts")
         if newest.isEmpty():
             return found
         found = found.unionByName(newest)
 
 
 def width_runs(glyphs: DataFrame) -> DataFrame:
-    """Runs of consecutive glyph numbers: first, last, and their widths."""
-    each = glyphs.select("gid", "advance").distinct()
-    # glyph numbers are 16-bit, so this window has at most 65,536 rows
-    runs = each.withColumn("_r", F.col("gid") - F.row_number().over(W.orderBy("gid"))).groupBy("_r")
+    """Runs of consecutive glyph numbers of each font: first, last, and their widths. A font's window has at most 65,536 rows."""
+    each = glyphs.select("font", "gid", "advance").distinct()
+    runs = each.withColumn("_r", F.col("gid") - F.row_number().over(W.partitionBy("font").orderBy("gid"))).groupBy("font", "_r")
     return runs.agg(F.min("gid").alias("first"), F.max("gid").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("gid", "advance"))), lambda g: g["advance"].cast("string")), " ").alias("widths")).drop("_r")
 
 
 def offsets(glyphs: DataFrame) -> DataFrame:
-    """Where each glyph's outline starts when they are stored in order, each padded to four bytes."""
-    each = glyphs.select("gid", "glyph_len").distinct().withColumn("padded", F.expr("(glyph_len + 3) div 4 * 4"))
-    return each.select("gid", "padded", F.coalesce(F.sum("padded").over(W.orderBy("gid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    """Where each glyph's outline starts when a font's are stored in order, each padded to four bytes."""
+    each = glyphs.select("font", "gid", "glyph_len").distinct().withColumn("padded", F.expr("(glyph_len + 3) div 4 * 4"))
+    return each.select("font", "gid", "padded", F.coalesce(F.sum("padded").over(W.partitionBy("font").orderBy("gid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
 
 
 def to_unicode(glyphs: DataFrame, chunk: int = 100) -> DataFrame:
-    """The smallest code point of each glyph, numbered in chunks."""
-    g = glyphs.groupBy("gid").agg(F.min("code_point").alias("code_point"))
-    return g.withColumn("chunk", F.expr(f"(row_number() over (order by gid) - 1) div {chunk}"))
-
-
-#: What surrounds the entries of a ToUnicode map.
-CMAP_HEAD = """/CIDInit /ProcSet findresource begin
-12 dict begin
-begincmap
-/CIDSystemInfo << /Registry (Adobe) /Ordering (UCS) /Supplement 0 >> def
-/CMapName /{name}-UCS def
-/CMapType 2 def
-1 begincodespacerange
-<0000> <FFFF>
-endcodespacerange
-"""
-CMAP_TAIL = """endcmap
-CMapName currentdict /CMap defineresource pop
-end
-end
-"""
-
-
-def unicode_map(glyphs: DataFrame, name: str, chunk: int = 100) -> DataFrame:
-    """The ToUnicode map of a font as one text, `cmap`, its entries in order of glyph numbers, at most `chunk` a section.
+    """The smallest code point of each glyph of a font, numbered in chunks."""
+    g = glyphs.groupBy("font", "gid").agg(F.min("code_point").alias("code_point"))
+    return g.withColumn("chunk", F.expr(f"(row_number() over (partition by font order by gid) - 1) div {chunk}"))
+
+
+def cmap_text(name: str) -> tuple[str, str]:
+    """What stands before and behind the entries of a ToUnicode map: a CMap resource of two-byte codes, as PostScript."""
+    system = {"Registry": "(Quire)", "Ordering": "(Unicode)", "Supplement": "0"}
+    info = " ".join(f"/{k} {v} def" for k, v in system.items())
+    keys = {"CMapName": f"/Quire-{name}", "CMapType": "2", "WMode": "0"}
+    head = ["/CIDInit /ProcSet findresource begin", "16 dict begin", "begincmap", f"/CIDSystemInfo {len(system)} dict dup begin {info} end def", *[f"/{k} {v} def" for k, v in keys.items()], "1 begincodespacerange <0000> <FFFF> endcodespacerange"]
+    tail = ["endcmap", "CMapName currentdict /CMap defineresource pop", "end end"]
+    return "\n".join([*head, ""]), "\n".join([*tail, ""])
+
+
+def unicode_map(glyphs: DataFrame, chunk: int = 100) -> DataFrame:
+    """(font, cmap): the ToUnicode map of each font as one text, its entries in order of glyph numbers, at most `chunk` a section.
 
     Code points above U+FFFF are surrogate pairs. A font has 65,536 glyphs at most, so the text is bounded.
     """
@@ -103,15 +102,9 @@ def unicode_map(glyphs: DataFrame, name: str, chunk: int = 100) -> DataFrame:
     over = point - 0x10000
     utf16 = F.when(point < 0x10000, four(point)).otherwise(F.concat(four(0xD800 + F.shiftright(over, 10)), four(0xDC00 + over.bitwiseAND(0x3FF))))
     entry = F.concat(F.lit("<"), four(F.col("gid")), F.lit("> <"), utf16, F.lit(">\n"))
-    parts = to_unicode(glyphs, chunk).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("gid", entry.alias("entry")))).alias("e"))
+    parts = to_unicode(glyphs, chunk).groupBy("font", "chunk").agg(F.sort_array(F.collect_list(F.struct("gid", entry.alias("entry")))).alias("e"))
     section = F.concat(F.size("e").cast("string"), F.lit(" beginbfchar\n"), F.array_join(F.transform("e", lambda e: e["entry"]), ""), F.lit("endbfchar\n"))
-    whole = parts.agg(F.sort_array(F.collect_list(F.struct("chunk", section.alias("section")))).alias("s"))
-    return whole.select(F.concat(F.lit(CMAP_HEAD.format(name=name)), F.array_join(F.transform("s", lambda s: s["section"]), ""), F.lit(CMAP_TAIL)).alias("cmap"))
-
-
-def background(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Mean colour of the border of each box (id, x0, y0, x1, y1) over 16-bit pixels (x, y, r, g, b); corners count twice; white where there is none."""
-    sides = F.flatten(F.array(F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y"))), F.transform(F.sequence("x0", "x1"), lambda x: F.struct(x.alias("x"), F.col("y1").alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x0").alias("x"), y.alias("y"))), F.transform(F.sequence("y0", "y1"), lambda y: F.struct(F.col("x1").alias("x"), y.alias("y")))))
-    edge = boxes.select("id", F.explode(sides).alias("p")).select("id", "p.x", "p.y").join(pixels, ["x", "y"])
-    mean = lambda c: (F.expr(f"sum({c}) div count(*)") / 65535.0).alias(c)
-    return boxes.select("id").join(edge.groupBy("id").agg(mean("r"), mean("g"), mean("b")), "id", "left").fillna(1.0, ["r", "g", "b"])
+    whole = parts.groupBy("font").agg(F.sort_array(F.collect_list(F.struct("chunk", section.alias("section")))).alias("s"))
+    head, tail = cmap_text("\0")
+    named = F.replace(F.lit(head), F.lit("\0"), F.col("font"))
+    return whole.select("font", F.concat(named, F.array_join(F.transform("s", lambda s: s["section"]), ""), F.lit(tail)).alias("cmap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions import geometry, text
+from quire.functions import text
 from quire.operators import fonts, jobs, ocr, translate
 from quire.plans.base import TABLES, d_trim, query
 from quire.sources import virtual as v
@@ -37,9 +37,9 @@ TABLES["pages_"] = (
     from (select id, unnest(range(1, total_pages + 1))::int as p from jobs))""",
 )
 TABLES["stale"] = (("jobs",), "select *, id % 8 in (0, 2, 5) as safe from jobs where status <> 'completed' and updated_at < timestamp '2001-01-01' - interval 24 hours")
-TABLES["glyphs"] = ((), "select code_point, 1 + code_point % 100 as gid, 400 + (1 + code_point % 100) % 300 as advance, (1 + code_point % 100) * 13 % 90 as glyph_len from (select distinct unicode(c)::int as code_point from (select unnest(string_split(text, '')) as c from documents) where c <> '')")
-TABLES["parts"] = (("glyphs",), "select distinct gid, gid // 2 as part from (select unnest(range(1, 101))::int as gid) where gid % 10 = 0")
-TABLES["reached"] = (("glyphs", "parts"), "select distinct gid from glyphs where gid > 60 union select p.part from reached r join parts p on p.gid = r.gid")
+TABLES["glyphs"] = ((), "select font, code_point, gid, 400 + gid % 300 as advance, gid * 13 % 90 as glyph_len from (select font, code_point, 1 + (code_point + 70) % 100 as gid from (select distinct 'Font-' || coalesce(lang, 'any') as font, unicode(c)::int as code_point from (select lang, unnest(string_split(text, '')) as c from documents) where c <> ''))")
+TABLES["parts"] = (("glyphs",), "select font, gid, gid // 2 as part from (select distinct font from glyphs), (select unnest(range(1, 101))::int as gid) where gid % 10 = 0")
+TABLES["reached"] = (("glyphs", "parts"), "select distinct font, gid from glyphs where gid > 60 union select r.font, p.part from reached r join parts p on p.font = r.font and p.gid = r.gid")
 ROOTS = ("/tmp", "/data/app")
 
 
@@ -167,30 +167,32 @@ def settle_jobs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.settled(v.document_jobs(spark, d), v.page_jobs(spark, d)).select("id", "status", "error_message")
 
 
-@query("q_encode_hex", "select doc_id as id, coalesce(array_to_string(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda c: lpad(upper(to_hex(case when c = '.' then 0 else 1 + unicode(c) % 100 end)), 4, '0')), ''), '') as hex from documents")
+@query("q_encode_hex", "select doc_id as id, 'Font-' || coalesce(lang, 'any') as font, coalesce(array_to_string(list_transform(list_filter(string_split(text, ''), lambda x: x <> ''), lambda c: lpad(upper(to_hex(case when c = '.' then 0 else 1 + (unicode(c) + 70) % 100 end)), 4, '0')), ''), '') as hex from documents")
 def encode_hex(spark: SparkSession, d: str) -> DataFrame:
-    texts = v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = v.read(spark, d, "documents").select(F.col("doc_id").alias("id"), v.font_of(), "text")
     return fonts.encoded(texts, v.glyphs(spark, d).filter(F.col("code_point") != ord(".")))
 
 
-@query("q_glyph_closure", "select gid, (select max(gid) from reached) as max_gid from reached", "reached")
+@query("q_glyph_closure", "select font, gid, max(gid) over (partition by font) as max_gid from reached", "reached")
 def glyph_closure(spark: SparkSession, d: str) -> DataFrame:
-    parts = spark.range(1, 101).selectExpr("cast(id as int) as gid").filter("gid % 10 = 0").selectExpr("gid", "cast(gid div 2 as int) as part")
-    c = fonts.closure(v.glyphs(spark, d).filter("gid > 60"), parts)
-    return c.crossJoin(F.broadcast(c.agg(F.max("gid").alias("max_gid"))))
+    g = v.glyphs(spark, d)
+    tens = F.explode(F.sequence(F.lit(10), F.lit(100), F.lit(10))).alias("gid")
+    parts = g.select("font").distinct().select("font", tens).withColumn("part", F.expr("gid div 2"))
+    c = fonts.closure(g.filter("gid > 60"), parts)
+    return c.join(c.groupBy("font").agg(F.max("gid").alias("max_gid")), "font")
 
 
-@query("q_gid_runs", "select min(gid) as first, max(gid) as last, string_agg(advance::varchar, ' ' order by gid) as widths from (select gid, advance, gid - row_number() over (order by gid) as r from (select distinct gid, advance from glyphs)) group by r", "glyphs")
+@query("q_gid_runs", "select font, min(gid) as first, max(gid) as last, string_agg(advance::varchar, ' ' order by gid) as widths from (select font, gid, advance, gid - row_number() over (partition by font order by gid) as r from (select distinct font, gid, advance from glyphs)) group by font, r", "glyphs")
 def gid_runs(spark: SparkSession, d: str) -> DataFrame:
     return fonts.width_runs(v.glyphs(spark, d))
 
 
-@query("q_loca_offsets", "select gid, padded, coalesce(sum(padded) over (order by gid rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from (select distinct gid, (glyph_len + 3) // 4 * 4 as padded from glyphs)", "glyphs")
+@query("q_loca_offsets", "select font, gid, padded, coalesce(sum(padded) over (partition by font order by gid rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from (select distinct font, gid, (glyph_len + 3) // 4 * 4 as padded from glyphs)", "glyphs")
 def loca_offsets(spark: SparkSession, d: str) -> DataFrame:
     return fonts.offsets(v.glyphs(spark, d))
 
 
-@query("q_to_unicode", "select gid, min(code_point) as code_point, (row_number() over (order by gid) - 1) // 100 as chunk from glyphs group by gid", "glyphs")
+@query("q_to_unicode", "select font, gid, min(code_point) as code_point, (row_number() over (partition by font order by gid) - 1) // 100 as chunk from glyphs group by font, gid", "glyphs")
 def to_unicode(spark: SparkSession, d: str) -> DataFrame:
     return fonts.to_unicode(v.glyphs(spark, d))
 
@@ -199,29 +201,16 @@ def d_hex(n: str) -> str:
     return f"lpad(to_hex({n}), 4, '0')"
 
 
+HEAD, TAIL = fonts.cmap_text("@")
+
+
 @query(
     "q_unicode_map",
-    f"""select '{fonts.CMAP_HEAD.format(name="Page")}' || coalesce(string_agg(t, '' order by chunk), '') || '{fonts.CMAP_TAIL}' as cmap from (select chunk, count(*) || ' beginbfchar' || chr(10) || string_agg('<' || {d_hex("gid")} || '> <' || case when p < 65536 then {d_hex("p")} else {d_hex("55296 + ((p - 65536) >> 10)")} || {d_hex("56320 + ((p - 65536) & 1023)")} end || '>' || chr(10), '' order by gid) || 'endbfchar' || chr(10) as t from (select gid, min(code_point) as p, (row_number() over (order by gid) - 1) // 100 as chunk from glyphs group by gid) group by chunk)""",
+    f"""select font, replace('{HEAD}', '@', font) || string_agg(t, '' order by chunk) || '{TAIL}' as cmap from (select font, chunk, count(*) || ' beginbfchar' || chr(10) || string_agg('<' || {d_hex("gid")} || '> <' || case when p < 65536 then {d_hex("p")} else {d_hex("55296 + ((p - 65536) >> 10)")} || {d_hex("56320 + ((p - 65536) & 1023)")} end || '>' || chr(10), '' order by gid) || 'endbfchar' || chr(10) as t from (select font, gid, min(code_point) as p, (row_number() over (partition by font order by gid) - 1) // 100 as chunk from glyphs group by font, gid) group by font, chunk) group by font""",
     "glyphs",
 )
 def unicode_map(spark: SparkSession, d: str) -> DataFrame:
-    return fonts.unicode_map(v.glyphs(spark, d), "Page")
-
-
-SCRIPTS = [*fonts.FONTS, "klingon"]
-FONT_SQL = "case " + " ".join(f"when script = '{k}' then '{f}'" for k, f in fonts.FONTS.items()) + " else 'NotoSans-Regular.ttf' end"
-
-
-@query("q_font_resolve", f"select script, file, case when script = 'thai' then '/own/thai.ttf' when length(script) % 2 = 0 then '/cache/' || file else 'fetch:' || file end as path from (select script, {FONT_SQL} as file from (select unnest({SCRIPTS}) as script))")
-def font_resolve(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.createDataFrame([(x,) for x in SCRIPTS], "script string")
-    return fonts.resolved(s, F.when(F.col("script") == "thai", "/own/thai.ttf").otherwise(""), F.length("script") % 2 == 0)
-
-
-@query("q_fonts_missing", f"select distinct file from (select {FONT_SQL} as file from (select unnest({list(fonts.FONTS)}) as script)) where file not in ('NotoSans-Regular.ttf', 'NotoSansKR-Regular.ttf')")
-def fonts_missing(spark: SparkSession, d: str) -> DataFrame:
-    catalogue = spark.createDataFrame(list(fonts.FONTS.items()), "script string, file string")
-    return fonts.missing(catalogue, spark.createDataFrame([("NotoSans-Regular.ttf",), ("NotoSansKR-Regular.ttf",)], "file string"))
+    return fonts.unicode_map(v.glyphs(spark, d))
 
 
 TABLES["answers"] = (
@@ -262,17 +251,3 @@ def image_streams(spark: SparkSession, d: str) -> DataFrame:
     pair = F.array(F.get(names, F.col("p_partkey") % 7), F.get(names, F.expr("p_partkey div 7 % 7")))
     filters = F.when(F.col("p_partkey") % 9 == 7, F.expr("cast(array() as array<string>)")).when(F.col("p_partkey") % 9 < 7, pair)
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.is_image_stream(filters).alias("image"))
-
-
-@query(
-    "q_background",
-    """with boxes as (select id, (id % 5)::int as x0, (id % 7)::int as y0, (id % 5 + 6)::int as x1, (id % 7 + 4 + id % 3)::int as y1 from range(200) t(id)),
-    edge as (select id, x, y0 as y from boxes, range(0, 20) r(x) where x between x0 and x1 union all select id, x, y1 from boxes, range(0, 20) r(x) where x between x0 and x1
-      union all select id, x0, y from boxes, range(0, 20) r(y) where y between y0 and y1 union all select id, x1, y from boxes, range(0, 20) r(y) where y between y0 and y1)
-    select id, r, g, b, r > 0.95 and g > 0.95 and b > 0.95 as white, trunc(r * 255)::int as r8 from (select id, (sum(x * 4000 % 65536) // count(*)) / 65535.0::double as r, (sum(y * 7000 % 65536) // count(*)) / 65535.0::double as g, (sum((x + y) * 3000 % 65536) // count(*)) / 65535.0::double as b from edge group by id)""",
-)
-def background(spark: SparkSession, d: str) -> DataFrame:
-    pixels = spark.range(400).selectExpr("cast(id % 20 as int) as x", "cast(id div 20 as int) as y").selectExpr("x", "y", "x * 4000 % 65536 as r", "y * 7000 % 65536 as g", "(x + y) * 3000 % 65536 as b")
-    boxes = spark.range(200).selectExpr("id", "cast(id % 5 as int) as x0", "cast(id % 7 as int) as y0", "cast(id % 5 + 6 as int) as x1", "cast(id % 7 + 4 + id % 3 as int) as y1")
-    c = F.col
-    return fonts.background(pixels, boxes).select("id", "r", "g", "b", geometry.is_white(c("r"), c("g"), c("b")).alias("white"), geometry.to_byte(c("r")).alias("r8"))

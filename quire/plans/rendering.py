@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import fit, geometry, script, text
-from quire.operators import overlay, segments, translate
+from quire.operators import fonts, overlay, segments, translate
 from quire.operators.layout import PAGE
 from quire.plans.base import BLANK, TABLES, d_collapse, d_fields, d_trim, query
 from quire.plans.pages import blocks
@@ -315,31 +315,50 @@ def pdf_escape(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d).select("id", text.pdf_escape(F.col("text")).alias("escaped"))
 
 
-@query("q_error_class", "select id, case when contains(lower(text), 'encrypted') or contains(lower(text), 'password') then 'encrypted' else 'other' end as class from samples", "samples")
+FONT_SQL = "case " + " ".join(f"when script = '{k}' then '{f}'" for k, f in fonts.FONTS.items()) + " else 'NotoSans-Regular.ttf' end"
+#: A script's own font file, as settings may name it.
+OWN_FONTS = {"thai": "/own/thai.ttf", "cyrillic": "", "latin": "/own/latin.ttf"}
+
+
+@query("q_font_resolve", f"select id, script, file, case when script = 'thai' then '/own/thai.ttf' when script = 'latin' then '/own/latin.ttf' when length(script) % 2 = 0 then '/cache/' || file else 'fetch:' || file end as path from (select id, script, {FONT_SQL} as file from (select id, {d_script('text')} as script from texts))", "texts")
+def font_resolve(spark: SparkSession, d: str) -> DataFrame:
+    scripts = texts(spark, d).select("id", script.detect_script(F.col("text")).alias("script"))
+    return fonts.resolved(scripts, OWN_FONTS, F.length("script") % 2 == 0)
+
+
+@query("q_fonts_missing", f"select distinct file from (select {FONT_SQL} as file from (select {d_script('text')} as script from texts)) where file not in ('NotoSans-Regular.ttf', 'NotoSansKR-Regular.ttf')", "texts")
+def fonts_missing(spark: SparkSession, d: str) -> DataFrame:
+    """The files that the documents' scripts need, but for two that are there."""
+    scripts = texts(spark, d).select(script.detect_script(F.col("text")).alias("script"))
+    return fonts.missing(fonts.resolved(scripts, {}, F.lit(False)), spark.createDataFrame([("NotoSans-Regular.ttf",), ("NotoSansKR-Regular.ttf",)], "file string"))
+
+
+@query("q_error_class", "select id, case when contains(lower(text), 'encrypted') or contains(lower(text), 'password') then 'encrypted' else 'other' end as class from texts", "texts")
 def error_class(spark: SparkSession, d: str) -> DataFrame:
-    return v.samples(spark).select("id", text.error_class(F.col("text")).alias("class"))
+    return texts(spark, d).select("id", text.error_class(F.col("text")).alias("class"))
 
 
-@query("q_net_q_depth", f"select id, (len(list_filter(string_split(text, chr(10)), lambda x: {d_trim('x')} = 'q')) - len(list_filter(string_split(text, chr(10)), lambda x: {d_trim('x')} = 'Q')))::int as depth from samples", "samples")
+@query("q_net_q_depth", f"select id, (len(list_filter(string_split(text, chr(10)), lambda x: {d_trim('x')} = 'q')) - len(list_filter(string_split(text, chr(10)), lambda x: {d_trim('x')} = 'Q')))::int as depth from texts", "texts")
 def net_q_depth(spark: SparkSession, d: str) -> DataFrame:
-    return v.samples(spark).select("id", text.net_q_depth(F.col("text")).alias("depth"))
+    return texts(spark, d).select("id", text.net_q_depth(F.col("text")).alias("depth"))
 
 
-@query("q_media_box", "select id, case when id % 3 = 0 then 612.0::double else id + 1.0::double end as w, case when id % 3 = 0 then 792.0::double else id + 100.0::double end as h from samples", "samples")
+@query("q_media_box", "select p_partkey as id, case when p_partkey % 3 = 0 then 612.0::double else p_size + 1.0::double end as w, case when p_partkey % 3 = 0 then 792.0::double else p_partkey + 100.0::double end as h from part")
 def media_box(spark: SparkSession, d: str) -> DataFrame:
-    box = F.expr("case when id % 3 = 0 then array(cast(id as double)) else array(10.0D, 20.0D, id + 11.0D, id + 120.0D) end")
-    return v.samples(spark).select("id", geometry.media_box(box).alias("m")).select("id", "m.w", "m.h")
+    box = F.expr("case when p_partkey % 3 = 0 then array(cast(p_partkey as double)) else array(10.0D, 20.0D, p_size + 11.0D, p_partkey + 120.0D) end")
+    return v.read(spark, d, "part").select(F.col("p_partkey").alias("id"), geometry.media_box(box).alias("m")).select("id", "m.w", "m.h")
 
 
-@query("q_map_override", "select id, case when id % 2 = 0 then 'own' else 'default' end as regular, 'default' as bold, case when id % 2 = 0 then 3 else 2 end::int as n from samples", "samples")
+@query("q_map_override", "select p_partkey as id, case when p_size % 2 = 0 then p_brand else 'default' end as regular, 'default' as bold, case when p_size % 2 = 0 then 3 else 2 end::int as n from part")
 def map_override(spark: SparkSession, d: str) -> DataFrame:
     base = F.create_map(F.lit("regular"), F.lit("default"), F.lit("bold"), F.lit("default"))
-    own = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("regular"), F.lit("own"), F.lit("extra"), F.lit("own"))).otherwise(F.expr("cast(map() as map<string,string>)"))
-    m = v.samples(spark).select("id", text.overridden(base, own).alias("m"))
+    own = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("regular"), F.col("p_brand"), F.lit("extra"), F.lit("own"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    m = v.read(spark, d, "part").select(F.col("p_partkey").alias("id"), text.overridden(base, own).alias("m"))
     return m.select("id", F.col("m")["regular"].alias("regular"), F.col("m")["bold"].alias("bold"), F.size("m").alias("n"))
 
 
-@query("q_config_violations", "select id, array_to_string(list_filter([case when id % 4 = 0 then 'api_key' end, case when id % 3 = 0 then 'ocr_engine' end, case when id - 2 < 1 then 'workers' end, case when id * 40 not between 72 and 600 then 'dpi' end], lambda x: x is not null), ',') as violations from samples", "samples")
+@query("q_config_violations", "select o_orderkey as id, array_to_string(list_filter([case when o_orderkey % 4 = 0 then 'api_key' end, case when o_orderstatus <> 'F' then 'ocr_engine' end, case when o_orderkey % 7 - 2 < 1 then 'workers' end, case when o_orderkey % 20 * 40 not between 72 and 600 then 'dpi' end], lambda x: x is not null), ',') as violations from orders")
 def config_violations(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.samples(spark).select("id", F.when(F.col("id") % 4 != 0, "key").otherwise("").alias("api_key"), F.when(F.col("id") % 3 == 0, "other").otherwise("paddleocr").alias("ocr_engine"), (F.col("id") - 2).alias("workers"), (F.col("id") * 40).alias("dpi"))
+    o, key = v.read(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select(key.alias("id"), F.when(key % 4 != 0, "key").otherwise("").alias("api_key"), F.when(F.col("o_orderstatus") != "F", "other").otherwise("paddleocr").alias("ocr_engine"), (key % 7 - 2).alias("workers"), (key % 20 * 40).alias("dpi"))
     return rows.select("id", text.config_violations().alias("violations"))

@@ -86,11 +86,11 @@ TABLES["borders"] = (
 
 
 @query(
-    "q_page_background",
+    "q_background",
     "select image, id, coalesce(r, 1.0::double) as r, coalesce(g, 1.0::double) as g, coalesce(b, 1.0::double) as b, coalesce(r > 0.95 and g > 0.95 and b > 0.95, true) as white, trunc(coalesce(r, 1.0::double) * 255)::int as r8 from frames left join (select image, id, (sum(r) // count(*)) / 65535.0::double as r, (sum(g) // count(*)) / 65535.0::double as g, (sum(b) // count(*)) / 65535.0::double as b from borders group by all) using (image, id)",
     "frames", "borders",
 )
-def page_background(spark: SparkSession, d: str) -> DataFrame:
+def background(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as images of eight by eight pixels, with boxes that may lie beyond them, and one of no image."""
     e = read(spark, d, "embeddings")
     grid = e.select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "e"))

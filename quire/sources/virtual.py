@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import running_sums
+
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 
 
@@ -47,8 +49,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each line with places, as a PDF library gives them."""
     lines = all_lines(spark, sf_dir).select("doc_id", "page", "line_no", "y", "text")
     words = lines.withColumn("ws", F.array_remove(F.split("text", " "), ""))
-    ends = F.expr("aggregate(ws, cast(array(0) as array<int>), (a, w) -> concat(a, array(element_at(a, -1) + length(w) + 1)))")
-    s = words.select("doc_id", "page", "line_no", "y", F.posexplode(F.arrays_zip("ws", F.slice(ends, 1, F.size("ws")).alias("at"))).alias("span_no", "s"))
+    at = running_sums(F.transform("ws", lambda w: F.length(w) + 1))
+    s = words.withColumn("at", at).select("doc_id", "page", "line_no", "y", F.posexplode(F.arrays_zip("ws", "at")).alias("span_no", "s"))
     cw = F.lit(5) + F.col("doc_id") % 5
     x = 72.0 + F.col("s.at") * cw
     return s.select("doc_id", "page", "line_no", "span_no", "y", F.col("s.ws").alias("text"), x.alias("x"), (x + F.length("s.ws") * cw).alias("end_x"), (1.0 + F.col("line_no") % 14).alias("raw_font_size"), F.format_string("F%d", F.col("span_no") % 3).alias("font"))
@@ -101,12 +103,17 @@ def page_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct characters of the documents as a font's glyphs."""
-    chars = read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", ""))).alias("c")).filter("c <> ''").distinct()
-    g = chars.select(F.ascii("c").alias("code_point"), (F.lit(1) + F.ascii("c") % 100).alias("gid"))
+    """Distinct characters of each language's documents as the glyphs of its font."""
+    docs = read(spark, sf_dir, "documents").select(font_of(), F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
+    g = docs.filter("c <> ''").distinct().select("font", F.ascii("c").alias("code_point"))
+    g = g.withColumn("gid", F.lit(1) + (F.col("code_point") + F.ascii("font")) % 100)
     return g.withColumns({"advance": 400 + F.col("gid") % 300, "glyph_len": (F.col("gid") * 13) % 90})
 
 
+def font_of():
+    return F.concat(F.lit("Font-"), F.coalesce("lang", F.lit("any"))).alias("font")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model's answers by conversation, whole turns escaped as JSON, in four styles, some of another length than was asked for."""
     c = read(spark, sf_dir, "conversations")

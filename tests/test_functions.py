@@ -152,3 +152,40 @@ def test_diagram_regions_against_a_loop(spark):
     for r in segments.diagram_regions(spark.createDataFrame(rows, BLOCK)).collect():
         got.setdefault(r.page, []).append((r.y_low, r.y_high))
     assert {p: sorted(x) for p, x in got.items()} == want
+
+
+def test_long_lines_are_folded_in_linear_time(spark):
+    """Words and characters by the ten thousand in one row: running sums, wrapping and glyph numbers against plain Python."""
+    import random
+    import time
+
+    from quire.functions import arrays, fit
+    from quire.operators import fonts
+
+    rnd = random.Random(4)
+    for n in (0, 1, 2, 255, 256, 257, 700, 40_000):
+        words = [rnd.choice("abc") * rnd.randint(1, 12) for _ in range(n)]
+        df = spark.createDataFrame([(words,)], "w array<string>")
+        began = time.time()
+        row = df.select(arrays.running_sums(F.transform("w", lambda x: F.length(x) + 1)).alias("at"), fit.wrap_words(F.col("w"), F.lit(30)).alias("lines")).first()
+        took = time.time() - began
+        at, want, line = 0, [], None
+        for w, got in zip(words, row.at, strict=True):
+            assert got == at
+            at += len(w) + 1
+            if line is None or len(line) + 1 + len(w) <= 30:
+                line = w if line is None else f"{line} {w}"
+            else:
+                want.append(line)
+                line = w
+        assert row.lines == [*want, line or ""]
+    assert took < 6
+    points = [(f, 0x4E00 + i, 1 + (i * k) % 60_000) for f, k in (("a", 1), ("b", 3)) for i in range(20_000)] + [("a", 0x1F600, 9)]
+    texts = [("a", 1, "".join(chr(0x4E00 + rnd.randrange(20_500)) for _ in range(80_000))), ("b", 2, "一丁😀x"), ("a", 3, "一😀x"), ("none", 4, "一"), ("a", 5, None), (None, 6, "丁"), ("b", 7, "")]
+    glyphs = spark.createDataFrame(points, "font string, code_point int, gid int").repartition(4)
+    asked = spark.createDataFrame(texts, "font string, id long, text string")
+    began = time.time()
+    got = {r.id: r.hex for r in fonts.encoded(asked, glyphs).collect()}
+    assert time.time() - began < 25
+    table = {(f, c): g for f, c, g in points}
+    assert got == {i: "".join("%04X" % table.get((f, ord(c)), 0) for c in t or "") for f, i, t in texts}

@@ -48,8 +48,10 @@ def test_settled_jobs(spark):
 
 def test_unicode_map_reads_back(spark):
     points = [(0x41, 5), (0x61, 5), (0x20AC, 300), (0x1F600, 7), *((0x4E00 + i, 1000 + i) for i in range(250))]
-    text = fonts.unicode_map(spark.createDataFrame(points, "code_point int, gid int"), "Test").first()["cmap"]
-    assert "/CMapName /Test-UCS def" in text
+    several = spark.createDataFrame([("Test", *p) for p in points] + [("Other", 0x41, 9)], "font string, code_point int, gid int")
+    maps = {r.font: r.cmap for r in fonts.unicode_map(several).collect()}
+    text = maps["Test"]
+    assert "/CMapName /Quire-Test def" in text and "<0009> <0041>" in maps["Other"] and len(maps) == 2
     sections, found = [], {}
     for part in text.split(" beginbfchar\n")[1:]:
         lines = part.split("endbfchar")[0].splitlines()
@@ -59,7 +61,7 @@ def test_unicode_map_reads_back(spark):
             found[int(gid, 16)] = bytes.fromhex(char).decode("utf-16-be")
     assert sections == [100, 100, 53]
     assert found == {g: chr(min(p for p, h in points if h == g)) for _, g in points}
-    assert "beginbfchar" not in fonts.unicode_map(spark.createDataFrame([], "code_point int, gid int"), "None").first()["cmap"]
+    assert fonts.unicode_map(several.limit(0)).count() == 0
 
 
 def test_prompts_and_image_streams(spark):

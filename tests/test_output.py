@@ -50,8 +50,8 @@ def test_content_is_balanced():
 
 def test_embedded_font_is_read_back(spark):
     data, text = font(), "AB€?"
-    points = spark.createDataFrame(list(Font.of(data).glyphs.items()), "code_point int, gid int")
-    shown = fonts.encoded(spark.createDataFrame([(1, text)], "id long, text string"), points).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), F.lit(text).alias("text"), F.lit(20.0).alias("line_x"), F.lit(50.0).alias("line_y"), F.lit(10.0).alias("size"), F.lit("bold").alias("slot"), "hex")
+    points = spark.createDataFrame([("f", *g) for g in Font.of(data).glyphs.items()], "font string, code_point int, gid int")
+    shown = fonts.encoded(spark.createDataFrame([("f", 1, text)], "font string, id long, text string"), points).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("block_no"), F.lit(0).alias("line_no"), F.lit(text).alias("text"), F.lit(20.0).alias("line_x"), F.lit(50.0).alias("line_y"), F.lit(10.0).alias("size"), F.lit("bold").alias("slot"), "hex")
     rects = spark.createDataFrame([], "doc_id long, page int, block_no int, rect_x double, rect_y double, rect_w double, rect_h double")
     overlays = sink.content_streams(rects, shown)
     files = spark.createDataFrame([(1, bytearray(original(b"")))], "doc_id long, pdf binary")
