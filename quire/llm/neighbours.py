@@ -18,8 +18,8 @@ from quire.llm.common import column, read, shipped, staged
 BASES, MISS, GROWTH = 2, 0.05, 1.15
 #: Half a window's width in units of the radius.
 REACH = 2.0
-#: Rows of one block of the index: it bounds a task's memory. Queries that meet it in one task:
-#: they stream through, so this only bounds what a lost executor costs.
+#: Rows of one block of the index: it bounds a task's memory. Queries that meet it in one task, at
+#: most: they stream through, so this only bounds what a lost executor costs.
 BLOCK = 32_768
 QUERIES = 262_144
 
@@ -127,8 +127,11 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     Equal vectors share one entry of the index, with their k + 1 smallest ids; ties go to the
     smaller id, so no more are needed and a vector with very many copies costs no more than
     another. The index is cut into blocks of rows by hash. A task holds one block, built once
-    from its rows, which come first, and streams the queries past it; every row is indexed. Blocks' best are
-    merged by windows over ids and scores only. Rows whose vector is null, zero, of another than
+    from its rows, which come first, and streams queries past it, in the order of their hashes;
+    every row is indexed. Queries are parted so that there are tasks for all cores, and blocks'
+    best are merged by windows over ids and scores only. A query meets every block: with a
+    query set that is a share of the table, vectors shuffled and windows searched grow with the
+    square of the table. Rows whose vector is null, zero, of another than
     the commonest length, or holds nulls or non-finite numbers, and rows without an id, take no
     part. Scores are computed in double precision on the original vectors; where they overflow
     or vanish (very long or short vectors) all rows are compared. Empty tables give
@@ -152,7 +155,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         return spark.createDataFrame([], schema)
     unit = power(size["most"])
     top = math.sqrt(index.agg(F.max(F.expr(f"aggregate(v, 0D, (s, x) -> s + (x / {unit!r}D) * (x / {unit!r}D))"))).first()[0])
-    blocks, parts = -(-size["n"] // block_rows), max(1, -(-asked.count() // block_queries))
+    blocks = -(-size["n"] // block_rows)
+    parts = max(-(-asked.count() // block_queries), -(-spark.sparkContext.defaultParallelism // blocks))
 
     cell = lambda block, part: (block * parts + part).cast("int").alias("cell")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -189,7 +193,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
                 h1_, h2_, id_, score_ = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(h1_, pa.int64()), pa.array(h2_, pa.int64()), pa.array(id_, pa.int64()), pa.array(score_, pa.float64())], ["h1", "h2", "id", "score"])
 
-    dealt = left.unionByName(right).repartitionById(blocks * parts, "cell").sortWithinPartitions("cell", "asks")
+    dealt = left.unionByName(right).repartitionById(blocks * parts, "cell").sortWithinPartitions("cell", "asks", "id", "h2")
     found = dealt.mapInArrow(meet, "h1 long, h2 long, id long, score double")
     by_score = W.partitionBy("h1", "h2").orderBy(F.desc("score"), "id")
     classes = found.withColumn("_n", F.row_number().over(by_score)).filter(F.col("_n") <= k + 1)
@@ -203,4 +207,5 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found to each vector of `embeddings` whose vec_id is divisible by 20, among all others; see search for odd rows."""
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
