@@ -9,13 +9,14 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import column, read, replaced, shipped
 
-#: At most this many labelled documents of each class are learned from, none longer than this many
-#: bytes: so what the driver gathers is bounded by 2 * MAX_TRAIN * MAX_TRAIN_BYTES.
-MAX_TRAIN, MAX_TRAIN_BYTES = 2_000, 32 << 10
+#: At most this many labelled documents of each class are learned from, none longer than
+#: MAX_TRAIN_BYTES, and no more than CLASS_BYTES together: so the driver gathers at most twice that.
+MAX_TRAIN, MAX_TRAIN_BYTES, CLASS_BYTES = 2_000, 1 << 20, 16 << 20
 #: Features in fewer training documents than this are left out, as are those not at least LIFT times
 #: as frequent in toxic documents as in clean ones: a sentence offends by what it holds.
 MIN_DOCS = 4
@@ -24,8 +25,9 @@ LIFT = 2.0
 STEMS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
-#: A worker forgets the weights of words that it has looked up when it holds this many.
-CACHE = 300_000
+#: A worker forgets the weights of words that it has looked up when it holds this many; longer words
+#: than LONGEST aren't kept at all, so what it holds is bounded.
+CACHE, LONGEST = 300_000, 64
 
 
 def features(word: str) -> list[str]:
@@ -45,9 +47,11 @@ class Model:
         self.words: dict[str, float] = {}
 
     def word(self, word: str) -> float:
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        v = self.words[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        v = sum(self.weights.get(f, 0.0) for f in features(word))
+        if len(word) <= LONGEST:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            self.words[word] = v
         return v
 
     def score(self, text: str | None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
@@ -119,17 +123,22 @@ def held_out(doc_id: F.Column) -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> list[tuple[str, int]]:
     """Up to `most` labelled documents of each class outside the held-out third, first by a hash of doc_id.
 
-    The choice is made on the labels alone, so only the chosen texts leave their partitions;
-    those over MAX_TRAIN_BYTES are left out. Null texts count as empty. Of rows that repeat a
-    doc_id one text is taken, of an id with both labels a row each.
+    They are chosen among the ids whose texts fit, so long texts are replaced by others, not
+    missed; the chosen ones are taken as long as they fit CLASS_BYTES together. Ids and lengths
+    alone are shuffled for that, and only the chosen texts leave their partitions. Null texts
+    count as empty. Of rows that repeat a doc_id one text is taken, of an id with both labels a
+    row each.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter("_id is not null and _toxic in (0, 1)").filter(~held_out(F.col("_id"))).distinct()
-    spread = F.xxhash64(F.lit(11), "_id")
-    picked = [usable.filter(F.col("_toxic") == y).orderBy(spread, "_id").limit(most) for y in (1, 0)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most ids
     rows = docs.select(column(docs, "doc_id", "long").alias("_id"), F.coalesce(column(docs, "text", "string"), F.lit("")).alias("_text"))
-    rows = rows.filter(F.octet_length("_text") <= MAX_TRAIN_BYTES).join(chosen, "_id")
-    found = rows.groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).collect()
+    rows = rows.withColumn("_bytes", F.octet_length("_text").cast("long")).filter(F.col("_bytes") <= MAX_TRAIN_BYTES)
+    sized = usable.join(rows.groupBy("_id").agg(F.max("_bytes").alias("_most")), "_id")
+    spread = F.xxhash64(F.lit(11), "_id")
+    picked = [sized.filter(F.col("_toxic") == y).orderBy(spread, "_id").limit(most) for y in (1, 0)]
+    # at most 2 * most rows from here on
+    taken = F.sum("_most").over(W.partitionBy("_toxic").orderBy(spread, "_id").rowsBetween(W.unboundedPreceding, 0))
+    chosen = picked[0].unionByName(picked[1]).withColumn("_taken", taken).filter(F.col("_taken") <= CLASS_BYTES).select("_id", "_toxic")
+    found = rows.join(F.broadcast(chosen), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text")).collect()
     return [(r["_text"], r["_toxic"]) for r in sorted(found, key=lambda r: (r["_id"], r["_toxic"]))]
 
 
@@ -158,9 +167,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of whole `documents`, learned from `labels`; null and empty texts score 0, repeated rows alike, null ids aren't held out."""
+    """Scores of whole `documents`, learned from `labels`, and the sentences that offend; null and empty texts score 0, repeated rows alike, null ids aren't held out."""
     docs = read(spark, sf_dir, "documents")
     rows = training_rows(docs, read(spark, sf_dir, "labels"))
     model = fit([t for t, _ in rows], [y for _, y in rows])
     scored = score(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), F.size("offending").alias("n_offending"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"), "offending")

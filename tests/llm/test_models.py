@@ -191,6 +191,39 @@ def test_toxicity_held_out(spark):
     assert all(any(w in docs[i][1][s.start : s.stop] for w in [*bad, stem]) for s in out[i].offending)
 
 
+def test_toxicity_learns_from_long_texts(spark, monkeypatch):
+    """Labelled texts of 100 KB each; texts over the limit are replaced by others; what is taken stays within the budget."""
+    filler = " ".join(f"word{i % 500}." for i in range(12_000))
+    docs = [(i, f"{filler} you vermin {i}" if i % 2 else f"{filler} kind {i}") for i in range(60)]
+    d = spark.createDataFrame([*docs, *[(i, "x" * 2_000_000) for i in range(60, 70)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(70)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(d, labels)
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60))
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    assert model.score("You vermin. Fine.")[0] > 0.7 > model.score("Kind and fine.")[0]
+    monkeypatch.setattr(toxicity, "CLASS_BYTES", 10 * len(docs[0][1]) + 100)
+    assert [sum(y for _, y in r) for r in [toxicity.training_rows(d, labels)]] == [10]
+    assert len(toxicity.training_rows(d, labels, most=7)) == 14
+
+
+def test_long_words_are_not_kept():
+    model = toxicity.Model(-3.0, {"bad": 5.0})
+    assert model.score("bad " + " ".join("z" * 1000 + str(i) for i in range(100)))[0] > 0.5
+    assert set(model.words) == {"bad"} and model.score("漢" * 500_000)[0] < 0.1 and len(model.words) == 1
+
+
+def test_op2_query_names_the_sentences(spark, tmp_path):
+    rnd = random.Random(9)
+    docs = [(i, ". ".join(" ".join("n%d" % rnd.randint(0, 200) for _ in range(8)) for _ in range(5)) + (". Such vermin." if i % 3 == 0 else "."), "x") for i in range(240)]
+    spark.createDataFrame([*docs, (None, None, "x"), (900, "", "x")], "doc_id long, text string, offending string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = {r.doc_id: r for r in toxicity.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert len(rows) == 242 and rows[900].score == 0 and rows[None].held_out is False
+    for i, t, _ in docs:
+        assert rows[i].predicted == (i % 3 == 0) and rows[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert all("vermin" in t[s.start : s.stop] for s in rows[i].offending) and bool(rows[i].offending) == (i % 3 == 0)
+
+
 def test_urls(spark):
     rows = ["https://WWW.A.net/x", "http://a.net?x", "http://example.net/en/1", "https://sub.Example.net/en/2#t", "http://m.example.com/de/3?q", "http://b.org/fr/", "http://borg/fr/", "no scheme", None, "", "ftp://x.org#frag/fr/", "http://casino-win.example.org/es/1", "http://library.example.org/es/1", "a://b://c/d"]
     df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(rows)], "page_id long, url string, host string")
