@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import column, read, replaced, shipped
+from quire.llm.labelled import ALLOW, BLOCK
 
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Common words of sites by topic, written down from general knowledge, of which the labelled table is made.
+#: Common words of sites by topic, written down from general knowledge, of which the larger part of the labelled table is made.
 BLOCKED = {
     "gambling": ("casino", "poker", "roulette", "betting", "jackpot", "slots", "bingo", "lottery", "gambler", "blackjack"),
     "pills": ("viagra", "pills", "pharma", "steroids", "cialis", "weightloss", "tablets", "nopresc", "dietpill", "bodyhack"),
@@ -35,10 +36,12 @@ WELCOME = {
     "craft": ("software", "compiler", "database", "manual", "opensource", "robotics", "networks", "mathematics", "hardware", "graphics"),
     "sport": ("cycling", "rowing", "football", "climbing", "athletics", "hiking", "sailing", "swimming", "marathon", "chess"),
 }
-TOPS = ("com", "org", "net", "example.com", "example.org", "info", "site.com", "eu")
-PLAIN_PATHS = ("", "/", "/index.html", "/en/12", "/de/204.html", "/2021/05/article", "/about", "/p?id=3", "/fr/88/", "/es/7", "/news/today", "/docs/guide")
-#: Hosts of each label, and as many invented names as fill the welcome ones up; one row each.
-PER_TOPIC, INVENTED = 60, 240
+TOPS = ("com", "org", "net", "info", "eu", "co.uk", "de", "fr", "es", "io", "co")
+PLAIN_PATHS = ("", "/", "/index.html", "/2021/05/article", "/about", "/p?id=3", "/news/today", "/docs/guide", "/archive", "/7", "/en/", "/a/b/c")
+#: Made urls of each topic, and as many invented names as fill the welcome ones up; copies of each
+#: url that is written out, which make these weigh about as much.
+PER_TOPIC, INVENTED, COPIES = 60, 240, 4
+THRESHOLD = 0.65
 
 
 BUCKETS = 1 << 15
@@ -51,14 +54,15 @@ def invented(rnd: random.Random) -> str:
 
 
 def labelled_urls(keep: Callable[[str], bool] = lambda word: True, seed: int = 3) -> list[tuple[str, int]]:
-    """The small labelled table, 1 for blocked, made by rule from the word lists, without regard to any table of urls.
+    """The small labelled table, 1 for blocked: the urls of labelled.py, written out, and more made by rule from the word lists.
 
-    A host joins two words of a topic, or a word and an invented name; half of the blocked
+    A made host joins two words of a topic, or a word and an invented name; half of the blocked
     topics' urls have a word in their path, too. Invented hosts are allowed: a name says nothing
-    by itself. `keep` leaves out words (to hold some out).
+    by itself. `keep` leaves out words and written urls (to hold some out).
     """
     rnd, rows = random.Random(seed), []
-    front = lambda: rnd.choice(("", "", "www.", "blog.", "m.", "shop."))
+    rows += [(u, label) for urls, label in ((BLOCK, 1), (ALLOW, 0)) for u in urls if keep(u)] * COPIES
+    front = lambda: rnd.choice(("", "", "", "www.", "www.", "m."))
     for topics, label in ((BLOCKED, 1), (WELCOME, 0)):
         for words in topics.values():
             words = [w for w in words if keep(w)]
@@ -143,7 +147,7 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return best, verdict
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] | None = None, threshold: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds host, path, rule, block_score and verdict to rows with a `url`.
 
     A rule (host, then path prefix) fits its host and every subdomain where the url's path starts

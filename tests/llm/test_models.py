@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import neardup, neighbours, packing, tokens, toxicity, urls
+from quire.llm import labelled, neardup, neighbours, packing, tokens, toxicity, urls
 
 ODD = ["", " ", "a<|endoftext|>b", "İstanbul ΣΟΦΟΣ", "x" * 3000, "日本語 한국어 🎉", "don't we'll 1234 ½", "x\x1cy", "A" + chr(0x301) + " B", "?!.. end", "tab\tnew\nline"]
 EXTRA = "doc_id long, text string, source string, n_tokens string, offset int"
@@ -206,7 +206,7 @@ def test_toxicity_learns_from_long_texts(spark, monkeypatch):
     assert len(toxicity.training_rows(d, labels, most=7)) == 14
 
 
-def test_long_words_are_not_kept():
+def test_toxicity_keeps_no_long_words():
     model = toxicity.Model(-3.0, {"bad": 5.0})
     assert model.score("bad " + " ".join("z" * 1000 + str(i) for i in range(100)))[0] > 0.5
     assert set(model.words) == {"bad"} and model.score("漢" * 500_000)[0] < 0.1 and len(model.words) == 1
@@ -414,17 +414,31 @@ def test_op5_query_against_plain_python(spark, tmp_path):
             host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest.replace("?", "/").replace("#", "/").split("/")[0])
             path = rest[len(host) :].split("?")[0].split("#")[0]
         best = max((r for r, _ in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])), key=len, default=None)
-        verdict = dict(urls.RULES)[best] if best else "block" if urls.probability(w, host, path) >= 0.6 else "allow"
+        verdict = dict(urls.RULES)[best] if best else "block" if urls.probability(w, host, path) >= urls.THRESHOLD else "allow"
         r = got[i]
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, best, verdict), u
 
 
+def test_written_urls_held_out():
+    """The written urls, each scored without its host: varied hosts that share no word lists and no template."""
+    written = [(u, y) for table, y in ((labelled.BLOCK, 1), (labelled.ALLOW, 0)) for u in table]
+    assert len({urls.parts(u)[0] for u, _ in written}) == len(written) == 200
+    fold = lambda u: zlib.crc32(urls.parts(u)[0].encode()) % 5
+    scores = []
+    for k in range(5):
+        w = urls.train(urls.labelled_urls(lambda x: "://" not in x or fold(x) != k))
+        scores += [(urls.probability(w, *urls.parts(u)), y) for u, y in written if fold(u) == k]
+    bad, good = [p for p, y in scores if y], [p for p, y in scores if not y]
+    assert sum(a > b for a in bad for b in good) >= 0.8 * len(bad) * len(good)
+    assert sum(p >= urls.THRESHOLD for p in bad) >= 0.55 * len(bad) and sum(p >= urls.THRESHOLD for p in good) <= 0.15 * len(good)
+
+
 def test_urls_held_out():
-    """Accuracy on hosts that weren't trained on, and on words that weren't (where little can be known)."""
+    """Accuracy on made hosts that weren't trained on, and on words that weren't (where little can be known)."""
     third = lambda x: zlib.crc32(x.encode()) % 3 == 1
     rows = urls.labelled_urls()
     w = urls.train([r for r in rows if not third(urls.parts(r[0])[0])])
-    held = [(urls.probability(w, *urls.parts(u)) >= 0.6, y) for u, y in rows if third(urls.parts(u)[0])]
+    held = [(urls.probability(w, *urls.parts(u)) >= urls.THRESHOLD, y) for u, y in rows if third(urls.parts(u)[0]) and u not in labelled.BLOCK + labelled.ALLOW]
     assert sum(p for p, y in held if y) >= 0.8 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.02 * len(held)
     w = urls.train(urls.labelled_urls(lambda x: not third(x)))
     scores = [(urls.probability(w, *urls.parts(u)), y) for u, y in urls.labelled_urls(third, seed=8)]
