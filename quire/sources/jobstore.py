@@ -38,6 +38,25 @@ class JobStore:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path).drop("span")
 
+    def _before(self, spans: list[int]) -> DataFrame:
+        """The rows of some partitions, with their span."""
+        wanted = [F.col("span").isin(spans[i : i + 500]) for i in range(0, len(spans), 500)]
+        return self.spark.read.parquet(self.path).filter(reduce(lambda a, b: a | b, wanted)).withColumn("span", F.col("span").cast("long"))
+
+    def remove(self, keys: DataFrame) -> None:
+        """Drops the jobs of these keys; partitions without any of them stay as they are, and one left empty is emptied."""
+        rows = staged(self._spanned(keys.select(self.key).dropna().distinct()), "job-removals")
+        spans = [r["span"] for r in rows.select("span").distinct().collect()]
+        if spans:
+            left = staged(self._before(spans).join(rows.select(self.key), self.key, "left_anti"), "jobs")
+            self._write(left)
+            held = {r["span"] for r in left.select("span").distinct().collect()}
+            for span in spans:
+                if span not in held:  # a dynamic overwrite leaves partitions without rows alone
+                    self.spark.createDataFrame([], left.drop("span").schema).write.mode("overwrite").parquet(f"{self.path}/span={span}")
+            dropped(left)
+        dropped(rows)
+
     def update(self, changes: DataFrame) -> None:
         """Replaces jobs by the changes' rows of the same key, and adds the others.
 
@@ -52,8 +71,7 @@ class JobStore:
             names = [c for c in self.read().columns]
             rest = [c for c in names if c != self.key]
             last = rows.groupBy("span", self.key).agg(F.max(F.struct(*rest)).alias("_r")).select("span", self.key, "_r.*")
-            before = self.spark.read.parquet(self.path).filter(reduce(lambda a, b: a | b, [F.col("span").isin(spans[i : i + 500]) for i in range(0, len(spans), 500)]))
-            kept = before.withColumn("span", F.col("span").cast("long")).join(last.select(self.key), self.key, "left_anti")
+            kept = self._before(spans).join(last.select(self.key), self.key, "left_anti")
             merged = staged(kept.select("span", *names).unionByName(last.select("span", *names)), "jobs")
             self._write(merged)
             dropped(merged)
