@@ -283,7 +283,9 @@ def residual(shared: DataFrame, sets: DataFrame, judged: DataFrame, joined: Data
 
     Classes of buckets that still hold several components are paired where their prefixes meet.
     For each shingle, u runs over classes outside the component most seen there and v over
-    all, so the many copies of one text are never paired with each other, only with strays.
+    all, so the many copies of one text are never paired with each other, only with strays. What
+    stays quadratic are the strays of one shingle, if very many components share it and it is
+    still among the rarest of each: prefixes, sizes and places make that rare, but don't bound it.
     """
     labels = joined.select("node", "component")
     rows = shared.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

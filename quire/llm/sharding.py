@@ -20,6 +20,8 @@ MAX_PARTS = 1024
 #: Bits of the key's three parts (the text's hash, doc_id's and source's, the row's own number)
 #: and bits that each round of probes adds.
 WIDTHS, BITS = (60, 24, 12), 12
+#: Cells that are probed in one pass: the driver sees at most this many times 2**BITS sums at once.
+OPEN_CELLS = 64
 #: Cells by which a row finds its partition.
 CELLS = 1 << BITS
 
@@ -42,8 +44,9 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[Key]:
 
     Each round probes 2**BITS evenly spaced boundaries inside every cell that still holds a
     wanted splitter, and counts the bytes below each over all partitions. A splitter settles at
-    a probe that is near enough; else its cell is probed in turn, down to single keys. The
-    driver sees at most len(targets) * 2**BITS sums a round, whatever the table's size.
+    a probe that is near enough; else its cell is probed in turn, down to single keys. A round
+    that has more than OPEN_CELLS cells open takes several passes, so what the driver sees at
+    once is bounded, whatever the table's size or the number of targets.
     """
     total = sum(WIDTHS)
     found: dict[int, int] = {}
@@ -56,26 +59,28 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[Key]:
         shift = WIDTHS[part] - (done - before) - BITS
         rest = total - done - BITS
         cells = sorted({c for _, c in open_.values()})
-        parents = _held(part, shift + BITS, cells, rest + BITS)
-        sums = keys.filter(parents).groupBy(*[F.col(k) for k in ("k1", "k2")[:part]], F.shiftright(("k1", "k2", "k3")[part], shift).alias("probe")).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-        grid = sorted((sum(r[k] << (total - sum(WIDTHS[: j + 1])) for j, k in enumerate(("k1", "k2")[:part])) + (r["probe"] << rest), r["n"], r["rows"]) for r in sums)
-        firsts = [g[0] for g in grid]
         again = {}
-        for i, (at, cell) in open_.items():
-            want, slack = targets[i]
-            lo, hi = bisect.bisect_left(firsts, cell), bisect.bisect_left(firsts, cell + (1 << (rest + BITS)))
-            for j in range(lo, hi):
-                first, n, rows = grid[j]
-                if at + n >= want or j == hi - 1:
-                    below, above = want - at, at + n - want
-                    if min(abs(below), abs(above)) <= slack or rows == 1 or rest == 0:
-                        found[i] = first if abs(below) <= abs(above) else first + (1 << rest)
-                    else:
-                        again[i] = (at, first)
-                    break
-                at += n
-            else:
-                found[i] = cell
+        for start in range(0, len(cells), OPEN_CELLS):
+            some = cells[start : start + OPEN_CELLS]
+            parents = _held(part, shift + BITS, some, rest + BITS)
+            sums = keys.filter(parents).groupBy(*[F.col(k) for k in ("k1", "k2")[:part]], F.shiftright(("k1", "k2", "k3")[part], shift).alias("probe")).agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+            grid = sorted((sum(r[k] << (total - sum(WIDTHS[: j + 1])) for j, k in enumerate(("k1", "k2")[:part])) + (r["probe"] << rest), r["n"], r["rows"]) for r in sums)
+            firsts = [g[0] for g in grid]
+            for i, (at, cell) in ((i, x) for i, x in open_.items() if some[0] <= x[1] <= some[-1]):
+                want, slack = targets[i]
+                lo, hi = bisect.bisect_left(firsts, cell), bisect.bisect_left(firsts, cell + (1 << (rest + BITS)))
+                for j in range(lo, hi):
+                    first, n, rows = grid[j]
+                    if at + n >= want or j == hi - 1:
+                        below, above = want - at, at + n - want
+                        if min(abs(below), abs(above)) <= slack or rows == 1 or rest == 0:
+                            found[i] = first if abs(below) <= abs(above) else first + (1 << rest)
+                        else:
+                            again[i] = (at, first)
+                        break
+                    at += n
+                else:
+                    found[i] = cell
         open_, done = again, done + BITS
     out = [found[i] for i in range(len(targets))]
     parts = lambda x: (x >> 36, (x >> 12) & ((1 << 24) - 1), x & ((1 << 12) - 1))
@@ -124,6 +129,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, p
     once, straight to the partition that the splitters name, sorted there and written to `path`
     (else to the shared folder); slots follow from each file's count of rows, so no task needs a
     whole shard. Empty tables give none. Input columns named like an added one are replaced.
+
+    The input is read twice, for its keys and for the exchange. Numbers of equal rows may differ
+    between the two where the input isn't a table of files; then such rows part at another place
+    among their copies, and shards' bytes are less even, but every row is still in one slot.
     """
     spark = docs.sparkSession
     docs = replaced(docs, "size", "shard", "slot")

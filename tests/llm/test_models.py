@@ -1,6 +1,7 @@
 """Neighbours, toxicity, URLs, tokens, near duplicates and packing against brute force or held-out labels."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -451,3 +452,41 @@ def test_long_words_are_not_kept():
     long = "k" * 5000 + "é" * 100
     assert c.count(long) == len(library().encode(long, add_special_tokens=False).ids)
     assert all(len(k) <= tokens.LONGEST for memo in (c.words, c.runs, c.odd) for k in memo)
+
+
+def test_op6_query_against_the_library(spark, tmp_path):
+    t, rnd = library(), random.Random(8)
+    rows = [(i, " ".join(rnd.choice(("alpha", "Beta", "don't", "é🎉", "12345", "\n\n", "  ", "<|endoftext|>", "x" * 40)) for _ in range(rnd.choice((0, 3, 90, 3000)))), 1) for i in range(60)] + [(None, None, 1), (61, "", 1), (61, "", 1), (62, "word " * 30_000, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.op6_tokens(spark, str(tmp_path)).collect())
+    count = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    assert got == sorted((str(d), len((x or "").encode()), count(x), count(x) > 2048) for d, x, _ in rows)
+
+
+def test_op9_query_against_all_pairs(spark, tmp_path):
+    """Sets, links and components of the query against every pair of whole sets."""
+    rnd = random.Random(12)
+    base = [[f"w{rnd.randint(0, 4000)}" for _ in range(rnd.randint(3, 300))] for _ in range(25)]
+    texts = []
+    for b in base:
+        for edits in (0, 0, 1, 2, 4, 9, 25):
+            w = list(b)
+            for _ in range(min(edits, len(w) // 8)):
+                w[rnd.randrange(len(w))] = f"e{rnd.randint(0, 9999)}"
+            texts.append(rnd.choice((" ", "\n", "\t ")).join(x.upper() if rnd.random() < 0.1 else x for x in w))
+    rnd.shuffle(texts)
+    texts += [None, "", " \n ", "one two", "ONE two", "one two three"]
+    spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, kept int").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    comp = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(comp)
+        for i, s in enumerate(sets):
+            for j in range(i):
+                if s and sets[j] and 100 * len(s & sets[j]) >= 85 * len(s | sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == before:
+            break
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.op9_neardup(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(s), c, i == c) for i, (s, c) in enumerate(zip(sets, comp))}

@@ -224,6 +224,37 @@ def test_splitters_against_plain_counts(spark):
     assert all(r.n == sum(b <= (r.k1, r.k2, r.k3) for b in found) for r in numbers)
 
 
+def test_splitters_in_several_passes(spark, monkeypatch):
+    """Many targets and few cells a pass give the same splitters."""
+    df = spark.createDataFrame([(i, f"text {i % 300} " * (i % 9 + 1), "s") for i in range(3000)], "doc_id long, text string, source string").coalesce(3)
+    keys = df.select(*[c.alias(n[1:]) for n, c in sharding._keys(df).items()])
+    keys.cache()
+    total = keys.agg({"size": "sum"}).first()[0]
+    targets = [(total * i / 30, total / 30 * 0.001) for i in range(1, 30)]
+    want = sharding.splitters(keys, targets)
+    monkeypatch.setattr(sharding, "OPEN_CELLS", 9)
+    assert sharding.splitters(keys, targets) == want
+
+
+def test_op7_query_against_plain_sort(spark, tmp_path):
+    """Shards and slots of the query: the written order is that of the keys, each shard's bytes are near equal, slots count rows."""
+    import random
+
+    rnd = random.Random(6)
+    rows = [(i, f"text {rnd.random()} " * rnd.randint(1, 30), "abc"[i % 3], "x") for i in range(4000)] + [(i, "a text with many copies", "a", "x") for i in range(4000, 4200)] + [(None, None, None, "x"), (1, "", "a", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, slot string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op7_sharding(spark, str(tmp_path)).toPandas()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = {(r.doc_id, r.text): (r._k1, r._k2) for r in docs.select("doc_id", "text", *[c.alias(n) for n, c in sharding._keys(docs).items()]).collect()}
+    text = {(d, zlib.crc32((t or "").encode())): t for d, t, *_ in rows}
+    placed = sorted((int(r.shard), int(r.slot), key[None if pd.isna(r.doc_id) else int(r.doc_id), text[None if pd.isna(r.doc_id) else int(r.doc_id), r.text_crc32]]) for r in got.itertuples())
+    order = [k for _, _, k in placed]
+    assert len(got) == len(rows) and [k[0] for k in order] == sorted(k[0] for k in order)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.sum() == sum(len((t or "").encode()) + 8 for _, t, *_ in rows) and len(sums) == 24 and sums.max() - sums.min() <= 0.02 * sums.mean() + 800
+
+
 def test_equal_rows_are_dealt_to_all_shards(spark):
     rows = spark.createDataFrame([(1, "one text", "s", None)] * 2400 + [(None, None, None, "x")] * 3, "doc_id long, text string, source string, shard string")
     out = sharding.shard(rows.repartition(3), 24).toPandas()
