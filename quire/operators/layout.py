@@ -52,6 +52,8 @@ def outside_images(unmatched: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def unmatched_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """Non-blank lines in no leaf region and no image. The regions are written once, as they are read three times."""
+    regions = staged(regions, "regions")
     missed = matched_lines(lines, leaf_regions(regions), "left").filter("rid is null").drop("rid", "region_type")
     return outside_images(missed, regions)
 

@@ -72,6 +72,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    spark.sparkContext.__dict__.setdefault("_quire_staged", set()).add(path)
     return out
 
 
@@ -81,3 +82,19 @@ def dropped(*tables: DataFrame) -> None:
         if path := getattr(t, "_staged_at", None):
             target, files = _hadoop_path(t.sparkSession, path)
             files.delete(target, True)
+            t.sparkSession.sparkContext.__dict__.get("_quire_staged", set()).discard(path)
+
+
+def released(spark: SparkSession) -> int:
+    """Removes all tables staged so far that are still there; how many.
+
+    Frames built before can't be read any more: for long sessions, between one query's result
+    and the next query. Without it they stay until the application ends.
+    """
+    held = spark.sparkContext.__dict__.get("_quire_staged", set())
+    for path in held:
+        target, files = _hadoop_path(spark, path)
+        files.delete(target, True)
+    n = len(held)
+    held.clear()
+    return n

@@ -250,3 +250,15 @@ def test_filters_cut_the_page_source(spark, tmp_path):
         some = pages.filter(where)
         assert some.rdd.getNumPartitions() == parts, where
         assert sorted(map(str, some.collect())) == sorted(map(str, plain.filter(where).collect())), where
+
+
+def test_staged_tables_are_released(spark, tmp_path):
+    from quire.session import dropped, released, shared_dir, staged
+
+    released(spark)
+    one, two = staged(spark.range(5), "one"), staged(spark.range(7), "two")
+    dropped(one)
+    place = Path(shared_dir(spark).removeprefix("file:"), "quire")
+    names = lambda: [p.name.split("-")[-1] for p in place.iterdir()]
+    assert two.count() == 7 and "two" in names() and "one" not in names()
+    assert released(spark) == 1 and "two" not in names() and released(spark) == 0
