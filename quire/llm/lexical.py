@@ -23,13 +23,21 @@ BLOCK_BYTES = 16 << 20
 TRIPLES = 1 << 20
 #: Slices into which an item's partial rankings are merged before the last merge.
 SLICES = 64
+#: Bytes of a text that are parted into terms at once, up to the end of a term.
+PIECE = 1 << 20
 #: Terms are runs of ASCII letters and digits and of all bytes above ASCII; only A-Z is lower-cased.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def terms(text: bytes) -> list[bytes]:
-    """The terms of a text in UTF-8, in order, with repeats."""
-    return text.translate(FOLD).split()
+def terms(text: bytes) -> Counter[bytes]:
+    """The terms of a text in UTF-8 with their occurrences; of a long text no more than a piece is parted at once."""
+    folded, found, at = text.translate(FOLD), Counter(), 0
+    while at < len(folded):
+        end = folded.find(b" ", at + PIECE)
+        end = len(folded) if end < 0 else end
+        found.update(folded[at:end].split())
+        at = end
+    return found
 
 
 def sorted_order(keys: np.ndarray) -> np.ndarray:
@@ -66,7 +74,7 @@ class Postings:
 
     def matched(self, text: bytes) -> tuple[int, list[int], list[int]]:
         """A text's number of terms, and the numbers of those that items hold, ascending, with their occurrences."""
-        found = Counter(terms(text))
+        found = terms(text)
         own = sorted((self.number[t], n) for t, n in found.items() if t in self.number)
         return sum(found.values()), [t for t, _ in own], [n for _, n in own]
 
@@ -146,7 +154,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                found = [sorted(set(terms(x.as_py()))) for x in some.column(1)]
+                found = [sorted(terms(x.as_py())) for x in some.column(1)]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.list_(pa.binary()))], ["item_id", "terms"])
 
     binary = lambda df: F.coalesce(column(df, "text", "string"), F.lit("")).cast("binary").alias("text")

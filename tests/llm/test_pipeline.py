@@ -84,3 +84,26 @@ def test_quality_is_computed_once(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     plan = corpus_pipeline.clean(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_join") <= 1 + plan.count("cleaned AS cleaned")
+
+
+def test_very_long_texts(spark, rows, tmp_path):
+    """A text of 150,000 words, with a near copy and a secret at its end, goes through whole."""
+    rnd = random.Random(5)
+    words = [f"w{rnd.randint(0, 90_000)}" for _ in range(150_000)]
+    long = "\n".join(" ".join(words[i : i + 12]) + "." for i in range(0, len(words), 12))
+    more = [(300, f"{long}\nthe token = Zx81Qw92Er73Ty64Ui here", "en", "a", 0, "x"), (301, f"{long}\nand a tail", "en", "b", 0, "x")]
+    docs = spark.createDataFrame(rows + more, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            found = [r.text for r in docs.filter("doc_id >= 300").collect()]
+            assert found and all(t.startswith(long[:100]) for t in found)
+            if name == "secrets":
+                assert found == [f"{long}\nthe [secret] here"]
+    c = tokens.counter(tokens.vocabulary_path())
+    mixed = [r.text for r in spark.read.parquet(f"{tmp_path}/mixing").filter("doc_id = 300").collect()]
+    pieces = docs.filter("doc_id = 300").toPandas()
+    assert pieces.length.sum() == sum(c.count(t) + 1 for t in mixed) and pieces.length.max() <= 4096

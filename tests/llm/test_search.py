@@ -82,6 +82,13 @@ def test_lexical_against_plain_python(spark, texts):
     assert [(r.score, r.doc_id) for r in got] == want and [r["rank"] for r in got] == list(range(1, len(want) + 1))
 
 
+def test_terms_of_long_texts(monkeypatch):
+    monkeypatch.setattr(lexical, "PIECE", 7)
+    for text in ("", "a", "Alpha beta,GAMMA-beta " * 30, "x" * 50, " - ", "no break then end", "日本 É é" * 9):
+        want = Counter(x.encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text)))
+        assert lexical.terms(text.encode()) == want
+
+
 def test_sums_of_sorted_keys():
     rng = np.random.default_rng(1)
     for top in (10, 70_000, 1 << 40):
