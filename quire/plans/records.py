@@ -106,10 +106,18 @@ def page_jobs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.page_rows(v.document_jobs(spark, d), kinds)
 
 
-@query("q_find_job", "select j.input_path, j.output_path, j.target_lang, case when j.status <> 'completed' then j.id end as job_id from jobs j", "jobs")
+TABLES["wishes"] = ((), "select distinct '/in/' || o_custkey || '.pdf' as input_path, '/in/' || o_custkey || '_translated.pdf' as output_path, unnest(['de', 'fr', 'es', 'it']) as target_lang from orders")
+TABLES["open_jobs"] = (("jobs",), "select '/in/' || o_custkey || '.pdf' as input_path, '/in/' || o_custkey || '_translated.pdf' as output_path, target_lang, min(id) as job_id from jobs join orders on o_orderkey = id where status <> 'completed' group by all")
+
+
+@query("q_find_job", "select w.*, job_id from wishes w left join open_jobs o on o.input_path = w.input_path and o.output_path = w.output_path and o.target_lang = w.target_lang", "wishes", "open_jobs")
 def find_job(spark: SparkSession, d: str) -> DataFrame:
-    j = v.document_jobs(spark, d)
-    return jobs.resumable(j.select("input_path", "output_path", "target_lang"), j)
+    """A file for each customer, wanted in four languages; the orders are its jobs, so several may be open, or none."""
+    owner = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("/in/"), "o_custkey").alias("stem"))
+    paths = [F.concat("stem", F.lit(".pdf")).alias("input_path"), F.concat("stem", F.lit("_translated.pdf")).alias("output_path")]
+    j = v.document_jobs(spark, d).select("id", "target_lang", "status").join(owner, "id").select("id", "target_lang", "status", *paths)
+    wishes = owner.select("stem").distinct().select(*paths, F.explode(F.array(*map(F.lit, ("de", "fr", "es", "it")))).alias("target_lang"))
+    return jobs.resumable(wishes, j)
 
 
 @query("q_cleanup_remaining", "select 'document' as kind, count(*) as n from jobs where id not in (select id from stale where safe) union all select 'page', count(*) from pages_ where document_id not in (select id from stale where safe)", "jobs", "pages_", "stale")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
 from quire.functions.text import ENGINES
+from quire.operators.fonts import FONTS
 
 
 def default_data_dir() -> str:
@@ -24,6 +25,8 @@ class Config:
     dpi: int = 300
     timeout: float = 120.0
     data_dir: str = ""
+    #: Own font files by script, of scripts that have one (settings FONT_LATIN, FONT_ARABIC and so on).
+    fonts: Mapping[str, str] = field(default_factory=dict)
 
     def violations(self) -> list[str]:
         """Names of the settings in effect that aren't valid."""
@@ -47,6 +50,9 @@ def load(file: str | Path = ".env", environ: Mapping[str, str] | None = None, pr
     found = {**env_file(file), **(os.environ if environ is None else environ)}
     values = {}
     for f in fields(Config):
+        if f.name == "fonts":
+            values["fonts"] = {script: path for script in FONTS if (path := found.get(f"{prefix}FONT_{script.upper()}"))}
+            continue
         raw = found.get(prefix + f.name.upper())
         if raw:
             values[f.name] = {"int": int, "float": float}.get(str(f.type), str)(raw)

@@ -63,3 +63,17 @@ def test_config(tmp_path):
     assert config.overridden(c, dpi=0, workers=8).workers == 8
     for bad, name in (({"api_key": ""}, "api_key"), ({"ocr_engine": "x"}, "ocr_engine"), ({"workers": 0}, "workers"), ({"dpi": 50}, "dpi")):
         assert config.Config(**{"api_key": "k", **bad}).violations() == [name]
+
+
+def test_own_fonts_of_scripts_are_resolved(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quire.operators import fonts
+
+    (tmp_path / ".env").write_text("QUIRE_FONT_THAI=/own/thai.ttf\nQUIRE_FONT_LATIN=\nQUIRE_FONT_KLINGON=/x.ttf\n")
+    c = config.load(tmp_path / ".env", {"QUIRE_FONT_ARABIC": "/own/arabic.ttf"})
+    assert c.fonts == {"thai": "/own/thai.ttf", "arabic": "/own/arabic.ttf"} and config.Config().fonts == {}
+    scripts = spark.createDataFrame([("thai",), ("arabic",), ("latin",), ("cjk",), ("klingon",), (None,)], "script string")
+    got = {r.script: r.path for r in fonts.resolved(scripts, c.fonts, F.col("script") == "cjk").collect()}
+    assert got == {"thai": "/own/thai.ttf", "arabic": "/own/arabic.ttf", "latin": "fetch:NotoSans-Regular.ttf", "cjk": "/cache/NotoSansSC-Regular.ttf", "klingon": "fetch:NotoSans-Regular.ttf", None: "fetch:NotoSans-Regular.ttf"}
+    assert fonts.resolved(scripts, {}, F.lit(False)).filter("path like '/own%'").count() == 0
