@@ -67,12 +67,29 @@ def fit_text(text: Column, width: Column, height: Column, size: Column) -> Colum
     the words' lengths alone; the lines themselves are made once.
     """
     s0 = F.when(size > 0, size).otherwise(F.lit(DEFAULT_SIZE))
-    words = bound(fields(text), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.length(x)).alias("lengths")))
+    sized = bound(fields(text), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.length(x)).alias("lengths")))
+    # `total` has a blank for each word
+    words = bound(sized, lambda t: F.struct(t["words"].alias("words"), t["lengths"].alias("lengths"), F.aggregate(t["lengths"], F.lit(0), lambda a, x: a + x + 1).alias("total"), F.coalesce(F.array_max(t["lengths"]), F.lit(0)).alias("longest")))
     box = F.struct(words.alias("t"), char_ratio(text).alias("ratio"), width.cast("double").alias("w"), height.cast("double").alias("h"), s0.alias("s0"))
 
     def chosen(b: Column) -> Column:
         steps = F.filter(F.sequence(F.lit(0), (b["s0"] * 0.8).cast("int") + 2), lambda k: (k == 0) | (b["s0"] - STEP * (k - 1) >= b["s0"] * SMALLEST))
-        fits = lambda s: bound(per_line(b["w"], s, b["ratio"]), lambda n: s * LINE_HEIGHT * count_lines(b["t"]["lengths"], n) <= b["h"])
+
+        def fits(s: Column) -> Column:
+            """Whether the lines are low enough, by bounds on their number where these tell, else by counting them.
+
+            A line of words no longer than it holds has no more than n + 1 with their blanks, and
+            of two lines that follow each other both together have more.
+            """
+
+            def within(n: Column) -> Column:
+                low = lambda lines: s * LINE_HEIGHT * lines <= b["h"]
+                least = F.when(b["t"]["longest"] <= n, F.ceil(b["t"]["total"] / (n + 1))).otherwise(F.lit(1))
+                most = F.floor(2 * b["t"]["total"] / (n + 1)) + 1
+                return F.when(~low(least), F.lit(False)).when(low(most), F.lit(True)).otherwise(low(count_lines(b["t"]["lengths"], n)))
+
+            return bound(per_line(b["w"], s, b["ratio"]), within)
+
         # once a size has fitted, the rest are passed over
         first = F.aggregate(steps, F.lit(None).cast("double"), lambda got, k: F.coalesce(got, F.when(fits(b["s0"] - STEP * k), b["s0"] - STEP * k)))
         return F.struct(b.alias("b"), first.alias("first"))
