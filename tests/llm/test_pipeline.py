@@ -100,7 +100,8 @@ def test_very_long_texts(spark, rows, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         if name != "packing":
             found = [r.text for r in docs.filter("doc_id >= 300").collect()]
-            assert found and all(t.startswith(long[:100]) for t in found)
+            # a text that the mixture cuts has blanks between its words
+            assert found and all(t.split()[:500] == long.split()[:500] for t in found)
             if name == "secrets":
                 assert found == [f"{long}\nthe [secret] here"]
     c = tokens.counter(tokens.vocabulary_path())
