@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import bound, chunks
 from quire.functions.script import char_ratio
-from quire.functions.text import fields
+from quire.functions.text import collapse
 
 LINE_HEIGHT, SMALLEST, EXPANSION, STEP, DEFAULT_SIZE = 1.35, 0.6, 1.5, 0.5, 12.0
 
@@ -41,21 +41,30 @@ def wrap_words(words: Column, limit: Column) -> Column:
     return F.aggregate(bound(words, chunks), start, some, whole)
 
 
-def wrap_text(text: Column, width: Column, size: Column, ratio: Column) -> Column:
-    """Lines of a text without hard breaks."""
-    return wrap_words(fields(text), per_line(width, size, ratio))
+#: Beyond these a character may be of two units in a regular expression's eyes, whose repetitions then nest.
+PAIRS = r"[\x{10000}-\x{10FFFF}]"
+
+
+def _line(limit: Column) -> Column:
+    """A pattern whose matches in words joined by blanks are the greedy lines of at most `limit` characters; group 1 has no blank behind."""
+    return F.concat(F.lit("(?s)(.{1,"), limit.cast("string"), F.lit(r"}|[^ ]+)(?: |\z)"))
 
 
-def count_lines(lengths: Column, limit: Column) -> Column:
-    """How many lines wrap_words would give for words of these lengths."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("used"))
+def wrap_joined(joined: Column, limit: Column) -> Column:
+    """wrap_words of words joined by single blanks: one scan by a regular expression instead of a step for each word."""
+    scanned = F.regexp_extract_all(joined, _line(limit), F.lit(1))
+    lines = F.when(joined == "", F.array(F.lit(""))).otherwise(scanned)
+    return F.when(joined.rlike(PAIRS), wrap_words(F.array_remove(F.split(joined, " "), ""), limit)).otherwise(lines)
+
+
+def wrap_text(text: Column, width: Column, size: Column, ratio: Column) -> Column:
+    """Lines of a text without hard breaks."""
+    return bound(collapse(F.coalesce(text, F.lit(""))), lambda t: wrap_joined(t, per_line(width, size, ratio)))
 
-    def step(s: Column, n: Column) -> Column:
-        used = s["used"] + 1 + n
-        fits = (s["used"] >= 0) & (used <= limit)
-        return F.struct(F.when(fits, s["n"]).otherwise(s["n"] + 1).alias("n"), F.when(fits, used).otherwise(n).alias("used"))
 
-    return F.aggregate(lengths, start, step, lambda s: F.greatest(s["n"], F.lit(1)))
+def count_lines(joined: Column, limit: Column) -> Column:
+    """How many lines wrap_joined would give: characters beyond the basic plane count as any others."""
+    return F.greatest(F.regexp_count(F.regexp_replace(joined, PAIRS, "x"), _line(limit)), F.lit(1))
 
 
 def fit_text(text: Column, width: Column, height: Column, size: Column) -> Column:
@@ -63,30 +72,27 @@ def fit_text(text: Column, width: Column, height: Column, size: Column) -> Colum
 
     The first of these that holds: the lines fit at the given size; at a size smaller by halves
     of a point, down to the first below 60 %; at 60 % in a box half as high again; else the
-    lines beyond that box are cut and the last one kept ends in an ellipsis. Sizes are tried on
-    the words' lengths alone; the lines themselves are made once.
+    lines beyond that box are cut and the last one kept ends in an ellipsis. Sizes are tried by
+    counting lines; the lines themselves are made once.
     """
     s0 = F.when(size > 0, size).otherwise(F.lit(DEFAULT_SIZE))
-    sized = bound(fields(text), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.length(x)).alias("lengths")))
-    # `total` has a blank for each word
-    words = bound(sized, lambda t: F.struct(t["words"].alias("words"), t["lengths"].alias("lengths"), F.aggregate(t["lengths"], F.lit(0), lambda a, x: a + x + 1).alias("total"), F.coalesce(F.array_max(t["lengths"]), F.lit(0)).alias("longest")))
-    box = F.struct(words.alias("t"), char_ratio(text).alias("ratio"), width.cast("double").alias("w"), height.cast("double").alias("h"), s0.alias("s0"))
+    box = F.struct(collapse(F.coalesce(text, F.lit(""))).alias("t"), char_ratio(text).alias("ratio"), width.cast("double").alias("w"), height.cast("double").alias("h"), s0.alias("s0"))
 
     def chosen(b: Column) -> Column:
         steps = F.filter(F.sequence(F.lit(0), (b["s0"] * 0.8).cast("int") + 2), lambda k: (k == 0) | (b["s0"] - STEP * (k - 1) >= b["s0"] * SMALLEST))
+        total = F.length(b["t"]) + 1
 
         def fits(s: Column) -> Column:
             """Whether the lines are low enough, by bounds on their number where these tell, else by counting them.
 
-            A line of words no longer than it holds has no more than n + 1 with their blanks, and
-            of two lines that follow each other both together have more.
+            Of two lines that follow each other both together have more than n + 1 characters
+            with their blanks, and what has no more is one line.
             """
 
             def within(n: Column) -> Column:
                 low = lambda lines: s * LINE_HEIGHT * lines <= b["h"]
-                least = F.when(b["t"]["longest"] <= n, F.ceil(b["t"]["total"] / (n + 1))).otherwise(F.lit(1))
-                most = F.floor(2 * b["t"]["total"] / (n + 1)) + 1
-                return F.when(~low(least), F.lit(False)).when(low(most), F.lit(True)).otherwise(low(count_lines(b["t"]["lengths"], n)))
+                most = F.when(total <= n + 1, F.lit(1)).otherwise(F.floor(2 * total / (n + 1)) + 1)
+                return F.when(~low(F.lit(1)), F.lit(False)).when(low(most), F.lit(True)).when(total <= n + 1, F.lit(False)).otherwise(low(count_lines(b["t"], n)))
 
             return bound(per_line(b["w"], s, b["ratio"]), within)
 
@@ -97,7 +103,7 @@ def fit_text(text: Column, width: Column, height: Column, size: Column) -> Colum
     def made(c: Column) -> Column:
         b = c["b"]
         s = F.coalesce(c["first"], b["s0"] * SMALLEST)
-        lines = bound(per_line(b["w"], s, b["ratio"]), lambda n: wrap_words(b["t"]["words"], n))
+        lines = bound(per_line(b["w"], s, b["ratio"]), lambda n: wrap_joined(b["t"], n))
         return F.struct(lines.alias("lines"), s.alias("font_size"), (s * LINE_HEIGHT).alias("line_height"), b["h"].alias("h"), c["first"].isNotNull().alias("fits"))
 
     return bound(bound(bound(box, chosen), made), _boxed)

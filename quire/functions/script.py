@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: In order of priority on ties; latin, which also takes all other letters, comes last.
 SCRIPTS = (("arabic", "IsArabic"), ("hebrew", "IsHebrew"), ("devanagari", "IsDevanagari"), ("cjk", "IsHan"), ("thai", "IsThai"), ("korean", "IsHangul"), ("cyrillic", "IsCyrillic"))
 RIGHT_TO_LEFT = r"\p{IsArabic}\p{IsHebrew}\p{IsSyriac}\p{IsThaana}"
+#: All of these scripts' characters lie here, which is a quicker test than their names are.
+BEYOND = r"[\x{370}-\x{10FFFF}]"
 #: Full-width scripts take a whole em for each character, others half of one.
 FULL_WIDTH = ("cjk", "korean")
 
@@ -16,7 +18,8 @@ def is_rtl(s: Column) -> Column:
     """More right-to-left characters than other letters."""
     text = F.coalesce(s, F.lit(""))
     other = F.regexp_replace(text, f"[{RIGHT_TO_LEFT}]+", "")
-    return F.regexp_count(text, F.lit(f"[{RIGHT_TO_LEFT}]")) > F.regexp_count(other, F.lit(r"\p{L}"))
+    more = F.regexp_count(text, F.lit(f"[{RIGHT_TO_LEFT}]")) > F.regexp_count(other, F.lit(r"\p{L}"))
+    return F.when(text.rlike(BEYOND), more).otherwise(F.lit(False))
 
 
 def detect_script(s: Column) -> Column:
@@ -28,7 +31,7 @@ def detect_script(s: Column) -> Column:
     counts.append(F.struct(rest.alias("n"), F.lit(-len(SCRIPTS)).alias("p"), F.lit("latin").alias("s")))
     best = F.array_max(F.array(*counts))
     # most texts hold nothing but Latin letters: one scan tells
-    return F.when(text.rlike(f"[{named}]"), F.when(best["n"] > 0, best["s"]).otherwise("latin")).otherwise("latin")
+    return F.when(text.rlike(BEYOND), F.when(best["n"] > 0, best["s"]).otherwise("latin")).otherwise("latin")
 
 
 def char_ratio(s: Column) -> Column:
