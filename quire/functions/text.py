@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import bound
+
 #: Unicode white space; Java's \s leaves out NEL and the separators.
 BLANK = r"[\s\x{85}\p{Z}]"
 
@@ -80,12 +82,21 @@ def win_ansi(code: Column) -> Column:
     )
 
 
+#: Characters that stand for another's byte in WinAnsi; all lie outside of NONE, and NONE has no byte.
+MAPPED = WIN_ANSI | dict.fromkeys(BULLETS, 0x95) | dict.fromkeys(DASHES, 0x96) | dict.fromkeys(range(0x2190, 0x2200), 0x2D) | dict.fromkeys(SPACES, 0x20)
+NONE = r"[\x00-\x1F\x7F-\x9F\x{300}-\x{1FFF}\x{2A00}-\x{10FFFF}]"
+
+
 def pdf_escape(s: Column) -> Column:
-    """A PDF literal string's bytes in hexadecimal, in WinAnsi, with parentheses and backslashes escaped."""
-    # one step after another: a lambda's argument is computed once
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    bytes_ = F.transform(codes, lambda c: win_ansi(c))
-    return F.array_join(F.transform(bytes_, lambda b: F.concat(F.when(b.isin(0x28, 0x29, 0x5C), "5C").otherwise(""), F.lpad(F.hex(b), 2, "0"))), "")
+    """A PDF literal string's bytes in hexadecimal, in WinAnsi, with parentheses and backslashes escaped.
+
+    Whole strings at a time: what has no byte becomes a question mark, what stands for another
+    byte the character of that number, so that the bytes are those of Latin-1. The classes are
+    plain ranges, as a union costs a step a member for each character.
+    """
+    mapped = lambda t: F.regexp_replace(F.translate(t, "".join(map(chr, MAPPED)), "".join(map(chr, MAPPED.values()))), r"[^\x20-\xFF]", "?")
+    latin = bound(F.regexp_replace(s, NONE, "?"), lambda t: F.when(t.rlike(r"[^\x20-\xFF]"), mapped(t)).otherwise(t))
+    return F.hex(F.encode(F.regexp_replace(latin, r"([()\\])", r"\\$1"), "ISO-8859-1"))
 
 
 def net_q_depth(content: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import fit
+from quire.functions import fit, text
 from quire.operators import overlay
 
 
@@ -40,3 +40,13 @@ def test_lines_are_found_by_scans(spark):
     got = df.select("t", "n", fit.wrap_joined(F.col("t"), F.col("n")).alias("lines"), fit.count_lines(F.col("t"), F.col("n")).alias("count"))
     for r in got.collect():
         assert r.lines == greedy(r.t.split(), r.n) and r["count"] == len(r.lines)
+
+
+def test_texts_are_escaped_whole(spark):
+    rows = [("".join(chr(c) for c in range(k, k + 64) if not 0xD800 <= c < 0xE000),) for k in range(1, 0x10000, 64)] + [("(🎉)\\",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "s string").select("s", text.pdf_escape(F.col("s")).alias("e"))
+    one = spark.createDataFrame([(c,) for c in range(0x10000)], "c int").select("c", text.win_ansi(F.col("c")).alias("b")).collect()
+    byte = {r.c: r.b for r in one}
+    want = lambda s: "".join(("5C" if c in "()\\" else "") + "%02X" % byte.get(ord(c), 0x3F) for c in s)
+    assert all(r.e == (None if r.s is None else want(r.s)) for r in df.collect())
+    assert "transform(split" not in plan(df)[0]
