@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import fit, text
-from quire.operators import overlay
+from quire.operators import objects, overlay
 
 
 def plan(df):
@@ -50,3 +50,26 @@ def test_texts_are_escaped_whole(spark):
     want = lambda s: "".join(("5C" if c in "()\\" else "") + "%02X" % byte.get(ord(c), 0x3F) for c in s)
     assert all(r.e == (None if r.s is None else want(r.s)) for r in df.collect())
     assert "transform(split" not in plan(df)[0]
+
+
+def test_references_are_not_broadcast(spark):
+    edges = spark.createDataFrame([("a", i, i + 1) for i in range(30)] + [("a", 3, 9), ("b", 0, 1)], "file string, object long, ref long")
+    roots = spark.createDataFrame([("a", 0), ("b", 0)], "file string, object long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    seen, write = [], objects.staged
+
+    def noted(df, name):
+        seen.append(plan(df)[1])
+        return write(df, name)
+
+    objects.staged = noted
+    try:
+        found = objects.closure(edges, roots)
+        _, moved = objects.renumbered(found, edges)
+        seen.append(plan(moved)[1])
+        assert found.count() == 33 and moved.count() == 32
+    finally:
+        objects.staged = write
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(seen) > 10 and not any("Broadcast" in p for p in seen)
