@@ -67,8 +67,20 @@ def effective_size() -> Column:
     return F.when(wide > F.col("_raw"), wide).when(F.col("_raw") > 0, F.col("_raw")).otherwise(12.0)
 
 
+def gathered(spans: DataFrame) -> DataFrame:
+    """A row per line of spans, with `spans` in their order."""
+    return spans.groupBy("doc_id", "page", "line_no").agg(F.sort_array(F.collect_list(F.struct("span_no", "text", "x", "end_x", "y", "raw_font_size", "font"))).alias("spans"))
+
+
 def native_lines(spans: DataFrame) -> DataFrame:
-    """One line per group of spans: box, text, size and first font. Lines without spans don't occur."""
-    g = spans.groupBy("doc_id", "page", "line_no").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("end_x").alias("_e"), F.sort_array(F.collect_list(F.struct("span_no", "text"))).alias("_s"), F.min_by("font", "span_no").alias("font_name"), *font_sums())
-    g = g.withColumn("font_size", effective_size())
-    return g.select("doc_id", "page", "line_no", "x", "y", (F.col("_e") - F.col("x")).alias("w"), (F.col("font_size") * 1.2).alias("h"), F.array_join(F.transform("_s", lambda s: s["text"]), " ").alias("text"), "font_size", "font_name")
+    """One line per group of spans: box, text, size and first font. Lines without spans don't occur.
+
+    Spans are rows, which are gathered by line first, or lines that hold their `spans` already,
+    one at least, as most libraries give them: these are worked on where they are, without a shuffle.
+    """
+    lines = spans if "spans" in spans.columns else gathered(spans)
+    counted = F.filter("spans", lambda s: (s["end_x"] > s["x"]) & (F.length(s["text"]) > 0))
+    sums = F.aggregate(counted, F.struct(F.lit(0.0).alias("wide"), F.lit(0).cast("long").alias("chars")), lambda a, s: F.struct((a["wide"] + (s["end_x"] - s["x"])).alias("wide"), (a["chars"] + F.length(s["text"])).alias("chars")))
+    g = lines.withColumn("_f", sums).withColumns({"_wide": F.col("_f.wide"), "_chars": F.col("_f.chars"), "_raw": F.col("spans")[0]["raw_font_size"]})
+    g = g.withColumns({"x": F.array_min("spans.x"), "y": F.array_min("spans.y"), "_e": F.array_max("spans.end_x"), "font_size": effective_size()})
+    return g.select("doc_id", "page", "line_no", "x", "y", (F.col("_e") - F.col("x")).alias("w"), (F.col("font_size") * 1.2).alias("h"), F.array_join("spans.text", " ").alias("text"), "font_size", F.col("spans")[0]["font"].alias("font_name"))

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import fit, text
-from quire.operators import objects, overlay
+from quire.operators import objects, overlay, pages
+from quire.sources import virtual
+
+DATA = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -73,3 +76,9 @@ def test_references_are_not_broadcast(spark):
         objects.staged = write
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert len(seen) > 10 and not any("Broadcast" in p for p in seen)
+
+
+def test_spans_of_lines_are_not_shuffled(spark):
+    whole, parts = pages.native_lines(virtual.line_spans(spark, DATA)), pages.native_lines(virtual.spans(spark, DATA))
+    assert "Exchange" not in plan(whole)[1]
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
