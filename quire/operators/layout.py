@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import centre_in
 from quire.functions.text import is_blank
-from quire.session import staged
+from quire.session import merged, staged
 
 PAGE = ("doc_id", "page")
 #: Lines no further apart than this in y are on one level.
@@ -33,14 +33,14 @@ def leaf_regions(regions: DataFrame) -> DataFrame:
     (ox, oy), (tx, ty) = centre("o"), centre("t")
     o = lambda c: F.col(f"o.{c}")
     inside = (tx > o("x")) & (tx < o("x") + o("w")) & (ty > o("y")) & (ty < o("y") + o("h"))
-    return regions.alias("o").filter(is_textual(F.col("block_type"))).join(regions.alias("t"), on_page("o", "t") & ~((ox == tx) & (oy == ty)) & inside, "left_anti")
+    return regions.alias("o").filter(is_textual(F.col("block_type"))).join(merged(regions.alias("t")), on_page("o", "t") & ~((ox == tx) & (oy == ty)) & inside, "left_anti")
 
 
 def matched_lines(lines: DataFrame, leaves: DataFrame, how: str = "inner") -> DataFrame:
     """Non-blank lines with each leaf region that holds their centre; a line can lie in several."""
     x, y = centre("l")
     r = leaves.select(*PAGE, "rid", *(F.col(c).alias(c) for c in ("x", "y", "w", "h")), F.col("block_type").alias("region_type"))
-    joined = lines.filter(~is_blank(F.col("text"))).alias("l").join(r.alias("r"), on_page("l", "r") & centre_in(x, y, "r"), how)
+    joined = lines.filter(~is_blank(F.col("text"))).alias("l").join(merged(r.alias("r")), on_page("l", "r") & centre_in(x, y, "r"), how)
     return joined.select("l.*", "r.rid", "r.region_type")
 
 
@@ -48,7 +48,7 @@ def outside_images(unmatched: DataFrame, regions: DataFrame) -> DataFrame:
     """Lines whose centre lies in no image region."""
     x, y = centre("l")
     images = regions.filter(~is_textual(F.col("block_type")))
-    return unmatched.alias("l").join(images.alias("i"), on_page("l", "i") & centre_in(x, y, "i"), "left_anti")
+    return unmatched.alias("l").join(merged(images.alias("i")), on_page("l", "i") & centre_in(x, y, "i"), "left_anti")
 
 
 def unmatched_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import fit, text
-from quire.operators import objects, overlay, pages
+from quire.operators import layout, objects, overlay, pages
 from quire.sources import virtual
 
 DATA = "/root/testdata/sf0.001"
@@ -55,6 +55,12 @@ def test_texts_are_escaped_whole(spark):
     assert "transform(split" not in plan(df)[0]
 
 
+def test_places_are_not_broadcast(spark):
+    lines, regions = virtual.all_lines(spark, DATA), virtual.regions(spark, DATA)
+    for df in (layout.leaf_regions(regions), layout.matched_lines(lines, layout.leaf_regions(regions), "left"), layout.layout_blocks(lines, regions)):
+        assert "Broadcast" not in plan(df)[1]
+
+
 def test_references_are_not_broadcast(spark):
     edges = spark.createDataFrame([("a", i, i + 1) for i in range(30)] + [("a", 3, 9), ("b", 0, 1)], "file string, object long, ref long")
     roots = spark.createDataFrame([("a", 0), ("b", 0)], "file string, object long")
