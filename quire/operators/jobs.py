@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_file
-from quire.session import dropped, staged
+from quire.session import merged, staged
 
 UNFINISHED = ("failed", "pending", "running")
 
@@ -40,7 +40,7 @@ def resumed(pages: DataFrame) -> DataFrame:
 
 def finished(pages: DataFrame, outcomes: DataFrame, most: int = 3) -> DataFrame:
     """Pages after a round: outcomes (document_id, page_num, error) complete them or count a retry."""
-    rows = pages.join(outcomes.withColumn("_done", F.lit(True)), ["document_id", "page_num"], "left")
+    rows = pages.join(merged(outcomes.withColumn("_done", F.lit(True))), ["document_id", "page_num"], "left")
     failed = F.col("error").isNotNull()
     status = F.when(F.col("_done").isNull(), F.col("status")).when(failed, "failed").otherwise("completed")
     return rows.withColumns({"status": status, "error_message": F.coalesce("error", "error_message"), "retries": F.col("retries") + failed.cast("int")}).drop("_done", "error")
@@ -57,22 +57,24 @@ def run_rounds(pages: DataFrame, work: Callable[[DataFrame], DataFrame], retries
     """All pending pages worked on, and those that fail again in up to `retries` more rounds.
 
     `work` turns pages into outcomes (document_id, page_num, error), one for each page; an error of
-    one page doesn't stop others. Each round's table is written, so a lost executor repeats at most
-    that round, and the loop ends as soon as nothing is left to retry.
+    one page doesn't stop others. Each round's pages are written, so a lost executor repeats at
+    most that round, and the loop ends as soon as nothing is left to retry. Only pages that are
+    still open go into a round; those done stay in the files of their round.
     """
+    is_open = F.coalesce(F.col("status").isin("failed", "pending"), F.lit(False))
     pages = staged(pages, "pages")
+    done, waiting = pages.filter(~is_open), pages.filter("status = 'pending'")
     for n in range(retries + 1):
-        if n:
-            again = F.col("status") == "failed"
-            pending = pages.withColumns({"error_message": F.when(again, "").otherwise(F.col("error_message")), "status": F.when(again, "pending").otherwise(F.col("status"))})
-        else:
-            pending = pages
-        after = staged(finished(pending, work(pending.filter("status = 'pending'"))), "pages")
-        dropped(pages)
-        pages = after
-        if pages.filter("status = 'failed'").isEmpty():
+        left = staged(finished(waiting, work(waiting)), "pages")
+        if not n:
+            # pages that had failed before are retried with the first round's
+            left = left.unionByName(pages.filter("status = 'failed'"))
+        if n == retries or left.filter("status = 'failed'").isEmpty():
             break
-    return pages
+        done = done.unionByName(left.filter(~is_open))
+        again = F.col("status") == "failed"
+        waiting = left.filter(is_open).withColumns({"error_message": F.when(again, "").otherwise(F.col("error_message")), "status": F.lit("pending")})
+    return done.unionByName(left)
 
 
 def settled(jobs: DataFrame, pages: DataFrame) -> DataFrame:

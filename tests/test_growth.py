@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import fit, text
-from quire.operators import layout, objects, overlay, pages, sfnt
+from quire.operators import jobs, layout, objects, overlay, pages, sfnt
 from quire.sources import virtual
 
 DATA = "/root/testdata/sf0.001"
@@ -105,3 +105,20 @@ def test_code_points_are_grouped_only_where_segments_overlap(spark):
     assert got == {k: {c: c + d for a, b, d in v for c in range(a, b + 1)} for k, v in last.items()} | {"long": {1: 9, 2: 10, 3: 11, 4: 70, 5: 71, 6: 72}}
     top = plan(df)[0].splitlines()
     assert top[0].startswith("Union") and sum("Aggregate" in line for line in top) == 1
+
+
+def test_rounds_write_open_pages_only(spark, monkeypatch):
+    written, write = [], jobs.staged
+
+    def noted(df, name):
+        out = write(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jobs, "staged", noted)
+    rows = [(d, p, s, "", 0) for d in range(20) for p, s in enumerate(("completed", "pending", "pending", "failed", None))]
+    start = spark.createDataFrame(rows, "document_id long, page_num int, status string, error_message string, retries int")
+    late = lambda df: df.select("document_id", "page_num", F.when(F.col("retries") < F.col("page_num") - 1, "late").alias("error"))
+    got = {(r.document_id, r.page_num): (r.status, r.retries) for r in jobs.run_rounds(start, late).collect()}
+    assert len(got) == 100 and written == [100, 40, 40, 20, 20]
+    assert got == {(d, p): v for d in range(20) for p, v in enumerate((("completed", 0), ("completed", 0), ("completed", 1), ("completed", 2), (None, 0)))}
