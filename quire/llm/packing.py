@@ -7,6 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -120,17 +121,16 @@ def pack(docs: DataFrame, window: int = WINDOW, targets: Mapping[str | None, flo
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part, heads = encoder(path), TaskContext.get().partitionId(), {}
-        tail = np.array([end], e.wide).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                ids = [e.ids(t.as_py() or "") + tail for t in some.column(2)]
-                counts = [len(x) // len(tail) for x in ids]
-                heads_at = []
-                for s, n in zip(some.column(1).to_pylist(), counts):
-                    heads_at.append(heads.get(s, 0))
-                    heads[s] = heads_at[-1] + n
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(heads_at, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "part", "head", "n", "ids"])
+            if not b.num_rows:
+                continue
+            ids = e.ids(b.column(2), end)
+            counts = pc.divide(pc.binary_length(ids), np.dtype(e.wide).itemsize).cast(pa.int64())
+            at = []
+            for s, n in zip(b.column(1).to_pylist(), counts.to_pylist()):
+                at.append(heads.get(s, 0))
+                heads[s] = at[-1] + n
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), counts, ids], ["doc_id", "source", "part", "head", "n", "ids"])
 
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "source", "string").alias("source"), column(docs, "text", "string").alias("text"))
     encoded = staged(rows.mapInArrow(encode, "doc_id long, source string, part int, head long, n long, ids binary"), "token-ids")

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,10 +206,9 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.split = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
         self.model = self.library.model
-        self.stand_in = {b: s for b, s in byte_symbols().items() if chr(b) != s}
-        self.words = Memo(self.word)
+        self.symbols = byte_symbols()
         self.odd = Memo(self.encoded)
-        self.runs = Memo(lambda run: b"".join(map(self.words.__getitem__, self.split.findall(run))))
+        self.runs = Memo(self.run)
 
     def encoded(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
@@ -215,23 +216,63 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """A word in normal form goes straight to the library's model, as its bytes' stand-ins."""
         if not (word.isascii() and word.isprintable()):
-            word = word.encode("utf-8").decode("latin-1").translate(self.stand_in)
+            word = "".join(map(self.symbols.__getitem__, word.encode("utf-8")))
         return self.packed([t.id for t in self.model.tokenize(word)])
 
+    def run(self, run: str) -> bytes:
+        """A run is one word or several, which are runs themselves."""
+        if not run.isalpha():
+            words = self.split.findall(run)
+            if len(words) > 1:
+                return b"".join(map(self.runs.__getitem__, words))
+        return self.word(run)
+
     def packed(self, numbers: list[int]) -> bytes:
         ids = array(self.code, numbers)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """A text's ids as little-endian numbers of `wide`."""
+    def usual(self, text: str) -> bool:
+        """Whether a text's runs are those between its white space once it is in lower case."""
+        return not (any(x in text for x in self.special) or WIDE.search(text) or any(c in text for c in CONTROLS))
+
+    def unusual(self, text: str) -> bytes:
+        """The ids of any text by itself."""
         if any(x in text for x in self.special):
             return self.encoded(text)
         if WIDE.search(text):
             return b"".join(map(self.odd.__getitem__, pieces_of(text)))
         return b"".join(map(self.runs.__getitem__, pieces_of(text.lower())))
 
+    def ids(self, texts: pa.Array, end: int) -> pa.Array:
+        """Each text's ids and `end` as little-endian numbers of `wide`; null is empty.
+
+        Arrow splits the texts and numbers their distinct runs, so each is looked up once for all
+        texts and the ids are put together by these numbers. An unusual text counts as one run.
+        """
+        lower, whole = [], {}
+        for i, text in enumerate(texts.to_pylist()):
+            text = text or ""
+            if self.usual(text):
+                lower.append(text.lower())
+            else:
+                lower.append("")
+                whole[i] = self.unusual(text)
+        split = pc.utf8_split_whitespace(pa.array(lower, pa.string()))
+        runs = split.flatten().dictionary_encode()
+        distinct = runs.dictionary.to_numpy(zero_copy_only=False)
+        known = [*map(self.runs.__getitem__, distinct), np.array([end], self.wide).tobytes(), *whole.values()]
+        # behind a text's runs come its own ids, if it is unusual, and the end
+        rows = np.concatenate([np.fromiter(whole, np.int64, len(whole)), np.arange(len(lower))])
+        added = np.concatenate([np.arange(len(distinct) + 1, len(known)), np.full(len(lower), len(distinct))])
+        ends = split.offsets.to_numpy()[1:]
+        numbers = np.insert(runs.indices.to_numpy(), ends[rows], added)
+        last = ends + np.cumsum(np.bincount(rows, minlength=len(lower)))
+        _, places, data = pa.array(known, pa.binary()).take(pa.array(numbers)).buffers()
+        starts = np.frombuffer(places, np.int32)[np.concatenate([[0], last])]
+        return pa.Array.from_buffers(pa.binary(), len(lower), [None, pa.py_buffer(starts), data])
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

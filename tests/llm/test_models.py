@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -454,6 +455,26 @@ def test_long_words_are_not_kept():
     assert all(len(k) <= tokens.LONGEST for memo in (c.words, c.runs, c.odd) for k in memo)
 
 
+def test_runs_of_a_batch_are_looked_up_once():
+    t, e, looked = library(), tokens.Encoder(tokens.vocabulary_path()), []
+
+    class Noted(dict):
+        def __missing__(self, key):
+            looked.append(key)
+            return e.run(key)
+
+    e.runs = Noted()
+    small = ["a" + chr(c) + "B,b " + chr(c) for c in range(0x250)]
+    rnd = random.Random(8)
+    texts = [*ODD, None, *small, *(" ".join(rnd.choices(ODD + small, k=9)) for _ in range(99)), "ab? Cd\nab? " * 700, *["ab? cd"] * 50]
+    got = e.ids(pa.array(texts, pa.string()), 2).to_pylist()
+    assert got == [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], e.wide).tobytes() for x in texts]
+    looked.clear()
+    assert e.ids(pa.array(["ab? Cd"] * 300 + ["cd\tab? "]), 2).to_pylist()[-1] == np.array([*t.encode("cd ab?", add_special_tokens=False).ids, 2], e.wide).tobytes()
+    assert sorted(looked) == ["", "?", "ab", "ab?", "cd"]
+    assert e.ids(pa.array([], pa.string()), 2).to_pylist() == []
+
+
 def test_op6_query_against_the_library(spark, tmp_path):
     t, rnd = library(), random.Random(8)
     rows = [(i, " ".join(rnd.choice(("alpha", "Beta", "don't", "é🎉", "12345", "\n\n", "  ", "<|endoftext|>", "x" * 40)) for _ in range(rnd.choice((0, 3, 90, 3000)))), 1) for i in range(60)] + [(None, None, 1), (61, "", 1), (61, "", 1), (62, "word " * 30_000, 1)]
