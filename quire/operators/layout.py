@@ -28,6 +28,15 @@ def is_textual(kind: Column) -> Column:
     return kind != "image"
 
 
+def keyed_like(regions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Regions whose page keys have the lines' types.
+
+    Else a join with the lines casts them, and leaf regions, which lie by page already, are shuffled
+    and sorted again, in a stage whose tasks are as many as the few bytes of its files call for.
+    """
+    return regions.withColumns({c: F.col(c).cast(lines.schema[c].dataType) for c in PAGE})
+
+
 def leaf_regions(regions: DataFrame) -> DataFrame:
     """Textual regions that hold no other region's centre strictly inside; equal centres don't count."""
     (ox, oy), (tx, ty) = centre("o"), centre("t")
@@ -53,7 +62,7 @@ def outside_images(unmatched: DataFrame, regions: DataFrame) -> DataFrame:
 
 def unmatched_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Non-blank lines in no leaf region and no image. The regions are written once, as they are read three times."""
-    regions = staged(regions, "regions")
+    regions = staged(keyed_like(regions, lines), "regions")
     missed = matched_lines(lines, leaf_regions(regions), "left").filter("rid is null").drop("rid", "region_type")
     return outside_images(missed, regions)
 
@@ -93,7 +102,7 @@ def layout_blocks(lines: DataFrame, regions: DataFrame) -> DataFrame:
     both the merged and the unmatched blocks; it and the regions are written once, as each is
     read several times.
     """
-    regions = staged(regions, "regions")
+    regions = staged(keyed_like(regions, lines), "regions")
     joined = staged(matched_lines(lines, leaf_regions(regions), "left"), "matched")
     columns = [*PAGE, "x", "y", "w", "h", "text", "font_size", "font_name", "block_type"]
     part = lambda df, origin, rank, order: df.select(*columns, F.lit(origin).alias("origin"), F.lit(rank).alias("_o"), F.col(order).cast("int").alias("_k"))

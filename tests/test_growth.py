@@ -61,6 +61,25 @@ def test_places_are_not_broadcast(spark):
         assert "Broadcast" not in plan(df)[1]
 
 
+def test_leaf_regions_meet_lines_where_they_lie(spark, monkeypatch):
+    seen, write = {}, layout.staged
+
+    def noted(df, name):
+        seen[name] = plan(df)[1]
+        return write(df, name)
+
+    monkeypatch.setattr(layout, "staged", noted)
+    lines, regions = virtual.all_lines(spark, DATA), virtual.regions(spark, DATA)
+    assert lines.schema["page"].dataType != regions.schema["page"].dataType
+    blocks = layout.layout_blocks(lines, regions)
+    assert blocks.schema["page"].dataType == lines.schema["page"].dataType
+    # lines, regions and the regions that they may hold, but not the leaves once more
+    assert seen["matched"].count("Exchange hashpartitioning") == 3
+    seen.clear()
+    missed = layout.unmatched_lines(lines, regions)
+    assert plan(missed)[1].count("Exchange hashpartitioning") == 4
+
+
 def test_references_are_not_broadcast(spark):
     edges = spark.createDataFrame([("a", i, i + 1) for i in range(30)] + [("a", 3, 9), ("b", 0, 1)], "file string, object long, ref long")
     roots = spark.createDataFrame([("a", 0), ("b", 0)], "file string, object long")
