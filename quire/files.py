@@ -65,6 +65,8 @@ def translated_files(spark: SparkSession, path: str, model: Model, source: str =
     if recognised is not None:
         lines = lines.unionByName(recognised.join(kinds.filter("page_type = 'scanned'").select(*PAGE), list(PAGE), "left_semi").select(*lines.columns))
     lines = lines.withColumn("block_type", F.when(F.col("font_size") > 16, "title").otherwise("text"))
+    # layout reads the lines twice, and a recogniser's are dear
+    lines = staged(lines, "page-lines")
     regions = regions if regions is not None else spark.createDataFrame([], REGIONS)
     blocks = staged(translated_pages(layout.layout_blocks(lines, regions), model, source, target), "translated-blocks")
     sizes = good.select(*PAGE, "height")
@@ -88,7 +90,7 @@ def translated_files(spark: SparkSession, path: str, model: Model, source: str =
     short = F.when(~F.col("total_pages").eqNullSafe(F.col("_n")), F.format_string("%d of %d pages are complete", F.coalesce("_n", F.lit(0)), F.coalesce("total_pages", F.lit(0))))
     error = F.coalesce("failed", "broken", F.when(F.col("total_pages").isNull(), F.col("unread")), short)
     result = staged(rows.select("path", "total_pages", F.when(error.isNull(), F.col("pdf")).alias("pdf"), error.alias("error")), "translated-files")
-    dropped(read, blocks, out)
+    dropped(read, lines, blocks, out)
     return result
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import centre_in
 from quire.functions.text import is_blank
-from quire.session import merged, staged
+from quire.session import merged, parted, staged, tasks_for
 
 PAGE = ("doc_id", "page")
 #: Lines no further apart than this in y are on one level.
@@ -53,6 +53,13 @@ def matched_lines(lines: DataFrame, leaves: DataFrame, how: str = "inner") -> Da
     return joined.select("l.*", "r.rid", "r.region_type")
 
 
+def in_leaves(lines: DataFrame, regions: DataFrame, how: str = "inner") -> DataFrame:
+    """matched_lines with the regions' leaves, all dealt by page to as many tasks as the lines' bytes call for."""
+    tasks = tasks_for(lines)
+    leaves = leaf_regions(parted(keyed_like(regions, lines), tasks, *PAGE))
+    return matched_lines(parted(lines, tasks, *PAGE), leaves, how)
+
+
 def outside_images(unmatched: DataFrame, regions: DataFrame) -> DataFrame:
     """Lines whose centre lies in no image region."""
     x, y = centre("l")
@@ -63,7 +70,7 @@ def outside_images(unmatched: DataFrame, regions: DataFrame) -> DataFrame:
 def unmatched_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Non-blank lines in no leaf region and no image. The regions are written once, as they are read three times."""
     regions = staged(keyed_like(regions, lines), "regions")
-    missed = matched_lines(lines, leaf_regions(regions), "left").filter("rid is null").drop("rid", "region_type")
+    missed = in_leaves(lines, regions, "left").filter("rid is null").drop("rid", "region_type")
     return outside_images(missed, regions)
 
 
@@ -100,10 +107,13 @@ def layout_blocks(lines: DataFrame, regions: DataFrame) -> DataFrame:
 
     Lines of pages without regions pass through. One outer join against the leaf regions feeds
     both the merged and the unmatched blocks; it and the regions are written once, as each is
-    read several times.
+    read several times. Where the lines call for more tasks than the session has, all three parts
+    are dealt by page alike, so blocks are numbered where they lie.
     """
     regions = staged(keyed_like(regions, lines), "regions")
-    joined = staged(matched_lines(lines, leaf_regions(regions), "left"), "matched")
+    joined = staged(in_leaves(lines, regions, "left"), "matched")
+    tasks = tasks_for(joined)
+    joined, regions = (parted(df, tasks, *PAGE) for df in (joined, regions))
     columns = [*PAGE, "x", "y", "w", "h", "text", "font_size", "font_name", "block_type"]
     part = lambda df, origin, rank, order: df.select(*columns, F.lit(origin).alias("origin"), F.lit(rank).alias("_o"), F.col(order).cast("int").alias("_k"))
     merged = part(merged_blocks(joined.filter("rid is not null")), "region", 0, "rid")

@@ -1,10 +1,12 @@
 """Plans and results of the steps whose cost once grew faster than their input, or whose tables went through the driver."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire import session
 from quire.functions import fit, text
 from quire.operators import jobs, layout, objects, overlay, pages, sfnt
 from quire.sources import virtual
@@ -80,6 +82,32 @@ def test_leaf_regions_meet_lines_where_they_lie(spark, monkeypatch):
     assert plan(missed)[1].count("Exchange hashpartitioning") == 4
 
 
+def test_tasks_follow_the_bytes_of_lines(spark, monkeypatch):
+    lines, regions = virtual.all_lines(spark, DATA), virtual.regions(spark, DATA)
+    rows = lambda df: sorted(map(str, df.collect()))
+    dealt = lambda p: set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", p))
+    assert session.tasks_for(lines) == 0 and session.tasks_for(lines.limit(0)) == 0
+    want, missed = rows(layout.layout_blocks(lines, regions)), rows(layout.unmatched_lines(lines, regions))
+    monkeypatch.setattr(session, "TASK_BYTES", 64 << 10, raising=False)
+    seen, out, write = {}, {}, layout.staged
+
+    def noted(df, name):
+        seen[name], out[name] = plan(df)[1], write(df, name)
+        return out[name]
+
+    monkeypatch.setattr(layout, "staged", noted)
+    n = session.tasks_for(lines)
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = layout.layout_blocks(lines, regions)
+    assert dealt(seen["matched"]) == {str(n)}
+    # what is joined, merged and numbered afterwards is dealt alike, and texts only once
+    after = plan(blocks)[1]
+    assert dealt(after) == {str(session.tasks_for(out["matched"]))} and after.count("Exchange") == 4
+    assert rows(blocks) == want
+    unmatched = layout.unmatched_lines(lines, regions)
+    assert dealt(plan(unmatched)[1]) == {str(n)} and rows(unmatched) == missed
+
+
 def test_references_are_not_broadcast(spark):
     edges = spark.createDataFrame([("a", i, i + 1) for i in range(30)] + [("a", 3, 9), ("b", 0, 1)], "file string, object long, ref long")
     roots = spark.createDataFrame([("a", 0), ("b", 0)], "file string, object long")
