@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import centre_in
 from quire.functions.text import is_blank
-from quire.session import merged, parted, staged, tasks_for
+from quire.session import merged, parted, staged, staged_numbers, tasks_for
 
 PAGE = ("doc_id", "page")
 #: Lines no further apart than this in y are on one level.
@@ -69,7 +69,7 @@ def outside_images(unmatched: DataFrame, regions: DataFrame) -> DataFrame:
 
 def unmatched_lines(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """Non-blank lines in no leaf region and no image. The regions are written once, as they are read three times."""
-    regions = staged(keyed_like(regions, lines), "regions")
+    regions = staged_numbers(keyed_like(regions, lines), "regions")
     missed = in_leaves(lines, regions, "left").filter("rid is null").drop("rid", "region_type")
     return outside_images(missed, regions)
 
@@ -110,7 +110,7 @@ def layout_blocks(lines: DataFrame, regions: DataFrame) -> DataFrame:
     read several times. Where the lines call for more tasks than the session has, all three parts
     are dealt by page alike, so blocks are numbered where they lie.
     """
-    regions = staged(keyed_like(regions, lines), "regions")
+    regions = staged_numbers(keyed_like(regions, lines), "regions")
     joined = staged(in_leaves(lines, regions, "left"), "matched")
     tasks = tasks_for(joined)
     joined, regions = (parted(df, tasks, *PAGE) for df in (joined, regions))

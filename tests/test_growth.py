@@ -108,6 +108,28 @@ def test_tasks_follow_the_bytes_of_lines(spark, monkeypatch):
     assert dealt(plan(unmatched)[1]) == {str(n)} and rows(unmatched) == missed
 
 
+def test_tasks_follow_the_rows_of_regions(spark, monkeypatch):
+    lines, regions = virtual.all_lines(spark, DATA), virtual.regions(spark, DATA)
+    n = regions.count()
+    want = sorted(map(str, layout.layout_blocks(lines, regions).collect()))
+    monkeypatch.setattr(session, "FILE_ROWS", 100, raising=False)
+    # one file fills a task, as many files of few bytes do at size
+    open_cost = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for make in (layout.layout_blocks, layout.unmatched_lines):
+        before = set(spark.sparkContext.__dict__.get("_quire_staged", ()))
+        out = make(lines, regions)
+        (at,) = (p for p in spark.sparkContext._quire_staged - before if p.endswith("-regions"))
+        per_file = spark.read.parquet(at).groupBy(F.input_file_name()).count().collect()
+        assert sum(r["count"] for r in per_file) == n and max(r["count"] for r in per_file) <= 100
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+        try:
+            assert spark.read.parquet(at).rdd.getNumPartitions() >= n / 100
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        if make is layout.layout_blocks:
+            assert sorted(map(str, out.collect())) == want
+
+
 def test_references_are_not_broadcast(spark):
     edges = spark.createDataFrame([("a", i, i + 1) for i in range(30)] + [("a", 3, 9), ("b", 0, 1)], "file string, object long, ref long")
     roots = spark.createDataFrame([("a", 0), ("b", 0)], "file string, object long")
